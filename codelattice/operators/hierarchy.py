@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codelattice.plans.identify import number_ids
 from codelattice.plans.materialize import Workspace
@@ -289,10 +289,8 @@ def _blocks(tree: DataFrame, coded: DataFrame, n: int, wide: int, work: Workspac
         return tree.withColumn("block", F.lit(0)).withColumn("next_block", F.lit(-1))
     many = coded.groupBy("parent").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > wide).select("parent", F.ceil(F.col("k") / wide).cast("int").alias("blocks"))
     tree = tree.join(F.broadcast(many), "parent", "left").withColumn("part", F.pmod(F.xxhash64("child"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    tree = work.write(tree.drop("blocks").withColumn("wide", F.col("blocks").isNotNull()), "blocks")
+    tree = work.write(tree.withColumn("wide", F.col("blocks").isNotNull()).drop("blocks"), "blocks")
     # blocks that exist, numbered without gaps
-    from pyspark.sql import Window
-
     there = tree.where("wide").groupBy("parent", "part").agg(F.lit(1).alias("x"))
     w = Window.partitionBy("parent").orderBy("part")
     there = there.select("parent", "part", (F.row_number().over(w) - 1).alias("b_"), F.lead(F.lit(1)).over(w).alias("more"))
