@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codelattice.llm.components import components
+from codelattice.llm.handwritten import not_handwritten
+from codelattice.llm.leakage import leaks
+from codelattice.llm.packing import pack
+from codelattice.llm.reading import reading_levels
 from codelattice.sources.tables import edges_of_kind, table
 
 
@@ -12,7 +16,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return components(edges_of_kind(table(spark, d, "edges"), "SIMILAR_TO"), "src_node_id", "dst_node_id")
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "source_files"), table(spark, d, "nodes")).select("repo_id", "file_path")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE = {
     "p1_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT src_node_id AS a, dst_node_id AS b FROM edges
