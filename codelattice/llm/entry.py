@@ -9,6 +9,7 @@ from codelattice.llm.handwritten import not_handwritten
 from codelattice.llm.leakage import leaks
 from codelattice.llm.packing import pack
 from codelattice.llm.reading import reading_levels
+from codelattice.llm.similar import most_similar
 from codelattice.sources.tables import edges_of_kind, table
 
 
@@ -20,6 +21,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(table(spark, d, "source_files"), table(spark, d, "nodes")).select("repo_id", "file_path")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return most_similar(table(spark, d, "node_vectors")).select("vec_id", "neighbour_id")
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"))
 
@@ -32,7 +37,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE = {
     "p1_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT src_node_id AS a, dst_node_id AS b FROM edges
