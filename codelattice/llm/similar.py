@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codelattice.plans.materialize import Workspace
 
-K, PROBES, LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 5, 8, 512, 4096, 48
+K, PROBES, LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 5, 8, 256, 4096, 32
 #: Members of a shard, and queries that visit it in one task, about.
-SHARD_ROWS, SHARD_QUERIES = 10_000, 150_000
+SHARD_ROWS, SHARD_QUERIES = 30_000, 200_000
+#: A list is not worth a visit if its centroid's cosine is that much below the nearest one's.
+MARGIN = 0.2
 #: Standard deviations of the estimate's error that the bounds allow for.
 EPSILON = 2.2
 _PLANES = 4
@@ -95,13 +97,15 @@ class Layout:
         self.rotation = (q * np.sign(np.diag(r))).astype(np.float32)
 
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The lists that each vector visits, nearest first, -1 for none."""
         p = min(probes, len(self.c))
         out = np.empty((len(x), p), np.int32)
         for i in range(0, len(x), 2048):
             s = x[i : i + 2048].astype(np.float32) @ self.c.T
             top = np.argpartition(-s, p - 1, axis=1)[:, :p] if p < s.shape[1] else np.tile(np.arange(p), (len(s), 1))
             order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
-            out[i : i + 2048] = np.take_along_axis(top, order, 1)
+            near, top = np.take_along_axis(np.take_along_axis(s, top, 1), order, 1), np.take_along_axis(top, order, 1)
+            out[i : i + 2048] = np.where(near >= near[:, :1] - MARGIN, top, -1)
         return out
 
     def share_out(self, members: np.ndarray, visits: np.ndarray, first: int, rows: int, queries: int) -> int:
@@ -161,72 +165,117 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.uint64)
 
 
-def _bounds(layout: Layout, code, planes) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the cosines of unit vectors, from codes alone: (queries, members)."""
-    bits, size, fit = code
-    planes, low, step, total, qsize = planes
-    d = layout.dim
+def _codes(layout: Layout, residual: np.ndarray):
+    """What the bounds need of the members of a list: bits, and factors of the four terms."""
+    bits, size, fit = layout.encode(residual)
+    fit = np.maximum(fit, 1e-6)
     ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    dot = np.zeros((len(low), len(size)), np.float32)
-    for j, p in enumerate(planes):
+    e = EPSILON * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / math.sqrt(max(1, layout.dim - 1)) + 1e-4
+    centre = np.stack([np.ones(len(size)), -size * size / 2, size * ones / fit, size / fit]).astype(np.float32)
+    spread = np.stack([size * e, size / fit]).astype(np.float32)
+    return bits, (size / fit).astype(np.float32), centre, spread
+
+
+def _asks(layout: Layout, residual: np.ndarray):
+    """The same of the queries."""
+    planes, low, step, total, size = layout.planes(residual)
+    d = math.sqrt(layout.dim)
+    centre = np.stack([1 - size * size / 2, np.ones(len(size)), size * 2 * low / d, -size * (step * total + layout.dim * low) / d], axis=1).astype(np.float32)
+    # the second term: rounding the query to 4 bits
+    spread = np.stack([size, size * step * EPSILON * 0.29], axis=1).astype(np.float32)
+    return planes, (size * 2 * step / d).astype(np.float32), centre, spread
+
+
+def _bounds(codes, asks) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines of unit vectors from packed bits, and how far off they may be: (queries, members).
+
+    |q - o|^2 = |q - c|^2 + |o - c|^2 - 2 |q - c| |o - c| <q', o'>, and the cosine is
+    1 - |q - o|^2 / 2; every term is a product of a query's and a member's factor, except
+    the popcount of their bits.
+    """
+    bits, factor, mc, ms = codes
+    planes, qfactor, qc, qs = asks
+    dot = None
+    for p in reversed(planes):
+        if dot is not None:
+            np.left_shift(dot, 1, out=dot)
         for w in range(bits.shape[1]):
-            dot += np.bitwise_count(p[:, w][:, None] & bits[:, w][None, :]) * np.float32(1 << j)
-    inner = 2 * step[:, None] * dot + 2 * low[:, None] * ones[None, :].astype(np.float32) - (step * total + d * low)[:, None]
-    inner = inner / (math.sqrt(d) * np.maximum(fit, 1e-6))[None, :].astype(np.float32)
-    error = EPSILON * np.sqrt(np.maximum(0, 1 - fit * fit)) / np.maximum(fit, 1e-6) / math.sqrt(max(1, d - 1)) + 1e-4
-    # rounding the query to 4 bits
-    error = error[None, :] + (step * EPSILON * 0.29)[:, None] / fit[None, :]
-    # |q - o|^2 = |q - c|^2 + |o - c|^2 - 2 |q - c| |o - c| <q', o'>, and cos = 1 - |q - o|^2 / 2
-    scale = qsize[:, None] * size[None, :]
-    centre = 1 - (qsize[:, None] ** 2 + size[None, :] ** 2) / 2 + scale * inner
-    spread = scale * error
-    return centre - spread, centre + spread
+            n = np.bitwise_count(p[:, w][:, None] & bits[:, w][None, :])
+            if dot is None:
+                dot = n.astype(np.uint16)
+            else:
+                np.add(dot, n, out=dot)
+    centre = dot.astype(np.float32)
+    centre *= factor[None, :]
+    centre *= qfactor[:, None]
+    centre += qc @ mc
+    return centre, qs @ ms
+
+
+def _merge(best: np.ndarray, ids: np.ndarray, at: np.ndarray, qi: np.ndarray, cos: np.ndarray, nid: np.ndarray) -> None:
+    """Take (query, cosine, id) rows into the best k of the queries ``at``; ties by smaller id."""
+    k = best.shape[1]
+    order = np.lexsort((nid, -cos, qi))
+    qi, cos, nid = qi[order], cos[order], nid[order]
+    touched, first = np.unique(qi, return_index=True)
+    slot = np.repeat(np.arange(len(touched)), np.diff(np.append(first, len(qi))))
+    rank = np.arange(len(qi)) - first[slot]
+    keep = rank < k
+    new_c, new_i = np.full((len(touched), k), -np.inf), np.full((len(touched), k), np.iinfo(np.int64).max)
+    new_c[slot[keep], rank[keep]], new_i[slot[keep], rank[keep]] = cos[keep], nid[keep]
+    to = at[touched]
+    both_c, both_i = np.concatenate([best[to], new_c], axis=1), np.concatenate([ids[to], new_i], axis=1)
+    order = np.lexsort((both_i, -both_c), axis=1)[:, :k]
+    best[to], ids[to] = np.take_along_axis(both_c, order, 1), np.take_along_axis(both_i, order, 1)
 
 
 def search_shard(layout: Layout, k: int, rep: np.ndarray, vec: np.ndarray, lists: np.ndarray, role: np.ndarray):
     """Best k of the shard's members for each query that visits it: (query ids, ids, cosines), -1 where there are fewer.
 
     ``role`` & 1: member (of the list ``lists[:, 0]``); & 2: query (of all its lists).
+    A query's nearest list in the shard comes first; what it finds there is the bar for the others.
     """
     unit = _unit(vec)
+    flat = unit.astype(np.float32)
     member, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     home = lists[member, 0]
+    own = np.unique(home)
     best = np.full((len(query), k), -np.inf)
     ids = np.full((len(query), k), np.iinfo(np.int64).max)
-    for ell in np.unique(home):
-        m = member[home == ell]
-        q_at = np.flatnonzero((lists[query] == ell).any(axis=1))
-        if not len(q_at):
-            continue
-        c = layout.c[ell].astype(np.float64)
-        for m0 in range(0, len(m), 4096):
-            mm = m[m0 : m0 + 4096]
-            code = layout.encode(unit[mm] - c)
-            rows = max(1, 1_000_000 // len(mm))
-            for i in range(0, len(q_at), rows):
-                at = q_at[i : i + rows]
-                qq = query[at]
-                low, high = _bounds(layout, code, layout.planes(unit[qq] - c))
-                same = rep[qq][:, None] == rep[mm][None, :]
-                low[same] = high[same] = -9
-                need = best[at, k - 1]
-                if len(mm) > k:
-                    need = np.maximum(need, -np.partition(-low, k - 1, axis=1)[:, k - 1])
-                qi, mi = np.nonzero((high >= need[:, None]) & ~same)
-                if not len(qi):
-                    continue
-                cos = np.concatenate([np.einsum("ij,ij->i", unit[qq[qi[s : s + 65536]]], unit[mm[mi[s : s + 65536]]]) for s in range(0, len(qi), 65536)])
-                nid = rep[mm[mi]]
-                order = np.lexsort((nid, -cos, qi))
-                qi, cos, nid = qi[order], cos[order], nid[order]
-                first = np.searchsorted(qi, np.arange(len(at)))
-                rank = np.arange(len(qi)) - first[qi]
-                keep = rank < k
-                new_c, new_i = np.full((len(at), k), -np.inf), np.full((len(at), k), np.iinfo(np.int64).max)
-                new_c[qi[keep], rank[keep]], new_i[qi[keep], rank[keep]] = cos[keep], nid[keep]
-                both_c, both_i = np.concatenate([best[at], new_c], axis=1), np.concatenate([ids[at], new_i], axis=1)
-                order = np.lexsort((both_i, -both_c), axis=1)[:, :k]
-                best[at], ids[at] = np.take_along_axis(both_c, order, 1), np.take_along_axis(both_i, order, 1)
+    here = np.isin(lists[query], own)  # -1 is no list of a member
+    nearest = np.where(here.any(axis=1), lists[query][np.arange(len(query)), here.argmax(axis=1)], -1)
+    by_list = {int(e): member[home == e] for e in own}
+    visitors = {int(e): np.flatnonzero(((lists[query] == e) & here).any(axis=1)) for e in own}
+    for turn in (0, 1):
+        for ell, members in by_list.items():
+            q_at = visitors[ell]
+            q_at = q_at[(nearest[q_at] == ell) == (turn == 0)]
+            if not len(q_at):
+                continue
+            c = layout.c[ell].astype(np.float32)
+            for m0 in range(0, len(members), 4096):
+                mm = members[m0 : m0 + 4096]
+                codes = _codes(layout, flat[mm] - c)
+                rows = max(1, 100_000 // len(mm))
+                for i in range(0, len(q_at), rows):
+                    at = q_at[i : i + rows]
+                    qq = query[at]
+                    centre, spread = _bounds(codes, _asks(layout, flat[qq] - c))
+                    need = best[at, k - 1]
+                    if turn == 0 and len(mm) > k + 1:
+                        # the k + 1 that look best, compared exactly, set the bar (one may be the query itself)
+                        top = np.argpartition(-centre, k, axis=1)[:, : k + 1]
+                        exact = np.einsum("ij,ikj->ik", flat[qq], flat[mm[top]])
+                        exact[rep[mm[top]] == rep[qq][:, None]] = -9
+                        need = np.maximum(need, -np.partition(-exact, k - 1, axis=1)[:, k - 1] - 1e-6)
+                    centre += spread
+                    qi, mi = np.nonzero(centre >= need[:, None].astype(np.float32))
+                    nid = rep[mm[mi]]
+                    near = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", flat[qq[qi[s : s + 65536]]], flat[mm[mi[s : s + 65536]]]) for s in range(0, len(qi), 65536))])
+                    keep = (near >= need[qi] - 1e-6) & (nid != rep[qq[qi]])
+                    qi, mi, nid = qi[keep], mi[keep], nid[keep]
+                    if len(qi):
+                        _merge(best, ids, at, qi, np.einsum("ij,ij->i", unit[qq[qi]], unit[mm[mi]]), nid)
     ids[~np.isfinite(best)] = -1
     return rep[query], ids, best
 
@@ -280,7 +329,7 @@ def most_similar(vectors: DataFrame, k: int = K, probes: int = PROBES, list_rows
     reps = classes.select(F.col("rep").alias("vec_id"), F.col("key").alias("rep_key"))
     wide = _usable(vectors, wide=True).join(reps, "vec_id").where("key = rep_key").groupBy("vec_id").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
     placed = work.write(wide.mapInArrow(assign, "rep long, model string, vec binary, lists array<int>"), "placed")
-    visits = placed.select("model", F.posexplode("lists").alias("turn", "list")).groupBy("model", "list").agg(F.count(F.lit(1)).alias("visits"), F.sum((F.col("turn") == 0).cast("int")).alias("members")).collect()
+    visits = placed.select("model", F.posexplode("lists").alias("turn", "list")).where("list >= 0").groupBy("model", "list").agg(F.count(F.lit(1)).alias("visits"), F.sum((F.col("turn") == 0).cast("int")).alias("members")).collect()
     key = 0
     for m, layout in layouts.items():
         members, visiting = np.zeros(len(layout.c), np.int64), np.zeros(len(layout.c), np.int64)
@@ -299,6 +348,8 @@ def most_similar(vectors: DataFrame, k: int = K, probes: int = PROBES, list_rows
                 spread = hash((r, 1)) & 0xFFFFFFFF
                 to: dict[int, int] = {}
                 for ell in near:
+                    if ell < 0:
+                        break
                     for shard in layout.blocks.get(ell) or (int(layout.shard[ell]),):
                         start, n = layout.parts[shard]
                         to[start + spread % n] = 2
