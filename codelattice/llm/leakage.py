@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codelattice.llm.words import coded, words
+from codelattice.llm.words import coded, slices, words
 
 RUN_WORDS, EDIT_SHARE = 13, 5
 BLOCK_WORDS = 2_000_000
@@ -202,7 +202,7 @@ def leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS, ed
         sent = spark.sparkContext.broadcast(Seeds(block, run_words, edit_share))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole)):
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[d], i, n, c, e) for d, i, n, c, e in compare(b.column("text").to_pylist(), sent.value)]
                 if rows:

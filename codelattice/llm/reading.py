@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelattice.llm.boosting import Boosted
 from codelattice.llm.prose import Measures, language
+from codelattice.llm.words import slices
 
 LEVELS, LEAST_WORDS, MAX_LABELLED, FOLDS, LEAST_LABELLED = 5, 30, 6_000, 4, 20
 
@@ -75,7 +76,7 @@ def fit_grader(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = Measures()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             ok, x = _measured(b.column("text").to_pylist(), b.column("lang").to_pylist(), measures, least_words)
             at = np.flatnonzero(ok)
             if len(at):
@@ -102,7 +103,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures, grade = Measures(), sent.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             ok, x = _measured(b.column("text").to_pylist(), b.column("lang").to_pylist(), measures, least_words)
             at = np.flatnonzero(ok)
             if len(at):

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 _GUTTER = re.compile(r"(?m)^[ \t>+\-|#*/]*\d{1,5}[ \t]*[|:\t][ \t]")
 _LINK = re.compile(r"\]\(\s*[^()\s]*\s*\)")
@@ -31,14 +36,23 @@ def plain(text: str) -> str:
     return text.lower()
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``limit`` bytes of text, at least one row each: long texts don't add up."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    part = (size.cumsum() - size) // limit
+    at = 0
+    while at < batch.num_rows:
+        end = int(part.searchsorted(part[at], side="right"))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(plain(text)) if text else []
 
 
 def coded(texts: list[str | None], vocabulary: dict[str, int]):
     """All texts' words as one array of vocabulary numbers (0: not in it), and where each text ends."""
-    import numpy as np
-
     get, flat, ends, n = vocabulary.get, [], [], 0
     for t in texts:
         w = words(t)
