@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from codelattice.operators import entry as general
+from codelattice.operators import clones, entry as general, graph, lookup
 
-_MODULES = [general]
+_MODULES = [general, clones, lookup, graph]
 
 
 def queries() -> dict[str, Callable]:
