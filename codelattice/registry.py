@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from codelattice.operators import clones, entry as general, graph, lookup
+from codelattice.operators import clones, entry as general, graph, lookup, search, text
 
-_MODULES = [general, clones, lookup, graph]
+_MODULES = [general, clones, lookup, graph, text, search]
 
 
 def queries() -> dict[str, Callable]:
