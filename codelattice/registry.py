@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from codelattice.operators import clones, entry as general, graph, lookup, search, text
+from codelattice.operators import checks, clones, entry as general, gates, graph, lookup, reports, search, text, vectors
 
-_MODULES = [general, clones, lookup, graph, text, search]
+_MODULES = [general, clones, lookup, graph, text, search, checks, gates, vectors, reports]
 
 
 def queries() -> dict[str, Callable]:
