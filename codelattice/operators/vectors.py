@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -111,8 +112,6 @@ def embed_text(kind: Column, symbol: Column, path: Column, language: Column, sig
 
 def static_embedding(dim: int = DIM):
     """Arrow UDF: text -> unit vector of hashed word pieces (the word and its 3- to 6-grams); empty text gives zeros."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
         cache: dict[str, np.ndarray] = {}
