@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codelattice.functions.text import SECRET_PREFIXES, redact, stable_id
 from codelattice.operators import predicates as P
-from codelattice.operators.current import SQL, current_edges, current_nodes
+from codelattice.operators.current import SQL, current_edges, current_nodes, whole_numbers
 from codelattice.operators.lookup import _open
 from codelattice.operators.text import _FILES, _LINES, _files, source_lines
 from codelattice.sources.tables import table
@@ -231,3 +231,4 @@ SELECT f.finding_id, f.branch, min(s.suppression_id) AS suppression_id, count(DI
  AND (s.branch IS NULL OR s.branch = f.branch) AND (s.rule IS NULL OR s.rule = f.rule) WHERE f.state = 'open' GROUP BY 1, 2""",
     "secret_lines": f"WITH {_FILES}, {_LINES} SELECT repo_id, branch, file_path, line FROM l WHERE regexp_matches(raw, '{SECRET_PREFIXES}')",
 }
+ORACLE["secret_lines"] = whole_numbers(ORACLE["secret_lines"], "line")

@@ -35,3 +35,8 @@ SQL = f"""
 cn AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY node_id, branch ORDER BY last_promoted_at DESC NULLS LAST, content_hash ASC NULLS FIRST) = 1),
 ce AS (SELECT * REPLACE ({SQL_KIND} AS kind, arg_max(score, last_promoted_at) FILTER (score IS NOT NULL) OVER (PARTITION BY edge_id, branch) AS score) FROM edges
   QUALIFY row_number() OVER (PARTITION BY edge_id, branch ORDER BY last_promoted_at DESC NULLS LAST, confidence ASC NULLS FIRST, resolved ASC NULLS FIRST) = 1)"""
+
+
+def whole_numbers(sql: str, *columns: str) -> str:
+    """The query with columns as 32-bit integers, as Spark counts ranks and lines."""
+    return "SELECT * REPLACE (" + ", ".join(f"{c}::INTEGER AS {c}" for c in columns) + f") FROM ({sql})"

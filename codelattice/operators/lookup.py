@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelattice.operators import predicates as P
-from codelattice.operators.current import SQL, current_nodes, latest
+from codelattice.operators.current import SQL, current_nodes, latest, whole_numbers
 from codelattice.sources.tables import table
 
 
@@ -165,3 +165,4 @@ WHERE f.state = 'open' AND f.severity IN ('medium', 'high', 'critical') AND NOT
 p AS (SELECT DISTINCT r.module_path || '/' || regexp_replace(n.file_path, '/[^/]*$', '') AS path FROM nodes n JOIN r USING (repo_id) WHERE n.file_path IS NOT NULL)
 SELECT p.path, r.module_path, r.repo_id FROM p JOIN r ON p.path = r.module_path OR starts_with(p.path, r.module_path || '/') QUALIFY row_number() OVER (PARTITION BY p.path ORDER BY length(r.module_path) DESC, r.repo_id) = 1""",
 }
+ORACLE["file_nodes"] = whole_numbers(ORACLE["file_nodes"], "place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelattice.functions import text as T
 from codelattice.operators import predicates as P
-from codelattice.operators.current import SQL, current_nodes
+from codelattice.operators.current import SQL, current_nodes, whole_numbers
 from codelattice.operators.lookup import _open
 from codelattice.operators.text import SQL_TOKENS
 from codelattice.sources.tables import table
@@ -145,3 +145,5 @@ ORACLE = {
     "lexical_trigram": _SEARCH + " SELECT query_id, count(*) AS hits, min(doc_id) AS first_doc FROM sb GROUP BY 1",
     "rrf_fusion": _SEARCH + " SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fr",
 }
+ORACLE["lexical_words"] = whole_numbers(ORACLE["lexical_words"], "rank")
+ORACLE["rrf_fusion"] = whole_numbers(ORACLE["rrf_fusion"], "rank")

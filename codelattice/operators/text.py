@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelattice.functions import text as T
-from codelattice.operators.current import SQL, current_nodes
+from codelattice.operators.current import SQL, current_nodes, whole_numbers
 from codelattice.sources.tables import table
 
 CHUNK_LINES = 80
@@ -112,3 +112,5 @@ c AS (SELECT *, unnest(range(a, b + 1, {CHUNK_LINES})) AS from_line FROM g WHERE
     "repo_urls": r"SELECT repo_id, lower(regexp_replace(regexp_replace(regexp_replace(trim(canonical_url), '^(?:[a-z+]+://)?(?:[^@/]+@)?', ''), '^([^/:]+):(?:\d+/)?', '\1/'), '(?:\.git)?/*$', '')) AS url FROM repos",
     "node_ids": f"WITH {SQL} SELECT node_id, branch, sha256(coalesce(repo_id, '') || chr(0) || coalesce(file_path, '') || chr(0) || coalesce(kind, '') || chr(0) || coalesce(symbol_path, '')) AS made, substr(sha256(node_id || chr(0) || kind), 1, 32) AS short FROM cn",
 }
+ORACLE["todo_scan"] = whole_numbers(ORACLE["todo_scan"], "line")
+ORACLE["chunk_ranges"] = whole_numbers(ORACLE["chunk_ranges"], "from_line", "to_line")

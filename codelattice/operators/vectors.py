@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codelattice.functions.text import stable_id
 from codelattice.operators import predicates as P
-from codelattice.operators.current import SQL, current_nodes, latest
+from codelattice.operators.current import SQL, current_nodes, latest, whole_numbers
 from codelattice.sources.tables import table
 
 TOP, THRESHOLD, DIM = 5, 0.60, 256
@@ -205,3 +205,5 @@ ORACLE = {
  FROM embeddings a JOIN embeddings b USING (label) GROUP BY 1, 2) SELECT label, vec_id FROM d WHERE r <= 3""",
     "embed_pending": f"WITH {SQL} SELECT kind, count(DISTINCT concat_ws(' ', nullif(kind, ''), nullif(symbol_path, ''), nullif(file_path, ''), nullif(language, ''), nullif(signature, ''))) AS texts FROM cn n WHERE NOT EXISTS (SELECT 1 FROM node_vectors v WHERE v.node_id = n.node_id) GROUP BY 1",
 }
+ORACLE["knn_links"] = whole_numbers(ORACLE["knn_links"], "rank")
+ORACLE["knn_top"] = whole_numbers(ORACLE["knn_top"], "rank")
