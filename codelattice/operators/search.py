@@ -9,6 +9,7 @@ from codelattice.operators import predicates as P
 from codelattice.operators.current import SQL, current_nodes, whole_numbers
 from codelattice.operators.lookup import _open
 from codelattice.operators.text import SQL_TOKENS
+from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
 K1, B, RRF, FETCH, LEAST_IDF = 1.2, 0.75, 60, 40, 1e-6
@@ -21,15 +22,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH) -> DataFram
     some query has are kept before they are counted; hot words are pre-aggregated.  Ties by
     doc_id; ``k`` rows a query.  Documents and queries without words give no rows.
     """
-    length = docs.select("doc_id", F.size("tokens").alias("len")).where("len > 0")
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    docs = Workspace(docs.sparkSession, "bm25").write(docs.select("doc_id", "tokens").where(F.size("tokens") > 0), "docs")
+    length = docs.select("doc_id", F.size("tokens").alias("len"))
+    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
+    n, avg_len = F.lit(stats["n"]), F.lit(stats["avg"] or 1.0)
     asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     terms = asked.select("term").distinct()
     tf = docs.select("doc_id", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighed = tf.join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(stats)).select("doc_id", "term", part.alias("part"))  # stats is one row
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
+    weighed = tf.join(df, "term").join(length, "doc_id").select("doc_id", "term", part.alias("part"))
     scored = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
     return top_k(scored, k)
 
