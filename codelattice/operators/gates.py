@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelattice.functions.text import directory
 from codelattice.operators import predicates as P
-from codelattice.operators.checks import contract_drift, untested
-from codelattice.operators.current import current_edges, current_nodes
+from codelattice.operators.checks import _T, _V, contract_drift, untested
+from codelattice.operators.current import SQL, current_edges, current_nodes
 from codelattice.operators.graph import blast_radius, strong_components
 from codelattice.operators.lookup import _open
 from codelattice.plans.materialize import Workspace
@@ -147,3 +147,12 @@ SELECT coalesce(r.repo_id, g.repo_id) AS repo_id, coalesce(removed, 0) AS remove
 SELECT a.branch, a.structural_hash, coalesce(before, 0) AS before, now FROM a LEFT JOIN b ON a.branch = b.branch AND a.structural_hash = b.structural_hash WHERE now >= 2 AND coalesce(before, 0) < 2""",
     "new_findings": f"WITH {_CF} SELECT DISTINCT finding_id FROM cf WHERE created_at > TIMESTAMP '{BASE_TIME}' AND finding_id NOT IN (SELECT finding_id FROM cf WHERE created_at <= TIMESTAMP '{BASE_TIME}')",
 }
+ORACLE["coverage_gate"] = f"""WITH {SQL}, {_STATES}, {_CHANGED}, im AS (SELECT DISTINCT m.branch, split_part(m.symbol_path, '.', -1) AS name FROM aft m JOIN aft i ON i.kind = 'interface' AND m.kind = 'method' AND i.branch = m.branch AND i.repo_id = m.repo_id AND i.symbol_path = regexp_extract(m.symbol_path, '^(.*)\\.[^.]+$', 1)),
+t AS (SELECT DISTINCT e.dst_node_id AS node_id, e.branch FROM ce e JOIN aft x ON x.node_id = e.src_node_id AND x.branch = e.branch WHERE e.kind = 'calls' AND {_T.format('x.')})
+SELECT a.node_id, a.branch, ch.change FROM aft a JOIN ch ON ch.node_id = a.node_id AND ch.branch = a.branch AND ch.change <> 'removed' WHERE a.kind IN ('function', 'method', 'class') AND NOT {_T.format('a.')} AND NOT {_V}
+AND a.repo_id NOT IN (SELECT repo_id FROM repos WHERE kind = 'ephemeral') AND NOT EXISTS (SELECT 1 FROM im WHERE im.branch = a.branch AND im.name = split_part(a.symbol_path, '.', -1))
+AND NOT coalesce(a.symbol_path IN ('main', 'init'), false) AND NOT EXISTS (SELECT 1 FROM t WHERE t.node_id = a.node_id AND t.branch = a.branch)"""
+ORACLE["guard_report"] = f"""WITH RECURSIVE {SQL}, {_CF}, {_STATES}, {_CHANGED}, c AS (SELECT node_id AS node, change FROM ch WHERE branch = 'main' AND change <> 'removed'),
+e AS (SELECT src_node_id AS a, dst_node_id AS b FROM ce WHERE branch = 'main'), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, k) AS (SELECT DISTINCT node_id, 0 FROM cf WHERE state = 'open' AND severity IN ('high', 'critical') AND branch = 'main' AND node_id IS NOT NULL UNION SELECT e.a, r.k + 1 FROM r JOIN e ON e.b = r.node WHERE r.k < 3),
+w(node) AS (SELECT node FROM r UNION SELECT s.b FROM w JOIN s ON s.a = w.node JOIN c ON c.node = s.b AND c.change = 'added') SELECT DISTINCT node FROM c WHERE node NOT IN (SELECT node FROM w)"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from codelattice.operators import checks, clones, entry as general, gates, graph, lookup, parsing, reports, resolve, search, text, vectors
+from codelattice.operators import checks, clones, entry as general, gates, graph, lookup, packs, parsing, reports, resolve, search, text, vectors
 from codelattice.streaming import flow
 
-_MODULES = [general, clones, lookup, graph, text, search, checks, gates, vectors, reports, resolve, parsing, flow]
+_MODULES = [general, clones, lookup, graph, text, search, checks, gates, vectors, reports, resolve, parsing, packs, flow]
 
 
 def queries() -> dict[str, Callable]:
