@@ -90,6 +90,55 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: in
     return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Search profiles as (tables, planes); more tables find more, fewer planes compare more.
+PROFILES = {"accurate": (16, 8), "balanced": (10, 10), "fast": (6, 12)}
+#: From how many vectors an approximate search pays.
+ELECT_FROM = 10_000
+
+
+def hashed_search(vectors: DataFrame, queries: DataFrame, k: int = TOP, profile: str = "balanced", seed: int = 3, spread: int = 8) -> DataFrame:
+    """As ``exact_search``, by random hyperplanes: only vectors that share a bucket are compared, exactly.
+
+    Buckets are (table, code); a query's bucket is joined to its members with a salt, so a
+    bucket that holds a third of all vectors is spread over ``spread`` tasks.  Vectors of
+    another length than the first query's are left out.
+    """
+    tables, planes = PROFILES[profile]
+
+    def coded(df: DataFrame, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            normals: dict[int, np.ndarray] = {}
+            for b in batches:
+                rows = [(i, v) for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist(), strict=True) if v and None not in v]
+                for dim in {len(v) for _, v in rows}:
+                    own = [(i, v) for i, v in rows if len(v) == dim]
+                    x = np.array([v for _, v in own], np.float64)
+                    if dim not in normals:
+                        normals[dim] = np.random.default_rng(seed * 100_003 + dim).normal(size=(dim, tables * planes))
+                    good = np.isfinite(x).all(axis=1)
+                    bits = (np.nan_to_num(x) @ normals[dim] > 0).reshape(len(x), tables, planes)
+                    codes = (bits * (1 << np.arange(planes))).sum(axis=2) + (np.arange(tables) << planes) + dim * (tables << planes)
+                    for (i, v), c, ok in zip(own, codes, good, strict=True):
+                        if ok:
+                            yield pa.RecordBatch.from_arrays([pa.array([i] * tables, pa.int64()), pa.array(c, pa.int64()), pa.array([v] * tables, pa.list_(pa.float64()))], ["id", "bucket", "v"])
+
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "id long, bucket long, v array<double>").select(F.col("id").alias(name), "bucket", F.col("v").alias(name + "_v"))
+
+    members = coded(vectors, "vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(spread)).cast("int"))
+    asked = coded(queries, "query_id").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(spread)])))
+    pairs = asked.join(members, ["bucket", "salt"]).where("query_id <> vec_id")
+    scored = pairs.select("query_id", "vec_id", F.round(1 / (1 + squared_distance(F.col("query_id_v"), F.col("vec_id_v"))), 9).alias("score")).distinct()
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, profile: str = "default") -> DataFrame:
+    """Exact below ``ELECT_FROM`` vectors or with the default profile, else hashed."""
+    if profile == "default" or vectors.count() < ELECT_FROM:
+        return exact_search(vectors, queries, k)
+    return hashed_search(vectors, queries, k, profile)
+
+
 def links(hits: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """SIMILAR_TO links from search hits (src, dst, score): the top k come first, then the filters.
 
