@@ -45,4 +45,9 @@ WITH RECURSIVE e AS (SELECT DISTINCT src_node_id AS a, dst_node_id AS b FROM edg
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(id, seen) AS (SELECT a, a FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.id)
 SELECT id AS node_id, min(seen) AS group_id FROM r GROUP BY 1""",
+    "p4_found": """
+WITH v AS (SELECT vec_id, any_value(model) AS model, any_value(dim) AS dim, any_value(embedding) AS e FROM node_vectors WHERE vec_id IS NOT NULL GROUP BY 1),
+u AS (SELECT vec_id, model, dim, e[1:dim]::DOUBLE[] AS e FROM v WHERE e IS NOT NULL AND len(e) >= dim AND len(list_filter(e[1:dim], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e[1:dim], lambda x: x <> 0)) > 0)
+SELECT a.vec_id, b.vec_id AS neighbour_id FROM u a JOIN u b ON a.model = b.model AND a.dim = b.dim AND a.vec_id <> b.vec_id
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 14) DESC, b.vec_id) <= 5""",
 }
