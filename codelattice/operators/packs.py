@@ -10,7 +10,7 @@ from codelattice.functions.text import canonical_url, directory, truncate_bytes
 from codelattice.operators import predicates as P
 from codelattice.operators.current import SQL, current_nodes, latest
 from codelattice.operators.gates import _CHANGED, _STATES as _SQL_STATES, _states, changed_nodes
-from codelattice.operators.graph import _BASE, _main_edges, _seeds, blast_radius, tests_covering
+from codelattice.operators.graph import ORACLE as _GRAPH, _BASE, _main_edges, _seeds, blast_radius, tests_covering
 from codelattice.operators.lookup import _open
 from codelattice.operators.search import FETCH, _docs, _queries, bm25, top_k
 from codelattice.operators.vectors import exact_search, static_embedding
@@ -183,3 +183,6 @@ m AS (SELECT repo_id, file_path, node, min(k) AS k FROM r GROUP BY 1, 2, 3), g A
 b AS (SELECT repo_id, file_path, count(*) AS findings FROM cf WHERE state = 'open' AND branch = 'main' GROUP BY 1, 2)
 SELECT g.*, coalesce(b.findings, 0) AS findings, symbols + callers + 5 * coalesce(b.findings, 0) AS risk FROM g LEFT JOIN b ON b.repo_id = g.repo_id AND b.file_path = g.file_path""",
 }
+_TESTS = _GRAPH["tests_covering"].replace(" SELECT node, distance FROM seen WHERE", ", covering AS (SELECT node, distance FROM seen WHERE") + ")" + """, n AS (SELECT * FROM cn WHERE branch = 'main') SELECT n.repo_id, CASE WHEN contains(n.file_path, '/') THEN regexp_replace(n.file_path, '/[^/]*$', '') ELSE '' END AS dir, count(*) AS tests, min(s.distance) AS nearest
+FROM covering s JOIN n ON n.node_id = s.node GROUP BY 1, 2"""
+ORACLE["test_selection"] = _TESTS

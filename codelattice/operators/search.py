@@ -142,10 +142,20 @@ br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 sb AS (SELECT q.query_id, n.node_id AS doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY n.node_id) AS rank FROM q JOIN cn n ON n.branch = 'main' AND strlen(phrase) >= 3 AND contains(lower(n.symbol_path), lower(phrase))),
 fu AS (SELECT query_id, doc_id, round(sum(1.0 / ({RRF - 1} + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM br WHERE rank <= {FETCH} UNION ALL SELECT query_id, doc_id, rank FROM sb WHERE rank <= {FETCH}) GROUP BY 1, 2),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= {FETCH})"""
+_SPLIT = r"regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')"
 QUERIES = {f.__name__: f for f in (lexical_words, lexical_trigram, rrf_fusion, search_reranked)}
 ORACLE = {
     "lexical_words": _SEARCH + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM br WHERE rank <= 10",
     "lexical_trigram": _SEARCH + " SELECT query_id, count(*) AS hits, min(doc_id) AS first_doc FROM sb GROUP BY 1",
+    "search_reranked": _SEARCH
+    + rf""", h AS (SELECT f.query_id, f.doc_id, f.score, n.symbol_path, n.kind, n.file_path, list_distinct(list_filter(string_split(lower(regexp_replace({_SPLIT.format(x="coalesce(n.symbol_path, '')")}, '[_./\-\s]+', ' ', 'g')) || ' ' ||
+  lower(regexp_replace({_SPLIT.format(x="coalesce(regexp_replace(parse_filename(n.file_path), '[.][^.]*$', ''), '')")}, '[_./\-\s]+', ' ', 'g')), ' '), lambda x: x <> '')) AS stems FROM fr f JOIN cn n ON n.node_id = f.doc_id AND n.branch = 'main'),
+ql AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(query_id, '^.*: ', '')), '\s+'), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda x: strlen(x) >= 3) AS tokens FROM q),
+g AS (SELECT h.*, max(score) OVER (PARTITION BY h.query_id) AS top, CASE WHEN file_path IS NULL THEN 0 ELSE least(count(file_path) OVER (PARTITION BY h.query_id, file_path) - 1, 4) END AS coherent,
+ coalesce((list_contains(tokens, lower(split_part(symbol_path, '.', -1))) AND kind IN ('function', 'method', 'type', 'struct', 'interface', 'class'))::INT, 0) AS defined, len(list_filter(tokens, lambda x: list_contains(stems, x))) AS matched FROM h JOIN ql ON ql.query_id = h.query_id),
+s AS (SELECT query_id, doc_id, round((score + top * (defined + 0.25::DOUBLE * matched + 0.05::DOUBLE * coherent)) * CASE WHEN coalesce(regexp_matches(lower(file_path), '{P.NOISE_PATH}'), false) THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN kind IN ('package', 'file', 'module') THEN 0.5::DOUBLE ELSE 1 END, 9) AS score FROM g),
+k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 10), b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM k)
+SELECT query_id, doc_id, round(score, 6) AS score, rank, CASE WHEN best <= 0 THEN 'weak' WHEN score >= 0.95::DOUBLE * best THEN 'top' WHEN score >= 0.8::DOUBLE * best THEN 'strong' ELSE 'weak' END AS tier FROM b""",
     "rrf_fusion": _SEARCH + " SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fr",
 }
 ORACLE["lexical_words"] = whole_numbers(ORACLE["lexical_words"], "rank")
