@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelattice.operators.current import SQL, current_edges, current_nodes
@@ -26,10 +29,34 @@ def groups_by_hash(rows: DataFrame, key: str, members: list[str], preview: int =
     return sizes.join(first, key).select(key, "size", F.transform("m_", lambda x: x[members[-1]].cast("string")).alias("members"))
 
 
-def propagate_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of the bounded clone graph: (node, component), by least label with pointer jumps."""
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a bounded edge set by union-find, each under its least node."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.string()), pa.array([find(x) for x in list(root)], pa.string())], ["node", "component"])
+
+
+def propagate_labels(edges: DataFrame, max_rounds: int = 60, finish: int = 500_000) -> DataFrame:
+    """Connected components of (a, b) pairs of strings: (node, component), component its least node.
+
+    Up to the fixed bound ``finish`` one task joins them; beyond, least labels spread with
+    pointer jumps until nothing changes.  Null ends and pairs of a node with itself don't count.
+    """
     work = Workspace(edges.sparkSession, "labels")
-    e = edges.where("a <> b").select("a", "b").distinct()
+    e = work.write(edges.where("a <> b").select("a", "b").distinct(), "pairs")
+    if e.count() <= finish:
+        return e.coalesce(1).mapInArrow(_union, "node string, component string")
     e = work.write(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = work.write(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     for _ in range(max_rounds):

@@ -112,14 +112,14 @@ def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = 500
     e = work.write(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     found = None
     for _ in range(max_rounds):
-        while True:  # trim
-            n = e.count()
+        n = e.count()
+        while n > finish:  # trim
             t = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             t = work.write(t, "trimmed")
-            if t.count() == n:
-                break
             work.drop(e)
-            e = t
+            e, before, n = t, n, t.count()
+            if n == before:
+                break
         if n <= finish:
             last = e.coalesce(1).mapInArrow(_tarjan, "node string, component string")
             found = last if found is None else found.unionByName(last)

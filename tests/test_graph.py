@@ -42,8 +42,10 @@ def test_strong_components(spark):
 
 def test_labels_and_groups(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), *[(f"l{i:02d}", f"l{i + 1:02d}") for i in range(20)]], "a string, b string")
-    got = {r.node: r.component for r in propagate_labels(df).collect()}
-    assert got["c"] == "a" and got["y"] == "x" and got["l20"] == "l00"
+    for finish in (1_000, 0):
+        got = {r.node: r.component for r in propagate_labels(df, finish=finish).collect()}
+        assert len(got) == 26 and got["c"] == "a" and got["y"] == "x" and got["l20"] == "l00"
+    assert propagate_labels(df.limit(0)).count() == 0
     g = groups_by_hash(spark.createDataFrame([("h", 1), ("h", 2), ("h", 3), ("", 4), ("", 5), (None, 6), ("q", 7)], "k string, m int"), "k", ["m"], preview=2).collect()
     assert [(r.k, r["size"], r.members) for r in g] == [("h", 3, ["1", "2"])]
 
