@@ -26,7 +26,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH) -> DataFram
     length = docs.select("doc_id", F.size("tokens").alias("len"))
     stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     n, avg_len = F.lit(stats["n"]), F.lit(stats["avg"] or 1.0)
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    # queries of the same words are scored once
+    same = queries.select(F.col("query_id").alias("asked_by"), F.array_join(F.array_sort(F.array_distinct("tokens")), " ").alias("query_id"))
+    asked = same.select("query_id").distinct().select("query_id", F.explode(F.split("query_id", " ")).alias("term")).where("term <> ''")
     terms = asked.select("term").distinct()
     tf = docs.select("doc_id", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -34,7 +36,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH) -> DataFram
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
     weighed = tf.join(df, "term").join(length, "doc_id").select("doc_id", "term", part.alias("part"))
     scored = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    return top_k(scored, k)
+    best = top_k(scored, k)
+    return best.join(same, "query_id").select(F.col("asked_by").alias("query_id"), "doc_id", "score", "rank")
 
 
 def top_k(scored: DataFrame, k: int | None) -> DataFrame:
