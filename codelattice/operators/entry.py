@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelattice.operators.hierarchy import hierarchy
+from codelattice.operators.hierarchy import hierarchy, paths
 from codelattice.operators.references import orphan_counts, orphan_edges, orphan_suppressions
 from codelattice.sources.tables import edges_of_kind, table
 
@@ -23,6 +23,11 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return h.where("depth >= 0").select("node_id", "parent_id", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"))
 
 
+def p3_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Full path of every node outside the rings, root first."""
+    return paths(hierarchy(_contains(spark, d))).select("node_id", F.array_join("path", "/").alias("path"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     t = lambda name: table(spark, d, name)
     a = orphan_edges(t("edges"), t("nodes"), t("deleted_files"))
@@ -63,11 +68,12 @@ WHERE NOT coalesce(CASE sc WHEN 'finding' THEN tg IN (SELECT lower(finding_id) F
   WHEN 'file' THEN tg IN (SELECT file_path FROM source_files WHERE file_path IS NOT NULL)
   WHEN 'repo' THEN tg IN (SELECT lower(repo_id) FROM repos WHERE repo_id IS NOT NULL) ELSE false END, false))"""
 
-QUERIES = {"p3_found": p3_found, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p3_found": p3_found, "p3_descendants": p3_descendants, "p3_paths": p3_paths, "p5_found": p5_found, "p5_report": p5_report}
 ORACLE = {
     "p3_found": _TREE + " SELECT n.id AS node_id, coalesce(t.root, '(cycle)') AS root_id, coalesce(t.depth, -1) AS depth FROM n LEFT JOIN t ON t.id = n.id",
     "p3_descendants": _TREE + """, up(id, a) AS (SELECT t.id, l.p FROM t JOIN l ON l.c = t.id UNION ALL SELECT up.id, l.p FROM up JOIN l ON l.c = up.a)
 SELECT t.id AS node_id, any_value(l.p) AS parent_id, count(DISTINCT up.id) AS descendants FROM t LEFT JOIN l ON l.c = t.id LEFT JOIN up ON up.a = t.id GROUP BY 1""",
+    "p3_paths": _TREE.replace("t(id, root, depth)", "t(id, root, depth, path)").replace("SELECT id, id, 0 FROM n", "SELECT id, id, 0, id FROM n").replace("t.depth + 1 FROM", "t.depth + 1, t.path || '/' || l.c FROM") + " SELECT id AS node_id, path FROM t",
     "p5_found": _ORPHANS + " SELECT * FROM o",
     "p5_report": _ORPHANS + " SELECT ref_table, period, count(*) AS orphans FROM o GROUP BY 1, 2",
 }

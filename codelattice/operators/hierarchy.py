@@ -297,3 +297,40 @@ def _blocks(tree: DataFrame, coded: DataFrame, n: int, wide: int, work: Workspac
     tree = tree.join(F.broadcast(there), ["parent", "part"], "left")
     block = F.coalesce("b_", F.lit(0))
     return tree.select("parent", "child", "inner", "ring_parent", block.alias("block"), F.when(F.col("more").isNotNull(), block + 1).otherwise(F.lit(-1)).alias("next_block"))
+
+
+def paths(h: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``(node_id, path)``: ids from the root down to each node of a ``hierarchy`` with intervals.
+
+    Stretches of path double each round, so the rounds are logarithmic in the depth; a
+    stretch that reaches below the root is finished by its known root, so roots with very
+    many nodes are never a join key.  Nodes on or below rings have no path and give no row.
+    """
+    work = Workspace(h.sparkSession, "paths")
+    rows = work.write(h.where("depth >= 0").select("node_id", "root_id", "depth", "parent_id"), "nodes")
+    state = rows.where("depth > 0").select("node_id", "root_id", F.col("parent_id").alias("top"), (F.col("depth") - 1).alias("above"), F.array("node_id").alias("path"))
+    state = work.write(state, "stretches")
+    roots = rows.where("depth = 0").select("node_id", F.array("node_id").alias("path"))
+    for _ in range(max_rounds):
+        waiting = state.where("above > 0")
+        if waiting.isEmpty():
+            break
+        upper = state.select(F.col("node_id").alias("top"), F.col("top").alias("next_top"), F.col("above").alias("next_above"), F.col("path").alias("head"))
+        longer = waiting.join(upper, "top").select("node_id", "root_id", F.col("next_top").alias("top"), F.col("next_above").alias("above"), F.concat("head", "path").alias("path"))
+        grown = work.write(state.where("above = 0").unionByName(longer), "stretches")
+        work.drop(state)
+        state = grown
+    else:
+        raise RuntimeError("the trees are deeper than the rounds reach")
+    return roots.unionByName(state.select("node_id", F.concat(F.array("root_id"), "path").alias("path")))
+
+
+def descendants(h: DataFrame) -> DataFrame:
+    """``(node_id, descendant_id, levels)``: every node below each node, from the paths: one row a pair that is there."""
+    p = paths(h).select(F.col("node_id").alias("descendant_id"), F.size("path").alias("n_"), F.posexplode("path").alias("at_", "node_id"))
+    return p.where("at_ < n_ - 1").select("node_id", "descendant_id", (F.col("n_") - 1 - F.col("at_")).alias("levels"))
+
+
+def is_below(a_entry, a_exit, b_entry):
+    """Does b lie below a (under the same root), by their intervals?"""
+    return (a_entry < b_entry) & (b_entry < a_exit)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from codelattice.operators.hierarchy import hierarchy
+from codelattice.operators.hierarchy import descendants, hierarchy, paths
 
 
 def brute(links):
@@ -70,3 +70,20 @@ def test_empty_and_extra_columns(spark):
     assert hierarchy(df).count() == 0
     df = spark.createDataFrame([("a", "b", 1, "e")], "child string, parent string, node long, entry string")
     assert {(r.node_id, r.depth) for r in hierarchy(df).collect()} == {("a", 1), ("b", 0)}
+
+
+def test_paths_and_descendants(spark):
+    rnd = random.Random(9)
+    links = [(f"n{i}", f"n{rnd.randrange(max(0, i - 4), i)}") for i in range(1, 40)] + [("x", "y"), ("r0", "r1"), ("r1", "r0"), ("b", "r0")]
+    h = hierarchy(spark.createDataFrame(links, "child string, parent string"))
+    par = dict(links)
+
+    def up(n):
+        return [*up(par[n]), n] if n in par else [n]
+
+    nodes = [n for n in {x for link in links for x in link} if n not in ("r0", "r1", "b")]
+    assert {r.node_id: r.path for r in paths(h).collect()} == {n: up(n) for n in nodes}
+    got = {(r.node_id, r.descendant_id): r.levels for r in descendants(h).collect()}
+    assert got == {(a, n): len(up(n)) - 1 - i for n in nodes for i, a in enumerate(up(n)[:-1])}
+    empty = hierarchy(spark.createDataFrame([], "child string, parent string"))
+    assert paths(empty).count() == 0 and descendants(empty).count() == 0
