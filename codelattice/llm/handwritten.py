@@ -4,7 +4,7 @@ Every file is read once, whole.  Thresholds on layout (line length, blanks, lett
 digits, number density, encoded runs, numbered names, all per language) tell minified,
 data and unmarked generated files; a leading comment or the path tells marked ones.
 Unmarked third-party copies are found against the marked ones: files whose five-word
-shingles, winnowed, are to 0.8 or more among those of marked third-party files.
+shingles are to 0.8 or more among those of marked third-party files.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from codelattice.operators.references import orphan_rows
 from codelattice.plans.materialize import Workspace
 
 OWN_COMPANY = "Fernwood Parcels"
-SHINGLE, SIMILAR, WINDOW = 5, 0.8, 4
+SHINGLE, SIMILAR = 5, 0.8
 #: Directories that hold dependencies, in lower case, by convention of package managers.
 VENDOR = frozenset("vendor node_modules godeps _vendor third_party thirdparty third-party bower_components external extern deps jspm_packages site-packages carthage pods".split())
 #: Per language: share of the text in packed lines, in data lines, of digits (number
@@ -158,7 +158,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprints(body: str) -> list[int]:
-    """Winnowed hashes of five-word shingles: of every ``WINDOW`` neighbours the least is kept."""
+    """Distinct hashes of all five-word shingles; a body of fewer words has one, of the whole."""
     w = _WORD.findall(body)
     if not w:
         return []
@@ -170,9 +170,6 @@ def fingerprints(body: str) -> list[int]:
             h = h * _BASE + code[j : j + n]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-    if n > WINDOW:
-        view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        h = np.unique(view.min(axis=1))
     return np.unique(h).view(np.int64).tolist()
 
 
@@ -203,17 +200,29 @@ def not_handwritten(files: DataFrame, nodes: DataFrame | None = None, similar: f
                 words = " ".join(_WORD.findall(body))
                 reasons.append(reason)
                 bodies.append(hashlib.blake2b(words.encode("utf-8", "replace"), digest_size=16).hexdigest())
-                prints.append(fingerprints(body) if reason in (None, "third-party") else [])
+                # a bare package line is no code that could be copied
+                prints.append(fingerprints(body) if reason in (None, "third-party") and not _PREAMBLE.fullmatch(body.strip()) else [])
             yield pa.RecordBatch.from_arrays([b.column("repo_id"), b.column("file_path"), pa.array(reasons, pa.string()), pa.array(bodies, pa.string()), pa.array(prints, pa.list_(pa.int64()))], ["repo_id", "file_path", "reason", "body", "prints"])
 
     seen = work.write(rows.mapInArrow(run, "repo_id string, file_path string, reason string, body string, prints array<long>"), "verdicts")
     # equal bodies are one class; a class has its fingerprints once, however often it is copied
     size = F.size("prints")
     known = seen.where(F.col("reason").isNull() & (size > 0)).groupBy("body").agg(F.first("prints").alias("prints"))
-    marked = seen.where((F.col("reason") == "third-party") & (size >= 8)).groupBy("body").agg(F.first("prints").alias("prints"))
+    marked = seen.where((F.col("reason") == "third-party") & (size > 0)).groupBy("body").agg(F.first("prints").alias("prints"))
     third = work.write(marked.select(F.explode("prints").alias("fp")).distinct(), "third")
-    open_prints = work.write(known.select("body", F.explode("prints").alias("fp")), "open")
-    missing = orphan_rows(open_prints, ["fp"], third).groupBy("body").agg(F.count(F.lit(1)).alias("missing"))
-    copies = known.select("body", F.size("prints").alias("n")).join(missing, "body", "left").where((F.col("n") >= 8) & (F.coalesce("missing", F.lit(0)) <= (1 - similar) * F.col("n"))).select("body", F.lit("third-party").alias("copied"))
+    # a copy may miss ``spare`` shingles, so it misses no more of any part of them: a part
+    # larger than that is looked up first, the rest only of bodies that may still be copies
+    spare = (size - F.ceil(similar * size)).cast("int")
+    part = F.least(size, spare + F.ceil(size / 10).cast("int"))
+    classes = work.write(known.select("body", "prints", spare.alias("spare"), part.alias("part")), "classes")
+
+    def lacking(prints: DataFrame, name: str) -> DataFrame:
+        return orphan_rows(prints, ["fp"], third).groupBy("body").agg(F.count(F.lit(1)).alias(name))
+
+    first = work.write(classes.select("body", F.explode(F.slice("prints", F.lit(1), F.col("part"))).alias("fp")), "first")
+    maybe = classes.join(lacking(first, "missed"), "body", "left").where(F.coalesce("missed", F.lit(0)) <= F.col("spare")).withColumn("left", F.col("spare") - F.coalesce("missed", F.lit(0)))
+    maybe = work.write(maybe.select("body", "left", F.slice("prints", F.col("part") + 1, size).alias("prints")), "maybe")
+    rest = work.write(maybe.select("body", F.explode("prints").alias("fp")), "rest")
+    copies = maybe.select("body", "left").join(lacking(rest, "missing"), "body", "left").where(F.coalesce("missing", F.lit(0)) <= F.col("left")).select("body", F.lit("third-party").alias("copied"))
     out = seen.drop("prints").join(copies, "body", "left").select("repo_id", "file_path", F.coalesce("reason", "copied").alias("reason"))
     return out.where("reason IS NOT NULL").groupBy("repo_id", "file_path").agg(F.min("reason").alias("reason"))

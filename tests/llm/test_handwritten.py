@@ -74,3 +74,24 @@ def test_heading_and_fingerprints():
     assert heading("// a\n/* b */\npackage x\n// c\nfunc f() {}")[1].strip().endswith("func f() {}")
     assert fingerprints("") == [] and len(fingerprints("one two")) == 1
     assert set(fingerprints(BODY)) == set(fingerprints(BODY.replace("\n", "\n\n")))
+
+
+def test_copies_are_decided_on_all_shingles(spark):
+    notice = "// Copyright (c) 2014 the lib authors. Permission to use, copy and share\n\n"
+    rows, due = [], set()
+    for i in range(40):
+        rnd = random.Random(100 + i)
+        words = ["".join(rnd.choices("abcdefghijklmnopqrst", k=7)) for _ in range(104)]
+        for edits in (3, 4, 5):  # 15, 20 and 25 of 100 shingles
+            mine = list(words)
+            for at in range(edits):
+                mine[10 + 20 * at] = "edited"
+            rows.append((f"r{i}", f"own/{edits}.txt", "text", "\n".join(mine)))
+            if edits <= 4:
+                due.add((f"r{i}", f"own/{edits}.txt"))
+        rows.append((f"r{i}", "lib.txt", "text", notice + "\n".join(words)))
+    short, tiny = "func twice(a int) int { return a + a }", "module.exports = again"
+    rows += [("s", "lib.go", "go", notice + short), ("s", "own.go", "go", short), ("s", "no.go", "go", short.replace("twice", "double")), ("s", "lib.js", "javascript", notice + tiny), ("s", "own.js", "javascript", tiny)]
+    rows += [("s", "lib/doc.go", "go", notice + "package lib"), ("s", "own/doc.go", "go", "package lib")]
+    found = {(r.repo_id, r.file_path) for r in not_handwritten(spark.createDataFrame(rows, "repo_id string, file_path string, language string, content string")).collect()}
+    assert {x for x in found if "lib" not in x[1]} == due | {("s", "own.go"), ("s", "own.js")}
