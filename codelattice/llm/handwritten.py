@@ -26,12 +26,18 @@ SHINGLE, SIMILAR = 5, 0.8
 VENDOR = frozenset("vendor node_modules godeps _vendor third_party thirdparty third-party bower_components external extern deps jspm_packages site-packages carthage pods".split())
 #: Per language: share of the text in packed lines, in data lines, of digits (number
 #: literals of tables saved as code) and of serially numbered names; compression ratio.
+#: Dense text has lines of at least ``mean_line`` on average and ``longest`` at most, and no
+#: more than ``blanks`` of white space; up to ``alnum`` letters and digits it is minified
+#: code, wrapped or not, from ``encoded`` on it is encoded data.
+_COMMON = {"data": 0.65, "digits": 0.22, "numbered": 0.08, "ratio": 4.6, "encoded": 0.90}
 THRESHOLDS = {
-    "default": {"packed": 0.50, "data": 0.65, "digits": 0.22, "numbered": 0.08, "ratio": 4.6},
-    "javascript": {"packed": 0.40, "data": 0.65, "digits": 0.22, "numbered": 0.08, "ratio": 4.6},
-    "typescript": {"packed": 0.45, "data": 0.65, "digits": 0.22, "numbered": 0.08, "ratio": 4.6},
-    "go": {"packed": 0.50, "data": 0.65, "digits": 0.22, "numbered": 0.08, "ratio": 4.6},
+    "default": _COMMON | {"packed": 0.50, "mean_line": 60, "longest": 80, "blanks": 0.07, "alnum": 0.70},
+    "javascript": _COMMON | {"packed": 0.40, "mean_line": 50, "longest": 60, "blanks": 0.09, "alnum": 0.72},
+    "typescript": _COMMON | {"packed": 0.45, "mean_line": 50, "longest": 60, "blanks": 0.08, "alnum": 0.72},
+    "go": _COMMON | {"packed": 0.50, "mean_line": 55, "longest": 70, "blanks": 0.08, "alnum": 0.74},
 }
+#: A body of fewer characters is dense only with lines this long, and data only if so much of it is in data lines: one constant is no data file.
+SHORT, SHORT_LINE, SHORT_DATA = 200, 100, 0.90
 #: A packed line has at least so many characters, at most this share of blanks and at least this share of operators.
 PACKED_LENGTH, PACKED_BLANKS, PACKED_SIGNS = 300, 0.10, 0.15
 
@@ -139,16 +145,22 @@ def verdict(path: str, language: str | None, content: str | None, external: bool
         return "generated", body, head
     if _BUNDLE.match(text):
         return "minified", body, head
-    if len(body.strip()) < 200:
+    if not body.strip():
         return None, body, head
     name = (path or "").rsplit("/", 1)[-1]
     kind = language or _EXTENSION.get(name.rsplit(".", 1)[-1].lower(), "default")
     limit = THRESHOLDS.get(str(kind).lower(), THRESHOLDS["default"])
-    x = layout(body)
+    x = layout(body.strip("\n"))
+    short = len(body.strip()) < SHORT
     if x["packed"] >= limit["packed"]:
         return "minified", body, head
-    if x["data"] >= limit["data"] or x["digits"] >= limit["digits"]:
+    if x["data"] >= (SHORT_DATA if short else limit["data"]) or (x["digits"] >= limit["digits"] and not short):
         return "data", body, head
+    if x["mean_line"] >= (SHORT_LINE if short else limit["mean_line"]) and x["longest"] >= limit["longest"] and x["blanks"] <= limit["blanks"]:
+        if x["alnum"] <= limit["alnum"]:
+            return "minified", body, head
+        if x["alnum"] >= limit["encoded"]:
+            return "data", body, head
     if x["numbered"] >= limit["numbered"] or x["ratio"] >= limit["ratio"]:
         return "generated", body, head
     return None, body, head

@@ -95,3 +95,23 @@ def test_copies_are_decided_on_all_shingles(spark):
     rows += [("s", "lib/doc.go", "go", notice + "package lib"), ("s", "own/doc.go", "go", "package lib")]
     found = {(r.repo_id, r.file_path) for r in not_handwritten(spark.createDataFrame(rows, "repo_id string, file_path string, language string, content string")).collect()}
     assert {x for x in found if "lib" not in x[1]} == due | {("s", "own.go"), ("s", "own.js")}
+
+
+def test_dense_and_short_layout():
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(1, 4)))
+    packed = "".join(rnd.choice(["if(%s&&!%s){%s();return}", "%s=%s?%s:null;", "%s(function(%s){%s()});", "for(%s of %s)%s++;", "var %s={%s:[%s]};"]) % (name(), name(), name()) for _ in range(150))
+    for width in (72, 120, 250):  # bundles wrapped below the length of a packed line
+        wrapped = "\n".join(packed[i : i + width] for i in range(0, len(packed), width))
+        assert reason("s/a.js", wrapped, "javascript") == reason("s/a.ts", wrapped, "typescript") == "minified"
+    narrow = "\n".join(packed[i : i + 57] for i in range(0, len(packed), 57))  # the thresholds are a language's own
+    assert reason("s/a.go", narrow, "go") is None and reason("s/a.js", narrow + "\n" + packed[:60], "javascript") == "minified"
+    encoded = "\n".join(f"{i % 10}:" + "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=38)) + "-" + "".join(rnd.choices("abcdefghij", k=38)) + ";x" for i in range(20))
+    assert reason("s/a.txt", encoded, "text") == "data"
+    # short bodies: data and minified ones are found, plain ones are not
+    assert reason("s/a.json", '[\n  {"12": 4.5, "13": 7},\n  {"14": 4.5, "15": 9}\n]', "json") == "data"
+    assert reason("s/a.csv", "12;4.5;7;1004\n13;4.5;9;1005\n14;4.1;9;1006", "csv") == "data"
+    assert reason("s/a.js", packed[:150], "javascript") == "minified"
+    for text in ("package version\n\nconst Build = 20240101123456\n", 'export { default } from "./src/components/parcels/tracking/index";\n', "module.exports=require('./lib/index.js');", "package a\n\nvar t = []int{1, 2, 3, 4, 5}\n"):
+        assert reason("s/a.ts", text, "typescript") is None
+    assert reason("s/a.go", BODY + '\nvar s = "' + "".join(rnd.choices("ABCDEFGHIJKLMNOPabcdefghijklmnop", k=len(BODY))) + '"\n') is None  # a long line among code
