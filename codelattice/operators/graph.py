@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -23,12 +24,13 @@ def steps(edges: DataFrame, direction: str = "callers") -> DataFrame:
     return {"callers": back, "callees": ahead, "both": back.unionByName(ahead)}[direction]
 
 
-def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers", depth: int = DEPTH, hub: int | None = HUB, cap: int | None = None) -> DataFrame:
+def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers", depth: int | None = DEPTH, hub: int | None = HUB, cap: int | None = None) -> DataFrame:
     """Nodes within ``depth`` hops of each origin: ``(origin, node, distance, is_hub)``, seeds at 0.
 
     ``seeds`` (origin, node): many origins walk together, one join a hop over the whole
     frontier.  A node with more than ``hub`` neighbour entries is reported but not expanded.
     ``cap`` keeps the first nodes of each origin by (distance, node) after each hop.
+    Without a ``depth`` the walk goes on until a hop brings nothing new.
     Null ends and seeds are left out; seeds without edges stay.
     """
     work = Workspace(edges.sparkSession, "blast")
@@ -40,7 +42,7 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers",
         moves = moves.join(hubs.select(F.col("node").alias("at")), "at", "left_anti")
     moves = work.write(moves, "moves")
     seen = work.write(seeds.where("node IS NOT NULL").select("origin", "node").distinct().withColumn("distance", F.lit(0)), "seen")
-    for hop in range(1, min(depth, MAX_DEPTH) + 1):
+    for hop in count(1) if depth is None else range(1, min(depth, MAX_DEPTH) + 1):
         front = seen.where(F.col("distance") == hop - 1)
         new = front.join(moves, front["node"] == moves["at"]).select("origin", F.col("to").alias("node")).distinct()
         new = new.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("distance", F.lit(hop))
@@ -50,6 +52,8 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers",
             grown = grown.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= cap).drop("rn_")
         old, seen = seen, work.write(grown, "seen")
         work.drop(old)
+        if depth is None and seen.where(F.col("distance") == hop).isEmpty():
+            break
     if hubs is None:
         return seen.withColumn("is_hub", F.lit(False))
     return seen.join(hubs.withColumn("is_hub", F.lit(True)), "node", "left").select("origin", "node", "distance", F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
@@ -183,14 +187,24 @@ def call_chain(spark: SparkSession, d: str) -> DataFrame:
     return e.join(near, "src").select("src", "dst", (F.col("distance") + 1).alias("hop"))
 
 
+def covering(calls: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Test entry points that reach a seed over any number of calls: ``(node, distance)``.
+
+    An entry point is a function of a test file that the test runner starts by its name; it
+    is not walked through unless it is a seed itself.  Helpers in test files are no tests: they are.
+    """
+    entry = P.is_test_file(F.col("file_path")) & (F.col("kind") == "function") & F.coalesce(P.is_go_test_name(F.col("symbol_path")), F.lit(False))
+    tests = nodes.where(entry).select(F.col("node_id").alias("node")).distinct()
+    ends = tests.join(seeds.select("node"), "node", "left_anti")
+    through = calls.join(ends.select(F.col("node").alias("dst")), "dst", "left_anti")
+    seen = blast_radius(through.select("src", "dst"), seeds, depth=None, hub=None)
+    return seen.join(tests, "node", "left_semi").select("node", "distance")
+
+
 def tests_covering(spark: SparkSession, d: str) -> DataFrame:
-    """Test functions that reach a seed over CALLS, not walked through."""
-    e = _main_edges(spark, d, "calls").select("src", "dst")
+    """Test entry points that reach a seed over CALLS, however far."""
     n = current_nodes(table(spark, d, "nodes")).where("branch = 'main'")
-    tests = n.where(P.is_test_file(F.col("file_path")) & F.col("kind").isin("function", "method")).select(F.col("node_id").alias("t"))
-    through = e.join(tests.select(F.col("t").alias("dst")), "dst", "left_anti")
-    seen = blast_radius(through.select("src", "dst"), _seeds(spark, d), depth=6, hub=None)
-    return seen.join(tests.select(F.col("t").alias("node")), "node", "left_semi").select("node", "distance")
+    return covering(_main_edges(spark, d, "calls").select("src", "dst"), n, _seeds(spark, d))
 
 
 def fan_in(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 from codelattice.operators.clones import groups_by_hash, propagate_labels
 from codelattice.operators.gates import changed_nodes, scope_guard
-from codelattice.operators.graph import blast_radius, strong_components
+from codelattice.operators.graph import blast_radius, covering, strong_components
 
 E = "src string, dst string"
 
@@ -58,3 +58,13 @@ def test_changes_and_guard(spark):
     one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "node string")
     edges = spark.createDataFrame([("k", "n1"), ("n2", "n1"), ("n3", "z")], E)
     assert {r.node for r in scope_guard(one("k", "n2", "n3", "o"), one("k"), one("n1", "n2", "n3"), edges).collect()} == {"n3", "o"}
+
+
+def test_covering_walks_to_the_end_and_through_helpers(spark):
+    chain = [("TestFar", "c14"), *[(f"c{i + 1}", f"c{i}") for i in range(14)], ("c0", "c3")]
+    calls = spark.createDataFrame([*chain, ("helper", "c0"), ("TestNear", "helper"), ("TestOuter", "TestNear"), ("suite", "helper"), ("Testify", "c0"), ("TestProd", "c0")], "src string, dst string")
+    named = [("TestFar", "a/far_test.go", "function"), ("TestNear", "a/near_test.go", "function"), ("TestOuter", "a/near_test.go", "function"), ("helper", "a/near_test.go", "function"), ("suite", "a/near_test.go", "method"), ("Testify", "a/near_test.go", "function"), ("TestProd", "a/prod.go", "function"), *[(f"c{i}", "a/a.go", "function") for i in range(15)], ("nameless", None, None)]
+    nodes = spark.createDataFrame([(n, None if n == "nameless" else n, f, k) for n, f, k in named], "node_id string, symbol_path string, file_path string, kind string")
+    seeds = spark.createDataFrame([("all", "c0")], "origin string, node string")
+    assert {(r.node, r.distance) for r in covering(calls, nodes, seeds).collect()} == {("TestFar", 15), ("TestNear", 2)}
+    assert covering(calls.limit(0), nodes, seeds.limit(0)).count() == 0
