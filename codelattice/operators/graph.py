@@ -212,16 +212,21 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("dst").alias("node_id"), "kind").agg(F.count(F.lit(1)).alias("inbound"), F.count_distinct("src").alias("sources"))
 
 
+def file_reach(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What each file's symbols reach as callers within the usual depth, over edges of every kind, not capped: (origin, node, distance), origin repo:path.
+
+    ``nodes`` (node_id, repo_id, file_path) are the files' symbols of every kind; rows without a path are left out.
+    """
+    seeds = nodes.where("file_path IS NOT NULL").select(F.concat_ws(":", "repo_id", "file_path").alias("origin"), F.col("node_id").alias("node"))
+    return blast_radius(edges.select("src", "dst"), seeds).select("origin", "node", "distance")
+
+
 def hot_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Files by changes times blast size: one search from every file's symbols at once, top 20."""
+    """Files by changes times blast size: one search from all of every file's symbols at once, top 20."""
     n = current_nodes(table(spark, d, "nodes")).where("branch = 'main'")
-    code = n.where(F.col("kind").isin("function", "method") & F.col("file_path").isNotNull())
     changes = table(spark, d, "nodes").where("branch = 'main' AND file_path IS NOT NULL").groupBy("repo_id", "file_path").agg(F.count_distinct("last_promoted_at").alias("changes"))
-    origin = F.concat_ws(":", "repo_id", "file_path")
-    e = _main_edges(spark, d, "calls").select("src", "dst")
-    seen = blast_radius(e, code.select(origin.alias("origin"), F.col("node_id").alias("node")), depth=2)
-    size = seen.groupBy("origin").agg(F.count(F.lit(1)).alias("blast"))
-    z = changes.withColumn("origin", origin).join(size, "origin").select("repo_id", "file_path", "changes", "blast", (F.col("changes") * F.col("blast")).alias("score")).where("score > 0")
+    size = file_reach(_main_edges(spark, d), n).groupBy("origin").agg(F.count(F.lit(1)).alias("blast"))
+    z = changes.withColumn("origin", F.concat_ws(":", "repo_id", "file_path")).join(size, "origin").select("repo_id", "file_path", "changes", "blast", (F.col("changes") * F.col("blast")).alias("score")).where("score > 0")
     return z.orderBy(F.col("score").desc(), "repo_id", "file_path").limit(20)
 
 

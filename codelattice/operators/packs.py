@@ -10,7 +10,7 @@ from codelattice.functions.text import canonical_url, directory, truncate_bytes
 from codelattice.operators import predicates as P
 from codelattice.operators.current import SQL, current_nodes, latest
 from codelattice.operators.gates import _CHANGED, _STATES as _SQL_STATES, _states, changed_nodes
-from codelattice.operators.graph import ORACLE as _GRAPH, _BASE, _main_edges, _seeds, blast_radius, tests_covering
+from codelattice.operators.graph import ORACLE as _GRAPH, _BASE, _main_edges, _seeds, blast_radius, file_reach, tests_covering
 from codelattice.operators.lookup import _open
 from codelattice.operators.search import FETCH, _docs, _queries, bm25, top_k
 from codelattice.operators.vectors import exact_search, static_embedding
@@ -41,13 +41,21 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_report(spark: SparkSession, d: str) -> DataFrame:
-    """For each changed file: changed symbols, callers reached in two hops, open findings, and a risk from them."""
+    """For each changed file: changed symbols, what else its symbols reach as callers, open findings, and a risk from them.
+
+    As in hot zones the reach starts from all symbols of the file and goes over edges of every
+    kind; packages, modules, files and chunks are walked through but not counted.
+    """
     base, after = _states(spark, d)
     changed = changed_nodes(base, after).where("branch = 'main' AND change <> 'removed'")
-    code = after.where("branch = 'main' AND kind IN ('function', 'method', 'class')").join(changed.select("node_id"), "node_id", "left_semi")
+    n = after.where("branch = 'main'").select("node_id", "kind", "repo_id", "file_path")
     origin = F.concat_ws(":", "repo_id", "file_path")
-    seen = blast_radius(_main_edges(spark, d, "calls").select("src", "dst"), code.select(origin.alias("origin"), F.col("node_id").alias("node")), depth=2)
-    reach = seen.groupBy("origin").agg(F.count_if(F.col("distance") == 0).alias("symbols"), F.count_if(F.col("distance") > 0).alias("callers"))
+    symbol = ~F.coalesce(F.col("kind").isin(*P.CONTAINER_KINDS), F.lit(False))
+    files = n.where("file_path IS NOT NULL").join(changed.select("node_id"), "node_id").groupBy(origin.alias("origin")).agg(F.count_if(symbol).alias("symbols"))
+    seen = file_reach(_main_edges(spark, d), n.withColumn("origin", origin).join(files.select("origin"), "origin", "left_semi"))
+    kinds = current_nodes(table(spark, d, "nodes")).where("branch = 'main'").select(F.col("node_id").alias("node"), "kind")
+    callers = seen.where("distance > 0").join(kinds, "node").where(symbol).groupBy("origin").agg(F.count(F.lit(1)).alias("callers"))
+    reach = files.join(callers, "origin", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
     bad = _open(spark, d).where("state = 'open' AND branch = 'main'").groupBy(origin.alias("origin")).agg(F.count(F.lit(1)).alias("findings"))
     j = reach.join(bad, "origin", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
     return j.select(F.substring_index("origin", ":", 1).alias("repo_id"), F.expr("substring(origin, instr(origin, ':') + 1)").alias("file_path"), "symbols", "callers", "findings", (F.col("symbols") + F.col("callers") + 5 * F.col("findings")).alias("risk"))

@@ -1,8 +1,9 @@
 import random
+from datetime import datetime
 
 from codelattice.operators.clones import groups_by_hash, propagate_labels
 from codelattice.operators.gates import changed_nodes, scope_guard
-from codelattice.operators.graph import blast_radius, covering, strong_components
+from codelattice.operators.graph import blast_radius, covering, file_reach, hot_zones, strong_components
 
 E = "src string, dst string"
 
@@ -68,3 +69,28 @@ def test_covering_walks_to_the_end_and_through_helpers(spark):
     seeds = spark.createDataFrame([("all", "c0")], "origin string, node string")
     assert {(r.node, r.distance) for r in covering(calls, nodes, seeds).collect()} == {("TestFar", 15), ("TestNear", 2)}
     assert covering(calls.limit(0), nodes, seeds.limit(0)).count() == 0
+
+
+def _graph(spark, d):
+    """Files of one symbol each, called in a row but for one import; a type nobody calls but one route; and a finding."""
+    at = datetime(2026, 8, 1)
+    kinds = {"f0": "function", "f1": "function", "f2": "function", "f3": "function", "f4": "function", "t": "struct", "r": "function", "p": "package"}
+    nodes = [(k, "main", "r1", f"a/{k}.go", kind, k, "go", k, at) for k, kind in kinds.items()]
+    spark.createDataFrame(nodes, "node_id string, branch string, repo_id string, file_path string, kind string, symbol_path string, language string, content_hash string, last_promoted_at timestamp_ntz").write.parquet(f"{d}/nodes.parquet")
+    edges = [("f1", "f0", "CALLS"), ("f2", "f1", "CALLS"), ("f3", "f2", "IMPORTS"), ("f4", "f3", "CALLS"), ("r", "t", "ROUTES"), ("p", "t", "CONTAINS")]
+    spark.createDataFrame([(s + t, "main", s, t, k, None, at, None, None) for s, t, k in edges], "edge_id string, branch string, src_node_id string, dst_node_id string, kind string, score float, last_promoted_at timestamp_ntz, confidence string, resolved boolean").write.parquet(f"{d}/edges.parquet")
+    spark.createDataFrame([("x", "main", "r1", "a/t.go", "t", "open", "high", at)], "finding_id string, branch string, repo_id string, file_path string, node_id string, state string, severity string, created_at timestamp_ntz").write.parquet(f"{d}/findings.parquet")
+    spark.createDataFrame([], "repo_id string, branch string, file_path string, deleted_at timestamp_ntz").write.parquet(f"{d}/deleted_files.parquet")
+
+
+def test_reach_of_files_goes_three_hops_over_every_kind(spark, tmp_path):
+    from codelattice.operators.packs import change_report
+
+    d = str(tmp_path)
+    _graph(spark, d)
+    zones = {r.file_path: (r.changes, r.blast) for r in hot_zones(spark, d).collect()}
+    assert zones["a/f0.go"] == (1, 4) and zones["a/t.go"] == (1, 3) and zones["a/p.go"] == (1, 1) and len(zones) == 8
+    report = {r.file_path: (r.symbols, r.callers, r.findings, r.risk) for r in change_report(spark, d).collect()}
+    assert report["a/f0.go"] == (1, 3, 0, 4) and report["a/t.go"] == (1, 1, 1, 7) and report["a/p.go"] == (0, 0, 0, 0) and len(report) == 8
+    none = spark.createDataFrame([("n", "r1", None)], "node_id string, repo_id string, file_path string")
+    assert file_reach(spark.createDataFrame([], "src string, dst string"), none).count() == 0
