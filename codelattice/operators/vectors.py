@@ -19,6 +19,8 @@ from codelattice.sources.tables import table
 TOP, THRESHOLD, DIM = 5, 0.60, 256
 #: Query vectors sent to the tasks at once: 32 MB at 64 numbers.
 BLOCK = 65_536
+#: Pairs whose exact distance is taken at once.
+PAIRS = 16_384
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -35,6 +37,18 @@ def normalised(a: Column) -> Column:
     return F.when(n > 0, F.transform(d, lambda v: v / n)).otherwise(d)
 
 
+def _least_of_equal(x: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors the ``n`` of the least ids, each id once: no more of them can be among the n - 1 nearest others."""
+    _, group = np.unique(x, axis=0, return_inverse=True)
+    group = group.reshape(-1)
+    order = np.lexsort((ids, group))
+    g, v = group[order], ids[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+    order, g = order[new], g[new]
+    keep = np.sort(order[np.arange(len(g)) - np.searchsorted(g, g) < n])
+    return x[keep], ids[keep]
+
+
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOCK) -> DataFrame:
     """``(query_id, vec_id, score, rank)``: the k nearest other vectors by 1 / (1 + squared distance), ties by id.
 
@@ -59,19 +73,25 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: in
                 x, vi = x[good], vi[good]
                 if not len(x):
                     continue
+                x, vi = _least_of_equal(x, vi, k + 1)
                 xx = (x * x).sum(axis=1)
                 for i in range(0, len(q), 1024):
-                    dist = np.maximum(0, qq[i : i + 1024, None] + xx[None, :] - 2 * q[i : i + 1024] @ x.T)
-                    dist[qi[i : i + 1024, None] == vi[None, :]] = np.inf
-                    m = min(k + 8, len(x))
-                    near = np.argpartition(dist, m - 1, axis=1)[:, :m]
-                    exact = ((q[i : i + 1024, None, :] - x[near]) ** 2).sum(axis=2)
-                    own = np.isinf(np.take_along_axis(dist, near, 1))
-                    score = np.where(own, -1, np.round(1 / (1 + exact), 9))
-                    order = np.lexsort((vi[near], -score), axis=1)[:, :k]
-                    s, n = np.take_along_axis(score, order, 1), vi[np.take_along_axis(near, order, 1)]
-                    keep = s >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[i : i + 1024], keep.sum(axis=1))), pa.array(n[keep]), pa.array(s[keep])], ["query_id", "vec_id", "score"])
+                    part, own = q[i : i + 1024], qi[i : i + 1024]
+                    dist = np.maximum(0, qq[i : i + 1024, None] + xx[None, :] - 2 * part @ x.T)
+                    dist[own[:, None] == vi[None, :]] = np.inf
+                    m = min(k, len(x))
+                    last = np.partition(dist, m - 1, axis=1)[:, m - 1]
+                    # all that may tie with the k-th: the sum's own error, and scores that round alike
+                    slack = 1e-12 * (1 + qq[i : i + 1024] + xx.max()) + 4e-9 * (1 + last) ** 2
+                    row, col = np.nonzero(np.isfinite(dist) & (dist <= (last + slack)[:, None]))
+                    if not len(row):
+                        continue
+                    exact = np.concatenate([((part[row[j : j + PAIRS]] - x[col[j : j + PAIRS]]) ** 2).sum(axis=1) for j in range(0, len(row), PAIRS)])
+                    score = np.round(1 / (1 + exact), 9)
+                    order = np.lexsort((vi[col], -score, row))
+                    row, col, score = row[order], col[order], score[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row[keep]]), pa.array(vi[col[keep]]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double")
 
