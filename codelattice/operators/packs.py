@@ -12,8 +12,7 @@ from codelattice.operators.current import SQL, current_nodes, latest
 from codelattice.operators.gates import _CHANGED, _STATES as _SQL_STATES, _states, changed_nodes
 from codelattice.operators.graph import ORACLE as _GRAPH, _BASE, _main_edges, _seeds, blast_radius, file_reach, tests_covering
 from codelattice.operators.lookup import _open
-from codelattice.operators.search import FETCH, _docs, _queries, bm25, top_k
-from codelattice.operators.vectors import exact_search, static_embedding
+from codelattice.operators.search import FAN, _docs, _queries, lexical, nearest, top_k
 from codelattice.sources.tables import table
 
 SNIPPET_BYTES, BUDGET_TOKENS = 1_500, 8_192
@@ -89,12 +88,8 @@ def cross_repo_score(c: DataFrame, base: int = 60) -> DataFrame:
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Vector and lexical candidates of each finding's message over all nodes, one order, ten a query."""
     docs, queries = _docs(spark, d), _queries(spark, d)
-    embed = static_embedding()
-    dv = docs.select(F.xxhash64("doc_id").alias("vec_id"), "doc_id", embed(F.concat_ws(" ", "kind", "symbol_path")).alias("embedding"))
-    qv = queries.select(F.xxhash64("query_id").alias("vec_id"), "query_id", embed(F.substring_index("query_id", ": ", -1)).alias("embedding"))
-    hits = exact_search(dv, qv, 30).select(F.col("query_id").alias("q_"), F.col("vec_id").alias("d_"), "score", "rank")
-    hits = hits.join(qv.select(F.col("vec_id").alias("q_"), "query_id"), "q_").join(dv.select(F.col("vec_id").alias("d_"), "doc_id"), "d_")
-    return top_k(cross_repo_score(candidates(hits, bm25(docs, queries, FETCH))), 10).select("query_id", "doc_id", "score", "rank")
+    found = candidates(nearest(docs, queries, FAN), lexical(docs, queries))
+    return top_k(cross_repo_score(found), 10).select("query_id", "doc_id", "score", "rank")
 
 
 def index_health(spark: SparkSession, d: str) -> DataFrame:

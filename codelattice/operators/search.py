@@ -9,18 +9,39 @@ from codelattice.operators import predicates as P
 from codelattice.operators.current import SQL, current_nodes, whole_numbers
 from codelattice.operators.lookup import _open
 from codelattice.operators.text import SQL_TOKENS
+from codelattice.operators.vectors import exact_search, static_embedding
 from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
 K1, B, RRF, FETCH, LEAST_IDF = 1.2, 0.75, 60, 40, 1e-6
+#: Results of a search; candidates that a list gives to the fusion; rows of each lexical branch for one of them.
+K = 10
+FAN, BRANCH = max(3 * K, 100), 4
+#: Verbs of queries and the verbs that names begin with for the same.
+VERBS = {
+    "register": ("add", "install", "append",),
+    "install": ("add", "register",),
+    "attach": ("add", "append",),
+    "remove": ("delete", "detach",),
+    "delete": ("remove", "destroy",),
+    "detach": ("remove", "detach",),
+    "lookup": ("get", "find", "fetch", "resolve",),
+    "retrieve": ("get", "fetch", "load", "read",),
+    "fetch": ("get", "retrieve", "load",),
+    "find": ("lookup", "resolve", "search",),
+    "create": ("new", "make", "build",),
+    "make": ("new", "create", "build",),
+    "build": ("new", "make", "create",),
+}
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH, prefix: bool = False) -> DataFrame:
     """``(query_id, doc_id, score)``: BM25 of documents by query words, any of which may match.
 
     ``docs`` (doc_id, tokens), ``queries`` (query_id, tokens).  Only postings of words that
     some query has are kept before they are counted; hot words are pre-aggregated.  Ties by
-    doc_id; ``k`` rows a query.  Documents and queries without words give no rows.
+    doc_id; ``k`` rows a query.  With ``prefix`` a query word of three bytes or more stands for
+    all words that begin with it, counted as one word.  Documents and queries without words give no rows.
     """
     docs = Workspace(docs.sparkSession, "bm25").write(docs.select("doc_id", "tokens").where(F.size("tokens") > 0), "docs")
     length = docs.select("doc_id", F.size("tokens").alias("len"))
@@ -30,7 +51,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH) -> DataFram
     same = queries.select(F.col("query_id").alias("asked_by"), F.array_join(F.array_sort(F.array_distinct("tokens")), " ").alias("query_id"))
     asked = same.select("query_id").distinct().select("query_id", F.explode(F.split("query_id", " ")).alias("term")).where("term <> ''")
     terms = asked.select("term").distinct()
-    tf = docs.select("doc_id", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = docs.select("doc_id", F.explode("tokens").alias("term"))
+    if prefix:
+        head = F.substring("word", 1, 3)
+        words = held.select(F.col("term").alias("word")).distinct().withColumn("head", head)
+        meant = words.join(terms.withColumn("head", F.substring("term", 1, 3)), "head").where((F.col("word") == F.col("term")) | (F.octet_length("term") >= 3) & F.startswith("word", "term"))
+        held = held.select("doc_id", F.col("term").alias("word")).join(meant.select("word", "term"), "word")
+    else:
+        held = held.join(terms, "term", "left_semi")
+    tf = held.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
@@ -66,7 +95,7 @@ def fuse(lists: list[DataFrame], base: int = RRF) -> DataFrame:
 
 
 def rerank(hits: DataFrame) -> DataFrame:
-    """Bonuses for definitions, matching stems and files with several hits; demotions for noise paths and coarse kinds.
+    """Bonuses for definitions, names that begin with a verb of the query's meaning, matching stems and files with several hits; demotions for noise paths and coarse kinds.
 
     ``hits`` (query_id, doc_id, score, tokens, symbol_path, kind, file_path).
     """
@@ -74,10 +103,13 @@ def rerank(hits: DataFrame) -> DataFrame:
     stems = F.array_distinct(F.concat(T.identifier_parts(F.col("symbol_path")), T.identifier_parts(F.regexp_replace(P.basename(F.col("file_path")), r"\.[^.]*$", ""))))
     name = F.lower(P.last_segment(F.col("symbol_path")))
     defined = F.array_contains("tokens", name) & F.col("kind").isin(*P.DEFINITION_KINDS)
+    verb = F.element_at(T.identifier_parts(P.last_segment(F.col("symbol_path"))), 1)
+    meant = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.coalesce(F.element_at(F.create_map(*[x for v, alike in VERBS.items() for x in (F.lit(v), F.array(*map(F.lit, alike)))]), t), F.array().cast("array<string>")))))
+    synonym = F.array_contains(meant, verb) & F.col("kind").isin(*P.DEFINITION_KINDS)
     matched = F.size(F.filter("tokens", lambda t: F.array_contains(F.col("stems"), t)))
     in_file = F.count("file_path").over(Window.partitionBy("query_id", "file_path"))
     coherent = F.when(F.col("file_path").isNull(), 0).otherwise(F.least(in_file - 1, F.lit(4)))
-    score = F.col("score") + F.col("top") * (F.coalesce(defined, F.lit(False)).cast("int") + 0.25 * F.col("matched") + 0.05 * F.col("coherent"))
+    score = F.col("score") + F.col("top") * (F.coalesce(defined, F.lit(False)).cast("int") + F.coalesce(synonym, F.lit(False)).cast("int") + 0.25 * F.col("matched") + 0.05 * F.col("coherent"))
     score = score * F.when(P.is_noise_path(F.col("file_path")), 0.6).otherwise(1.0) * F.when(F.col("kind").isin("package", "file", "module"), 0.5).otherwise(1.0)
     h = hits.withColumn("top", top).withColumn("stems", stems).withColumn("matched", matched).withColumn("coherent", coherent)
     return h.withColumn("score", F.round(score, 9)).drop("top", "stems", "matched", "coherent")
@@ -112,22 +144,34 @@ def lexical_trigram(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries = _docs(spark, d), _queries(spark, d)
+def nearest(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``: the k documents nearest to each query by their embedded kind and symbol; queries of one text are searched once."""
+    embed = static_embedding()
+    dv = docs.select(F.xxhash64("doc_id").alias("vec_id"), "doc_id", embed(F.concat_ws(" ", "kind", "symbol_path")).alias("embedding"))
+    asked = queries.select("query_id", F.substring_index("query_id", ": ", -1).alias("said"))
+    texts = asked.select("said").distinct().select(F.xxhash64(F.lit("query"), "said").alias("vec_id"), "said")
+    hits = exact_search(dv, texts.select("vec_id", embed("said").alias("embedding")), k).select(F.col("query_id").alias("q_"), F.col("vec_id").alias("d_"), "score", "rank")
+    hits = hits.join(texts.select(F.col("vec_id").alias("q_"), "said"), "q_").join(dv.select(F.col("vec_id").alias("d_"), "doc_id"), "d_")
+    return hits.join(asked, "said").select("query_id", "doc_id", "score", "rank")
+
+
+def lexical(docs: DataFrame, queries: DataFrame, k: int = FAN) -> DataFrame:
+    """Words (by their beginnings) and substrings fused, ranks counted from 0 as within a lexical index; ``BRANCH`` times k rows of each."""
     sub = substring_hits(docs, queries).withColumn("score", F.lit(0.0))
-    return top_k(fuse([bm25(docs, queries), top_k(sub, FETCH)], RRF - 1), FETCH)
+    return top_k(fuse([bm25(docs, queries, BRANCH * k, prefix=True), top_k(sub, BRANCH * k)], RRF - 1), k)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Words and substrings fused, ranks counted from 0 as within a lexical index."""
-    return _fused(spark, d).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+    """Words and substrings fused: what the lexical index gives to a search."""
+    return lexical(_docs(spark, d), _queries(spark, d)).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 def search_reranked(spark: SparkSession, d: str) -> DataFrame:
-    """The whole search: words and substrings fused, hydrated, reranked, cut to 10, with tiers."""
-    docs = _docs(spark, d).drop("tokens", "text")
-    hits = _fused(spark, d).drop("rank").join(docs, "doc_id").join(_queries(spark, d).select("query_id", "tokens"), "query_id")
-    best = top_k(rerank(hits), 10)
+    """The whole search: lexical and vector lists fused, hydrated, all candidates reranked, cut to 10, with tiers."""
+    docs, queries = _docs(spark, d), _queries(spark, d)
+    fused = fuse([lexical(docs, queries), nearest(docs, queries, FAN)])
+    hits = fused.join(docs.drop("tokens", "text"), "doc_id").join(queries.select("query_id", "tokens"), "query_id")
+    best = top_k(rerank(hits), K)
     return tiers(best).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "tier")
 
 
