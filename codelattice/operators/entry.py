@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelattice.operators.hierarchy import hierarchy, paths
+from codelattice.operators.hierarchy import descendants, hierarchy, paths
 from codelattice.operators.references import orphan_counts, orphan_edges, orphan_suppressions
 from codelattice.sources.tables import edges_of_kind, table
 
@@ -23,6 +23,13 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return h.where("depth >= 0").select("node_id", "parent_id", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"))
 
 
+def p3_descendant_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node outside the rings, a row for each pair that is there, with the nodes' intervals."""
+    h = hierarchy(_contains(spark, d))
+    ends = h.select("node_id", "entry", "exit")
+    return descendants(h).join(ends, "node_id").select("node_id", "descendant_id", "levels", "entry", "exit")
+
+
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path of every node outside the rings, root first."""
     return paths(hierarchy(_contains(spark, d))).select("node_id", F.array_join("path", "/").alias("path"))
@@ -68,7 +75,7 @@ WHERE NOT coalesce(CASE sc WHEN 'finding' THEN tg IN (SELECT lower(finding_id) F
   WHEN 'file' THEN tg IN (SELECT file_path FROM source_files WHERE file_path IS NOT NULL)
   WHEN 'repo' THEN tg IN (SELECT lower(repo_id) FROM repos WHERE repo_id IS NOT NULL) ELSE false END, false))"""
 
-QUERIES = {"p3_found": p3_found, "p3_descendants": p3_descendants, "p3_paths": p3_paths, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p3_found": p3_found, "p3_descendants": p3_descendants, "p3_descendant_rows": p3_descendant_rows, "p3_paths": p3_paths, "p5_found": p5_found, "p5_report": p5_report}
 ORACLE = {
     "p3_found": _TREE + " SELECT n.id AS node_id, coalesce(t.root, '(cycle)') AS root_id, coalesce(t.depth, -1) AS depth FROM n LEFT JOIN t ON t.id = n.id",
     "p3_descendants": _TREE + """, up(id, a) AS (SELECT t.id, l.p FROM t JOIN l ON l.c = t.id UNION ALL SELECT up.id, l.p FROM up JOIN l ON l.c = up.a)

@@ -87,3 +87,14 @@ def test_paths_and_descendants(spark):
     assert got == {(a, n): len(up(n)) - 1 - i for n in nodes for i, a in enumerate(up(n)[:-1])}
     empty = hierarchy(spark.createDataFrame([], "child string, parent string"))
     assert paths(empty).count() == 0 and descendants(empty).count() == 0
+
+
+def test_descendant_rows_are_a_query(spark, tmp_path):
+    from codelattice.operators.entry import QUERIES
+
+    spark.createDataFrame([("CONTAINS", "a", "b"), ("contains", "b", "c"), ("CONTAINS", "b", "d"), ("CALLS", "d", "e"), ("CONTAINS", "x", "y"), ("CONTAINS", "y", "x"), ("CONTAINS", "b", None)], "kind string, src_node_id string, dst_node_id string").write.parquet(f"{tmp_path}/edges.parquet")
+    rows = QUERIES["p3_descendant_rows"](spark, str(tmp_path)).collect()
+    assert sorted((r.node_id, r.descendant_id, r.levels) for r in rows) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)]
+    n = {r.node_id: r.descendants for r in QUERIES["p3_descendants"](spark, str(tmp_path)).collect()}
+    assert {k: sum(r.node_id == k for r in rows) for k in n} == n
+    assert all(r.exit - r.entry - 1 == 2 * n[r.node_id] for r in rows)
