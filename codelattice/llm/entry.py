@@ -33,11 +33,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_found, and documents that carry a passage in another order, with the share of it that they cover."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), reordered=True).select("doc_id", "item_id", "longest", "coverage", "edits", "reordered").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found}
 ORACLE = {
     "p1_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT src_node_id AS a, dst_node_id AS b FROM edges

@@ -5,7 +5,8 @@ The held-out passages are the stated, small query set: their k-word seeds go to
 number).  Each document is read once, whole; nothing is shuffled.  Seeds are found with a
 rolling Karp-Rabin hash and compared word by word.  Seeds on one diagonal join into runs;
 the tiling takes the longest run first, marks its words on both sides, shortens what it
-overlaps and goes on, so passages in another order are caught too.
+overlaps and goes on, so passages in another order are covered too: those of which as
+large a share is covered as edits would have to leave are returned on request, marked so.
 
 Which seeds must be there is a bound, not a guess: with n words and at most e edits the
 unbroken runs hold n - e words in e + 1 pieces, so at least n - e - (k - 1)(e + 1) seeds of
@@ -26,7 +27,7 @@ from codelattice.llm.words import coded, slices, words
 RUN_WORDS, EDIT_SHARE = 13, 5
 BLOCK_WORDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-FIELDS = "doc_id long, item_id long, longest int, coverage double, edits int"
+FIELDS = "doc_id long, item_id long, longest int, coverage double, edits int, reordered boolean"
 
 
 class Seeds:
@@ -160,8 +161,8 @@ def _pairs(codes: np.ndarray, ends: np.ndarray, seeds: Seeds):
                 yield u // len(seeds.codes), u % len(seeds.codes), k, dd[b : b + c], pp[b : b + c]
 
 
-def compare(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, int, float, int]]:
-    """(text number, item id, longest tile, covered share, edits) of each text that carries an item."""
+def compare(texts: list[str | None], seeds: Seeds, reordered: bool = False) -> Iterator[tuple]:
+    """(text number, item id, longest tile, covered share, edits) of each text that carries an item; if asked for, also in another order, with a mark whether it is."""
     if not seeds.items:
         return
     codes, ends = coded(texts, seeds.vocabulary)
@@ -176,18 +177,21 @@ def compare(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, i
         lo = max(0 if doc == 0 else int(ends[doc - 1]), int(dd.min()) - n - n // 5)
         hi = min(int(ends[doc]), int(dd.max()) + n + n // 5)
         edits = least_edits(seeds.codes[item], codes[lo:hi])
-        if longest >= seeds.run_words or edits <= seeds.edits[item]:
-            yield doc, seeds.items[item][0], longest, min(1.0, covered), edits
+        in_order = longest >= seeds.run_words or edits <= seeds.edits[item]
+        if in_order or (reordered and min(1.0, covered) * n >= n - seeds.edits[item] - 1e-9):
+            yield doc, seeds.items[item][0], longest, min(1.0, covered), edits, *([not in_order] if reordered else [])
 
 
-def leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS, edit_share: int = EDIT_SHARE) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS, edit_share: int = EDIT_SHARE, reordered: bool = False) -> DataFrame:
     """Documents that carry a held-out passage, with the items they carry.
 
     ``documents`` (doc_id, text), ``items`` (item_id, passage) ->
-    ``(doc_id, item_id, longest, coverage, edits)``, a row for each document and item where
+    ``(doc_id, item_id, longest, coverage, edits, reordered)``, a row for each document and item where
     ``run_words`` words of the passage stand in a row, or the whole passage stands with at
     most one word in ``edit_share`` changed, missing or added.  ``coverage`` is the share
-    of the passage under tiles, in whatever order.
+    of the passage under tiles, in whatever order; with ``reordered``, rows that only
+    stand for their coverage come too, marked so: all but one word in ``edit_share`` is
+    there, in shorter pieces.
 
     A null or wordless text carries nothing; a null or wordless passage is carried by
     nothing; repeated documents give repeated rows; repeated items count once for each
@@ -204,9 +208,9 @@ def leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS, ed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in (part for whole in batches for part in slices(whole)):
                 ids = b.column("doc_id").to_pylist()
-                rows = [(ids[d], i, n, c, e) for d, i, n, c, e in compare(b.column("text").to_pylist(), sent.value)]
+                rows = [(ids[d], *rest, *([] if reordered else [False])) for d, *rest in compare(b.column("text").to_pylist(), sent.value, reordered)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()), strict=True)], ["doc_id", "item_id", "longest", "coverage", "edits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", "item_id", "longest", "coverage", "edits", "reordered"])
 
         return docs.mapInArrow(run, FIELDS)
 

@@ -92,3 +92,14 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts())], "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(p)) for i, p in PASSAGES.items()], "item_id long, passage string")
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} >= {(5 * i, i) for i in PASSAGES}
+
+
+def test_reordered_pieces_are_found_by_coverage(spark):
+    pieces = lambda p: [p[i : i + 9] for i in range(0, len(p), 9)]
+    mixed = {i: [x for part in reversed(pieces(p)) for x in part] for i, p in PASSAGES.items()}
+    half = {i: [x for part in reversed(pieces(p[: len(p) // 2])) for x in part] for i, p in PASSAGES.items()}
+    docs = [(i, " ".join(["before", *w, "after"])) for i, w in mixed.items()] + [(100 + i, " ".join(w)) for i, w in half.items()] + [(200 + i, " ".join(p)) for i, p in PASSAGES.items()]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in PASSAGES.items()], "item_id long, passage string")
+    assert {(r.doc_id, r.item_id): r.reordered for r in leaks(d, items, reordered=True).collect()} == {(i, i): True for i in PASSAGES} | {(200 + i, i): False for i in PASSAGES}
+    assert {r.doc_id for r in leaks(d, items).collect()} == {200 + i for i in PASSAGES}
