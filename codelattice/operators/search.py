@@ -103,7 +103,7 @@ def rerank(hits: DataFrame) -> DataFrame:
     stems = F.array_distinct(F.concat(T.identifier_parts(F.col("symbol_path")), T.identifier_parts(F.regexp_replace(P.basename(F.col("file_path")), r"\.[^.]*$", ""))))
     name = F.lower(P.last_segment(F.col("symbol_path")))
     defined = F.array_contains("tokens", name) & F.col("kind").isin(*P.DEFINITION_KINDS)
-    verb = F.element_at(T.identifier_parts(P.last_segment(F.col("symbol_path"))), 1)
+    verb = F.try_element_at(T.identifier_parts(P.last_segment(F.col("symbol_path"))), F.lit(1))
     meant = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.coalesce(F.element_at(F.create_map(*[x for v, alike in VERBS.items() for x in (F.lit(v), F.array(*map(F.lit, alike)))]), t), F.array().cast("array<string>")))))
     synonym = F.array_contains(meant, verb) & F.col("kind").isin(*P.DEFINITION_KINDS)
     matched = F.size(F.filter("tokens", lambda t: F.array_contains(F.col("stems"), t)))
