@@ -5,8 +5,10 @@ The held-out passages are the stated, small query set: their k-word seeds go to
 number).  Each document is read once, whole; nothing is shuffled.  Seeds are found with a
 rolling Karp-Rabin hash and compared word by word.  Seeds on one diagonal join into runs;
 the tiling takes the longest run first, marks its words on both sides, shortens what it
-overlaps and goes on, so passages in another order are covered too: those of which as
-large a share is covered as edits would have to leave are returned on request, marked so.
+overlaps and goes on.  The tiles' length and coverage decide: a tile of ``RUN_WORDS`` is a
+leak; a coverage below what a whole passage must leave is none; between the two an exact
+word-edit distance follows.  Tiles may stand in any order: on request passages come too
+of which as large a share is covered as edits would have to leave, marked as reordered.
 
 Which seeds must be there is a bound, not a guess: with n words and at most e edits the
 unbroken runs hold n - e words in e + 1 pieces, so at least n - e - (k - 1)(e + 1) seeds of
@@ -42,12 +44,17 @@ class Seeds:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
         self.codes = [np.array([self.vocabulary[x] for x in w], np.int64) for _, w in self.items]
         self.edits = [len(w) // edit_share for _, w in self.items]
-        need, by_k = [], {}
+        need, floor, by_k = [], [], {}
         for at, c in enumerate(self.codes):
             n, e = len(c), self.edits[at]
             k = next((k for k in (4, 3, 2, 1) if n - e - (k - 1) * (e + 1) >= 1), 1)
             need.append(max(1, min(n - e - (k - 1) * (e + 1), run_words - k + 1)))
+            # words that tiles must cover if the whole passage is there: its runs of k words and more hold
+            # n - e - (k - 1)(e + 1); a tile of t words, the longest left, takes at most 2 t of them and cuts four ends short
+            least = min(k, 3)
+            floor.append(max(least, (n - e - (k - 1) * (e + 1)) / (2 + 4 * (least - 1) / least)))
             by_k.setdefault(k, []).append(at)
+        self.floor = floor
         self.need = np.array(need or [0])
         self.start = np.cumsum([0, *map(len, self.codes)])
         self.flat = np.concatenate([*self.codes, np.zeros(4, np.int64)])
@@ -162,7 +169,10 @@ def _pairs(codes: np.ndarray, ends: np.ndarray, seeds: Seeds):
 
 
 def compare(texts: list[str | None], seeds: Seeds, reordered: bool = False) -> Iterator[tuple]:
-    """(text number, item id, longest tile, covered share, edits) of each text that carries an item; if asked for, also in another order, with a mark whether it is."""
+    """(text number, item id, longest tile, covered share, edits) of each text that carries an item; if asked for, also in another order, with a mark whether it is.
+
+    ``edits`` is null where a long tile has decided before they were counted.
+    """
     if not seeds.items:
         return
     codes, ends = coded(texts, seeds.vocabulary)
@@ -174,10 +184,16 @@ def compare(texts: list[str | None], seeds: Seeds, reordered: bool = False) -> I
             runs.append((len(g) + k - 1, int(dd[g[0]]), int(pp[g[0]]) - base))
         tiles = tile(runs, min(k, 3))
         longest, covered = max(t[0] for t in tiles), sum(t[0] for t in tiles) / n
-        lo = max(0 if doc == 0 else int(ends[doc - 1]), int(dd.min()) - n - n // 5)
-        hi = min(int(ends[doc]), int(dd.max()) + n + n // 5)
-        edits = least_edits(seeds.codes[item], codes[lo:hi])
-        in_order = longest >= seeds.run_words or edits <= seeds.edits[item]
+        # coverage decides: a run of its own is enough, a whole passage leaves at least ``floor`` words under tiles, another order all but its edits
+        whole = sum(t[0] for t in tiles) >= seeds.floor[item]
+        if longest < seeds.run_words and not whole:
+            continue
+        in_order, edits = longest >= seeds.run_words, None
+        if not in_order or reordered:
+            lo = max(0 if doc == 0 else int(ends[doc - 1]), int(dd.min()) - n - n // 5)
+            hi = min(int(ends[doc]), int(dd.max()) + n + n // 5)
+            edits = least_edits(seeds.codes[item], codes[lo:hi])
+            in_order = in_order or edits <= seeds.edits[item]
         if in_order or (reordered and min(1.0, covered) * n >= n - seeds.edits[item] - 1e-9):
             yield doc, seeds.items[item][0], longest, min(1.0, covered), edits, *([not in_order] if reordered else [])
 
@@ -191,7 +207,8 @@ def leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS, ed
     most one word in ``edit_share`` changed, missing or added.  ``coverage`` is the share
     of the passage under tiles, in whatever order; with ``reordered``, rows that only
     stand for their coverage come too, marked so: all but one word in ``edit_share`` is
-    there, in shorter pieces.
+    there, in shorter pieces.  ``edits`` is null where a tile of ``run_words`` decided, unless
+    ``reordered`` rows are asked for.
 
     A null or wordless text carries nothing; a null or wordless passage is carried by
     nothing; repeated documents give repeated rows; repeated items count once for each

@@ -21,14 +21,16 @@ BODY = _code(1)
 
 
 def reason(path, content, language="go", external=False):
-    return verdict(path, language, content, external)[0]
+    return verdict(path, language, content, external, ("Fernwood Parcels",))[0]
 
 
 def test_marks_and_denials():
     for mark in ("// Code generated by toolx v1. DO NOT EDIT.", "/* @generated by toolx */", "# AUTOGENERATED FILE - run `make x` to refresh it", "/*\n * <auto-generated> t wrote this </auto-generated>\n */"):
         assert reason("a/b.go", mark + "\n\npackage a\n" + BODY) == "generated"
         assert reason("a/b.go", "package a\n\n" + mark + "\n" + BODY) == "generated"
-    for text in ("// Not generated: toolx can't express this, so please edit freely.", "// This file used to be written by toolx; it is kept by hand.", "// Generated clients call into this file. Edit it as usual."):
+    for mark in ("// Emitted from api.idl with toolx; changes here will be overwritten.", "// Written by the toolx compiler. Edit api.idl and regenerate instead of touching this.", "# This file was made automatically."):
+        assert reason("a/b.go", mark + "\n\npackage a\n" + BODY) == "generated"
+    for text in ("// Written by hand from the notes of the parcel team.", "// Run again after a change of the parcel table.", "// Not generated: toolx can't express this, so please edit freely.", "// This file used to be written by toolx; it is kept by hand.", "// Generated clients call into this file. Edit it as usual."):
         assert reason("a/b.go", text + "\npackage a\n" + BODY) is None
     assert reason("a/b.go", "package a\n" + BODY + "\nconst banner = `// Code generated by toolx. DO NOT EDIT.`\n") is None
 
@@ -115,3 +117,19 @@ def test_dense_and_short_layout():
     for text in ("package version\n\nconst Build = 20240101123456\n", 'export { default } from "./src/components/parcels/tracking/index";\n', "module.exports=require('./lib/index.js');", "package a\n\nvar t = []int{1, 2, 3, 4, 5}\n"):
         assert reason("s/a.ts", text, "typescript") is None
     assert reason("s/a.go", BODY + '\nvar s = "' + "".join(rnd.choices("ABCDEFGHIJKLMNOPabcdefghijklmnop", k=len(BODY))) + '"\n') is None  # a long line among code
+
+
+def test_idioms_of_many_packages_make_no_copy(spark):
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnopqrst", k=7)) for _ in range(n))
+    idioms = [words(30) for _ in range(8)]
+    rows = [(f"r{i}", f"vendor/pack{i}/a.go", "go", words(40) + "\n" + idiom) for i, idiom in enumerate(idioms)]
+    own, version = "\n".join(idioms), rows[0][3].replace("a", "b", 1)
+    rows += [("own", "a/idioms.go", "go", own), ("own", "a/copy.go", "go", rows[3][3]), ("r9", "vendor/pack0/v2.go", "go", version)]
+    found = {(r.repo_id, r.file_path) for r in not_handwritten(spark.createDataFrame(rows, "repo_id string, file_path string, language string, content string")).collect()}
+    assert ("own", "a/copy.go") in found and ("own", "a/idioms.go") not in found
+
+
+def test_owners_are_the_callers():
+    text = "// Copyright Acme Ltd. All rights reserved.\n" + BODY
+    assert verdict("x/a.go", "go", text, False)[0] == "third-party" and verdict("x/a.go", "go", text, False, ("acme ltd",))[0] is None

@@ -103,3 +103,18 @@ def test_reordered_pieces_are_found_by_coverage(spark):
     items = spark.createDataFrame([(i, " ".join(p)) for i, p in PASSAGES.items()], "item_id long, passage string")
     assert {(r.doc_id, r.item_id): r.reordered for r in leaks(d, items, reordered=True).collect()} == {(i, i): True for i in PASSAGES} | {(200 + i, i): False for i in PASSAGES}
     assert {r.doc_id for r in leaks(d, items).collect()} == {200 + i for i in PASSAGES}
+
+
+def test_the_coverage_floor_loses_nothing():
+    rnd2 = random.Random(21)
+    for n in (5, 9, 12, 20, 31, 64):
+        p = [rnd2.choice("abcdefgh") for _ in range(n)]
+        seeds = Seeds([(1, p)], 13, 5)
+        for _ in range(120):
+            t = [rnd2.choice("abcdefgh") for _ in range(rnd2.randrange(10))]
+            q = list(p)
+            for _ in range(n // 5):
+                at, what = rnd2.randrange(len(q)), rnd2.randrange(3)
+                q[at : at + 1] = [[], ["x"], [q[at], "x"]][what]
+            t += q + [rnd2.choice("abcdefgh") for _ in range(rnd2.randrange(10))]
+            assert bool(list(compare([" ".join(t)], seeds))) == slow(p, t)
