@@ -25,13 +25,11 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_descendant_rows(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of every node outside the rings, a row for each pair that is there, with the nodes' intervals."""
-    h = hierarchy(_contains(spark, d))
-    ends = h.select("node_id", "entry", "exit")
-    return descendants(h).join(ends, "node_id").select("node_id", "descendant_id", "levels", "entry", "exit")
+    return descendants(hierarchy(_contains(spark, d)))
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Full path of every node outside the rings, root first."""
+    """Full path of every node outside the rings, root first, from the intervals."""
     return paths(hierarchy(_contains(spark, d))).select("node_id", F.array_join("path", "/").alias("path"))
 
 

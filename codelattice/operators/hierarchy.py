@@ -14,6 +14,11 @@
 
 Positions count from the end of the tour (the last step is 0), so ``entry`` < ``exit`` and
 a node's descendants are those with an entry between the two, under the same root.
+
+4. *Sweep.*  Paths and descendants come from the intervals: nodes are laid out by (root,
+   entry) in blocks of about ``SWEEP_ROWS``, however large a tree is; each block is also
+   given the nodes whose interval is open where it begins.  Read in order, the ancestors of
+   a node are then the last node before it on each level above.
 """
 
 from __future__ import annotations
@@ -26,9 +31,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codelattice.plans.identify import number_ids
 from codelattice.plans.materialize import Workspace
+from codelattice.plans.skew import split_join
 
-#: Rows that one task may hold: about 100 MB.
-FINISH = 1_000_000
+#: Rows that one task finishes in memory.
+FINISH = 50_000
+#: Nodes of a block of the sweep, and elements of paths that it holds at once.
+SWEEP_ROWS, SWEEP_ELEMENTS = 250_000, 1_000_000
 #: Children of one parent beyond which its children are split over several blocks.
 WIDE = 100_000
 CYCLE, CYCLE_DEPTH = "(cycle)", -1
@@ -216,19 +224,25 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", fi
     raw = work.write(raw.groupBy("c").agg(F.min("p").alias("p")), "raw")
     ids = number_ids(raw.select(F.col("c").alias("id")).unionByName(raw.select(F.col("p").alias("id"))), "id", work, "ids")
     as_child, as_parent = ids.select(F.col("id").alias("c"), F.col("nr").alias("child")), ids.select(F.col("id").alias("p"), F.col("nr").alias("parent"))
-    coded = work.write(raw.join(as_child, "c").join(as_parent, "p").select("child", "parent"), "links")
+    half = work.write(raw.join(as_child, "c").select("child", "p"), "children")
     work.drop(raw)
-    n = coded.count()
+    n = half.count()
+    coded = work.write(split_join(half, as_parent, "p", n, work).select("child", "parent"), "links")
+    work.drop(half)
 
     ring = _ring_nodes(coded, n, work, finish)
     n_ring = ring.count()
     few_rings = n_ring <= 200_000
     ring_side = F.broadcast(ring) if few_rings else ring
+    ring_parents = ring.select(F.col("node").alias("parent"), F.lit(True).alias("r_"))
     # the tree links: a ring node's own link is cut; a link whose parent lies on a ring leads to a ring end
     tree = coded.join(ring_side.select(F.col("node").alias("child")), "child", "left_anti")
     parents = tree.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
     tree = tree.join(parents, "child", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
-    tree = tree.join(ring_side.select(F.col("node").alias("parent"), F.lit(True).alias("r_")), "parent", "left")
+    if few_rings:
+        tree = tree.join(F.broadcast(ring_parents), "parent", "left")
+    else:
+        tree = split_join(work.write(tree, "tree"), ring_parents, "parent", n, work, "left")
     tree = tree.select("parent", "child", "inner", F.coalesce("r_", F.lit(False)).alias("ring_parent"))
     tree = _blocks(tree, coded, n, wide, work)
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n // 500_000)
@@ -237,19 +251,21 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", fi
         "elements",
     )
     heads = elements.where("what = 0").select("node", "slot", "next_node", "next_slot", "cnt", "total")
-    ranked = _rank(heads, heads.count(), work, finish)
-    ranked = work.write(ranked, "values")
+    n_heads = heads.count()
+    ranked = work.write(_rank(heads, n_heads, work, finish), "values")
 
     # an END is named by its root; only the list elements learn the names, once for each root
     tops = ids.select(F.col("nr").alias("tail"), F.col("id").alias("root_id"))
     root_rows = ranked.where((F.col("slot") == 0) & (F.col("node") == F.col("tail")))
-    names = _names(root_rows, tops, work)
-    named = ranked.join(names, "tail", "left")
+    names = work.write(root_rows.select("tail").distinct().join(tops, "tail").select("tail", "root_id"), "roots")
+    few_roots = names.count() <= 50_000
+    named = ranked.join(F.broadcast(names), "tail", "left") if few_roots else split_join(ranked, names, "tail", n_heads, work, "left")
     into = elements.where("what = 1").select("node", "parent", "next_node", "next_slot", "cnt", "total", "inner")
     seen = named.select(F.col("node").alias("next_node"), F.col("slot").alias("next_slot"), F.col("tail").alias("t_"), F.col("tail_slot").alias("s_"), F.col("cnt").alias("c_"), F.col("total").alias("l_"), F.col("root_id").alias("r_"))
     joined = into.join(seen, ["next_node", "next_slot"], "left")
     # a step that leads straight to an end (a last leaf under a root) has no element to ask: its parent is the root
-    joined = joined.join(names.select(F.col("tail").alias("parent"), F.col("root_id").alias("own_")), "parent", "left")
+    own = names.select(F.col("tail").alias("parent"), F.col("root_id").alias("own_"))
+    joined = joined.join(F.broadcast(own), "parent", "left") if few_roots else split_join(work.write(joined, "steps"), own, "parent", n, work, "left")
     slot = F.coalesce("s_", "next_slot")
     root = F.when(slot == END_RING, F.lit(CYCLE)).otherwise(F.coalesce("r_", "own_"))
     entry = F.col("cnt") + F.coalesce("c_", F.lit(0))
@@ -268,17 +284,11 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", fi
     out = out.join(ids.select(F.col("nr").alias("node"), F.col("id").alias("node_id")), "node")
     columns = ["node_id", F.coalesce("root_id", "node_id").alias("root_id"), F.when(ring_root, F.lit(CYCLE_DEPTH)).otherwise(F.col("depth")).alias("depth")]
     if intervals:
-        out = out.join(ids.select(F.col("nr").alias("parent"), F.col("id").alias("parent_id")), "parent", "left")
+        out = split_join(work.write(out, "nodes"), ids.select(F.col("nr").alias("parent"), F.col("id").alias("parent_id")), "parent", n, work, "left")
         columns += ["parent_id", *(F.when(~F.coalesce(ring_root, F.lit(False)), F.col(c)).alias(c) for c in ("entry", "exit"))]
     return out.select(*columns)
 
 
-def _names(roots: DataFrame, tops: DataFrame, work: Workspace) -> DataFrame:
-    """Names of the roots; broadcast where their written table is small, else left to the planner."""
-    named = work.write(roots.select("tail").distinct().join(tops, "tail").select("tail", "root_id"), "roots")
-    return F.broadcast(named) if named.count() <= 50_000 else named
-
-
 def _blocks(tree: DataFrame, coded: DataFrame, n: int, wide: int, work: Workspace) -> DataFrame:
     """Split the children of very wide parents into blocks, each of which knows the next one.
 
@@ -299,38 +309,119 @@ def _blocks(tree: DataFrame, coded: DataFrame, n: int, wide: int, work: Workspac
     return tree.select("parent", "child", "inner", "ring_parent", block.alias("block"), F.when(F.col("more").isNotNull(), block + 1).otherwise(F.lit(-1)).alias("next_block"))
 
 
-def paths(h: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _open_at(starts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    """Rows of the layout -> the same, and again for each later block that begins within the node's interval."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("open", pa.array(np.zeros(b.num_rows, bool)))
+            roots = b.column("root_id")
+            for root in pa.compute.unique(roots).to_pylist():
+                if root not in starts:
+                    continue
+                at, blocks = starts[root]
+                row = np.flatnonzero(pa.compute.equal(roots, root).to_numpy(zero_copy_only=False))
+                first = np.searchsorted(at, b.column("entry").to_numpy()[row], side="right")
+                reps = np.searchsorted(at, b.column("exit").to_numpy()[row], side="left") - first
+                again = np.repeat(row, np.maximum(reps, 0))
+                if len(again):
+                    nth = np.repeat(first, np.maximum(reps, 0)) + np.arange(len(again)) - np.repeat(np.cumsum(np.maximum(reps, 0)) - np.maximum(reps, 0), np.maximum(reps, 0))
+                    t = b.take(pa.array(again))
+                    out = [pa.array(blocks[nth], pa.int32()) if name == "block" else t.column(name) for name in b.schema.names]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(np.ones(len(again), bool))], [*b.schema.names, "open"])
+
+    return run
+
+
+def _sweep(emit, elements: int):
+    """Rows in the order of (block, root, entry) -> what ``emit(t, rows, depth, above)`` makes of them.
+
+    ``above`` holds for each of ``rows`` the places in ``t`` of its ancestors and itself, root
+    first, one after the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for whole in batches:
+            size = np.cumsum(whole.column("depth").to_numpy().astype(np.int64) + 1)
+            at = 0
+            while at < whole.num_rows:
+                base = size[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(size, base + elements, side="right")))
+                t = pa.Table.from_batches([whole.slice(at, end - at)])
+                if carry is not None:
+                    t = pa.concat_tables([carry, t])
+                t, kept, at = t.combine_chunks(), 0 if carry is None else carry.num_rows, end
+                depth = t.column("depth").to_numpy()
+                start = np.append(0, np.cumsum(depth.astype(np.int64) + 1))
+                above = np.zeros(start[-1], np.int64)
+                live = np.arange(len(depth))
+                for level in range(int(depth.max(initial=-1)) + 1):
+                    live = live[depth[live] >= level]
+                    here = np.where(depth[live] == level, live, -1)
+                    above[start[live] + level] = np.maximum.accumulate(here)
+                rows = np.flatnonzero(~t.column("open").to_numpy() & (np.arange(len(depth)) >= kept))
+                if len(rows):
+                    yield from emit(t, rows, depth[rows], above[np.repeat(start[rows], depth[rows] + 1) + _within(depth[rows] + 1)])
+                carry = t.take(pa.array(above[start[-2] : start[-1]]))
+                carry = carry.set_column(carry.schema.get_field_index("open"), "open", pa.array(np.ones(carry.num_rows, bool)))
+
+    return run
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... size - 1 for each size."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _swept(h: DataFrame, emit, schema: str, name: str, block_rows: int, elements: int) -> DataFrame:
+    """``emit`` over all nodes outside the rings, by their intervals."""
+    spark = h.sparkSession
+    work = Workspace(spark, name)
+    rows = work.write(h.where("depth >= 0").select("root_id", "entry", "exit", "node_id", "depth"), "intervals")
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // block_rows))
+    laid = work.write(rows.repartitionByRange(blocks, "root_id", "entry").withColumn("block", F.spark_partition_id()), "layout")
+    work.drop(rows)
+    firsts = laid.groupBy("block").agg(F.min(F.struct("root_id", "entry", "depth")).alias("f")).collect()  # a row a block
+    starts: dict[str, list[tuple[int, int]]] = {}
+    for r in firsts:
+        if r["f"]["depth"] > 0:
+            starts.setdefault(r["f"]["root_id"], []).append((r["f"]["entry"], r["block"]))
+    within = {root: tuple(np.array(x) for x in zip(*sorted(found), strict=True)) for root, found in starts.items()}
+    fields = "root_id string, entry long, exit long, node_id string, depth int, block int, open boolean"
+    both = laid.mapInArrow(_open_at(within), fields)
+    ordered = both.repartitionByRange(blocks, "block").sortWithinPartitions("block", "root_id", "entry")
+    return ordered.mapInArrow(_sweep(emit, elements), schema)
+
+
+def paths(h: DataFrame, block_rows: int = SWEEP_ROWS, elements: int = SWEEP_ELEMENTS) -> DataFrame:
     """``(node_id, path)``: ids from the root down to each node of a ``hierarchy`` with intervals.
 
-    Stretches of path double each round, so the rounds are logarithmic in the depth; a
-    stretch that reaches below the root is finished by its known root, so roots with very
-    many nodes are never a join key.  Nodes on or below rings have no path and give no row.
+    Nodes on or below rings have no path and give no row.
     """
-    work = Workspace(h.sparkSession, "paths")
-    rows = work.write(h.where("depth >= 0").select("node_id", "root_id", "depth", "parent_id"), "nodes")
-    state = rows.where("depth > 0").select("node_id", "root_id", F.col("parent_id").alias("top"), (F.col("depth") - 1).alias("above"), F.array("node_id").alias("path"))
-    state = work.write(state, "stretches")
-    roots = rows.where("depth = 0").select("node_id", F.array("node_id").alias("path"))
-    for _ in range(max_rounds):
-        waiting = state.where("above > 0")
-        if waiting.isEmpty():
-            break
-        upper = state.select(F.col("node_id").alias("top"), F.col("top").alias("next_top"), F.col("above").alias("next_above"), F.col("path").alias("head"))
-        longer = waiting.join(upper, "top").select("node_id", "root_id", F.col("next_top").alias("top"), F.col("next_above").alias("above"), F.concat("head", "path").alias("path"))
-        grown = work.write(state.where("above = 0").unionByName(longer), "stretches")
-        work.drop(state)
-        state = grown
-    else:
-        raise RuntimeError("the trees are deeper than the rounds reach")
-    return roots.unionByName(state.select("node_id", F.concat(F.array("root_id"), "path").alias("path")))
+
+    def emit(t, rows, depth, above):
+        offsets = pa.array(np.append(0, np.cumsum(depth + 1)), pa.int32())
+        names = t.column("node_id").combine_chunks()
+        lists = pa.ListArray.from_arrays(offsets, names.take(pa.array(above)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), lists], ["node_id", "path"])
+
+    return _swept(h, emit, "node_id string, path array<string>", "paths", block_rows, elements)
 
 
-def descendants(h: DataFrame) -> DataFrame:
-    """``(node_id, descendant_id, levels)``: every node below each node, from the paths: one row a pair that is there."""
-    p = paths(h).select(F.col("node_id").alias("descendant_id"), F.size("path").alias("n_"), F.posexplode("path").alias("at_", "node_id"))
-    return p.where("at_ < n_ - 1").select("node_id", "descendant_id", (F.col("n_") - 1 - F.col("at_")).alias("levels"))
+def descendants(h: DataFrame, block_rows: int = SWEEP_ROWS, elements: int = SWEEP_ELEMENTS) -> DataFrame:
+    """``(node_id, descendant_id, levels, entry, exit)``: every node below each node, a row for each pair that is there, with the upper node's interval."""
 
+    def emit(t, rows, depth, above):
+        within = _within(depth + 1)
+        own = np.repeat(rows, depth + 1)
+        deep = np.repeat(depth, depth + 1)
+        upper = within < deep
+        a, d, n = above[upper], own[upper], (deep - within)[upper]
+        if len(a):
+            up = t.take(pa.array(a))
+            columns = [up.column("node_id"), t.column("node_id").take(pa.array(d)), pa.chunked_array([pa.array(n, pa.int32())]), up.column("entry"), up.column("exit")]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], ["node_id", "descendant_id", "levels", "entry", "exit"])
 
-def is_below(a_entry, a_exit, b_entry):
-    """Does b lie below a (under the same root), by their intervals?"""
-    return (a_entry < b_entry) & (b_entry < a_exit)
+    return _swept(h, emit, "node_id string, descendant_id string, levels int, entry long, exit long", "descendants", block_rows, elements)

@@ -46,6 +46,19 @@ def check(spark, links, **kw):
         assert (root.exit - root.entry - 1) // 2 == len(group) - 1
 
 
+@pytest.fixture
+def small_skew(monkeypatch):
+    """Every key with more than a few rows counts as heavy."""
+    from codelattice.plans import skew
+
+    monkeypatch.setattr(skew.split_join, "__defaults__", ("inner", 8, 3))
+
+
+def test_heavy_parents_and_roots(spark, small_skew):
+    links = [(f"w{i}", "top") for i in range(30)] + [(f"x{i}", f"w{i % 3}") for i in range(20)] + [("a", "b"), ("b", "a"), *((f"y{i}", "a") for i in range(9))]
+    check(spark, links, finish=5)
+
+
 @pytest.mark.parametrize("kw", [{}, {"finish": 8}, {"finish": 20, "wide": 7}])
 def test_random_forest_with_rings(spark, kw):
     rnd = random.Random(5)
@@ -72,7 +85,8 @@ def test_empty_and_extra_columns(spark):
     assert {(r.node_id, r.depth) for r in hierarchy(df).collect()} == {("a", 1), ("b", 0)}
 
 
-def test_paths_and_descendants(spark):
+@pytest.mark.parametrize("kw", [{}, {"block_rows": 3, "elements": 7}, {"block_rows": 1, "elements": 1}])
+def test_paths_and_descendants(spark, kw):
     rnd = random.Random(9)
     links = [(f"n{i}", f"n{rnd.randrange(max(0, i - 4), i)}") for i in range(1, 40)] + [("x", "y"), ("r0", "r1"), ("r1", "r0"), ("b", "r0")]
     h = hierarchy(spark.createDataFrame(links, "child string, parent string"))
@@ -82,8 +96,8 @@ def test_paths_and_descendants(spark):
         return [*up(par[n]), n] if n in par else [n]
 
     nodes = [n for n in {x for link in links for x in link} if n not in ("r0", "r1", "b")]
-    assert {r.node_id: r.path for r in paths(h).collect()} == {n: up(n) for n in nodes}
-    got = {(r.node_id, r.descendant_id): r.levels for r in descendants(h).collect()}
+    assert {r.node_id: r.path for r in paths(h, **kw).collect()} == {n: up(n) for n in nodes}
+    got = {(r.node_id, r.descendant_id): r.levels for r in descendants(h, **kw).collect()}
     assert got == {(a, n): len(up(n)) - 1 - i for n in nodes for i, a in enumerate(up(n)[:-1])}
     empty = hierarchy(spark.createDataFrame([], "child string, parent string"))
     assert paths(empty).count() == 0 and descendants(empty).count() == 0
