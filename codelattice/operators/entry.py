@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelattice.operators.hierarchy import descendants, hierarchy, paths
-from codelattice.operators.references import orphan_counts, orphan_edges, orphan_suppressions
+from codelattice.operators.references import orphan_edges, orphan_report, orphan_suppressions
 from codelattice.sources.tables import edges_of_kind, table
 
 
@@ -45,8 +45,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan references per table and month."""
-    return orphan_counts(_orphans(spark, d))
+    """Orphan references per table and month, counted per key and month before they are looked up."""
+    t = lambda name: table(spark, d, name)
+    return orphan_report(t("edges"), t("suppressions"), t("findings"), t("nodes"), t("deleted_files"), t("source_files"), t("repos"))
 
 
 _KIND = "regexp_replace(lower(kind), '[^a-z0-9]', '', 'g')"

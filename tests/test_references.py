@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from codelattice.operators.references import live_nodes, orphan_counts, orphan_edges, orphan_rows, orphan_suppressions
+from codelattice.operators.references import live_nodes, orphan_edges, orphan_report, orphan_rows, orphan_suppressions
 
 T = lambda m, d=1: dt.datetime(2025, m, d)
 NODE = "node_id string, branch string, repo_id string, file_path string, last_promoted_at timestamp_ntz"
@@ -24,8 +24,23 @@ def test_edges(spark):
     got = sorted(tuple(r) for r in orphan_edges(e, *tables(spark)).distinct().collect() if r.period)
     assert got == [("edges", "e2", "m", "2025-02"), ("edges", "e3", "x", "2025-03"), ("edges", "e4", "m", "2025-03")]
     assert {r.ref_id for r in orphan_edges(e, *tables(spark)).where("period IS NULL").collect()} == {"e5"}
-    counts = {(r.ref_table, r.period): r.orphans for r in orphan_counts(orphan_edges(e, *tables(spark))).collect()}
-    assert counts[("edges", "2025-02")] == 1 and counts[("edges", "2025-03")] == 2
+
+
+def test_report_counts_what_is_found(spark):
+    rnd = random.Random(3)
+    nodes = spark.createDataFrame([(f"n{i}", "m", "r", "f1", T(5)) for i in range(0, 30, 2)], NODE)
+    gone = spark.createDataFrame([("r", "m", "f1", T(4))], TOMB)
+    rows = [(f"e{i}", rnd.choice(["hot", "n0", None, f"n{rnd.randrange(40)}"]), rnd.choice(["m", "m", None, "x"]), rnd.choice([T(1), T(2), None])) for i in range(400)]
+    e = spark.createDataFrame(rows + rows[:90], "edge_id string, dst_node_id string, branch string, last_promoted_at timestamp_ntz")
+    s = spark.createDataFrame([(f"s{i}", rnd.choice(["finding", "file", "odd", None]), rnd.choice(["hot", " F1", "f1", None]), rnd.choice(["m", None]), rnd.choice([T(1), T(7)])) for i in range(200)], "suppression_id string, scope string, target string, branch string, created_at timestamp_ntz")
+    f, x, r = spark.createDataFrame([("f1",)], "finding_id string"), spark.createDataFrame([("f1",)], "file_path string"), spark.createDataFrame([("r",)], "repo_id string")
+    found = orphan_edges(e, nodes, gone).unionByName(orphan_suppressions(s, f, nodes, gone, x, r)).distinct().collect()
+    want = {}
+    for o in found:
+        want[(o.ref_table, o.period)] = want.get((o.ref_table, o.period), 0) + 1
+    for kw in ({}, {"floor": 5, "share": 20}):
+        assert {(o.ref_table, o.period): o.orphans for o in orphan_report(e, s, f, nodes, gone, x, r, **kw).collect()} == want
+    assert orphan_report(e.limit(0), s.limit(0), f, nodes, gone, x, r).count() == 0
 
 
 def test_heavy_keys_equal_light(spark):
