@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from codelattice.plans.identify import number_ids
 from codelattice.plans.materialize import Workspace
+from codelattice.plans.skew import split_join
 
 #: A node with more neighbours than max(HUB_FLOOR, edges / HUB_SHARE) gets its minimum by
 #: broadcast instead of through the shuffle; at most 2 * HUB_SHARE nodes can have so many.
@@ -70,10 +71,14 @@ def components(pairs: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     ends = pairs.select(F.col(src).cast("string").alias("a"), F.col(dst).cast("string").alias("b"))
     ends = ends.where((F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends = work.write(ends, "pairs")
+    n = ends.count()
     ids = number_ids(ends.select(F.col("a").alias("node_id")).unionByName(ends.select(F.col("b").alias("node_id"))), "node_id", work, "ids")
     left, right = ids.select(F.col("node_id").alias("a"), F.col("nr").alias("u")), ids.select(F.col("node_id").alias("b"), F.col("nr").alias("v"))
-    edges, state = _settle(work, ends.join(left, "a").join(right, "b").select("u", "v"), "edges")
+    # a hub's id may stand on a third of the pairs
+    half = work.write(split_join(ends, left, "a", n, work).select("u", "b"), "half")
+    edges, state = _settle(work, split_join(half, right, "b", n, work).select("u", "v"), "edges")
     work.drop(ends)
+    work.drop(half)
     for _ in range(max_rounds):
         before = state
         large, (n, _s) = _settle(work, _large_star(edges, before[0]), "large")
