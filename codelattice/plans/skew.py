@@ -11,16 +11,17 @@ from codelattice.plans.materialize import Workspace
 HEAVY_SHARE, HEAVY_FLOOR = 2_000, 100_000
 
 
-def split_join(rows: DataFrame, side: DataFrame, on: str, n_rows: int, work: Workspace, how: str = "inner", share: int = HEAVY_SHARE, floor: int = HEAVY_FLOOR) -> DataFrame:
+def split_join(rows: DataFrame, side: DataFrame, on: str | list[str], n_rows: int, work: Workspace, how: str = "inner", share: int = HEAVY_SHARE, floor: int = HEAVY_FLOOR) -> DataFrame:
     """``rows`` joined to ``side`` (one row a key) by ``on``; rows of heavy keys never travel.
 
     ``rows`` is read several times: a written table.  Heavy keys are counted by partial
     aggregates; their rows of ``side``, at most ``share`` of them, go by broadcast.  A null
-    key matches nothing and is kept by a left join.
+    in a key matches nothing and is kept by a left join.
     """
     if n_rows <= max(floor, n_rows // share):  # no key can be heavy
         return rows.join(side, on, how)
-    heavy = work.write(heavy_keys(rows.where(F.col(on).isNotNull()), [on], n_rows, share, floor).select(on), "heavy")
+    on = [on] if isinstance(on, str) else on
+    heavy = work.write(heavy_keys(rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in on)), on, n_rows, share, floor).select(*on), "heavy")
     if heavy.isEmpty():
         return rows.join(side, on, how)
     few = F.broadcast(heavy)
