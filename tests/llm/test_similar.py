@@ -77,3 +77,32 @@ def test_bounds_hold():
     exact = u[:300] @ u[300:].T
     assert (np.abs(centre - exact) <= spread).mean() > 0.97
     assert np.abs(centre - exact).mean() < 0.08
+
+
+def test_two_levels_and_long_lists(spark, monkeypatch):
+    rows = clustered(2500, 24, 6)
+    monkeypatch.setattr(S, "FLAT", 8)
+    assert recall(spark, rows, list_rows=50, shard_rows=400) >= 0.95  # about 50 lists in 8 cells
+    monkeypatch.setattr(S, "FLAT", 1024)
+    monkeypatch.setattr(S, "LAYOUT_BYTES", 4 * 24 * 3)
+    assert recall(spark, rows, list_rows=20, shard_rows=900) >= 0.95  # three lists, parted where they are searched
+
+
+def test_exact_setting(spark):
+    assert recall(spark, clustered(700, 20, 8) + clustered(60, 12, 9, "b"), exact=True, shard_rows=200) == 1.0
+
+
+def test_many_copies_are_split(spark, monkeypatch):
+    from codelattice.plans import skew
+
+    monkeypatch.setattr(skew.split_join, "__defaults__", ("inner", 8, 3))
+    rows = clustered(60, 8, 12) + [(1000 + i, "a", 8, [1.0] * 8, "r", 1) for i in range(40)]
+    assert recall(spark, rows) == 1.0
+
+
+def test_shards_are_bounded_in_bytes():
+    layout = S.Layout(768, S._unit(np.random.default_rng(1).normal(size=(40, 768))).astype(np.float32))
+    members = np.full(40, 1000)
+    layout.share_out(members, members * 4, 0, min(S.SHARD_ROWS, S.SHARD_BYTES // (4 * 768)), S.QUERY_BYTES // (4 * 768))
+    held = np.bincount(layout.shard, weights=members)
+    assert held.max() * 4 * 768 <= S.SHARD_BYTES
