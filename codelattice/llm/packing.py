@@ -170,3 +170,25 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     out = placed.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), "tokens", "container_id")
     none = sizes.where("tokens = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "tokens", F.lit(None).cast("long").alias("container_id"))
     return out.unionByName(none)
+
+
+def fill_report(placed: DataFrame, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row on a packing of ``documents``: what must be so, and how much room is left.
+
+    ``documents`` and ``lost_documents`` (without a place), ``containers`` and
+    ``over_capacity``, ``needlessly_divided`` (texts in several pieces that would fit one
+    container), ``gapped`` (texts whose pieces don't follow each other), ``tokens``,
+    ``least_containers`` (the tokens' share of the capacity, rounded up) and ``fill``.
+    """
+    boxes = placed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("tokens").alias("t"))
+    room = boxes.agg(F.count(F.lit(1)).alias("containers"), F.count_if(F.col("t") > capacity).alias("over_capacity"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
+    texts = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("t"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.max("piece").alias("last"))
+    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("asked", F.lit(1))
+    seen = texts.join(asked, "doc_id", "full").agg(
+        F.count("asked").alias("documents"), F.count_if(F.col("asked").isNotNull() & F.col("k").isNull()).alias("lost_documents"),
+        F.count_if((F.col("k") > 1) & (F.col("t") <= capacity)).alias("needlessly_divided"), F.count_if((F.col("end") != F.col("t")) | (F.col("last") != F.col("k") - 1)).alias("gapped"),
+    )
+    r = room.first()
+    fill = round(r["tokens"] / (r["containers"] * capacity), 6) if r["containers"] else None
+    more = {"containers": r["containers"], "over_capacity": r["over_capacity"], "tokens": r["tokens"], "least_containers": -(-r["tokens"] // capacity)}
+    return seen.select("*", *(F.lit(v).cast("long").alias(c) for c, v in more.items()), F.lit(fill).cast("double").alias("fill"))

@@ -1,13 +1,15 @@
 """Reading level of each document: boosted trees over length, vocabulary, syntax and cohesion.
 
-The trees are fitted on the driver on a bounded sample of labelled documents
-(``MAX_LABELLED``); measures and predictions cover every document, whole, in one pass
-without a shuffle.  Folds of the cross-validation hold out whole sources.  The held-out
-predictions also set the cut points between levels, so that grades are calibrated.
+The trees are fitted on a bounded sample of labelled documents (``MAX_LABELLED``), every
+fold and the final model in a task of its own; measures and predictions cover every
+document, whole, in one pass without a shuffle.  Folds of the cross-validation hold out
+whole sources.  The held-out predictions also set the cut points between levels, so that
+grades are calibrated, and give the quality for each source (``grade_quality``).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -25,24 +27,17 @@ LEVELS, LEAST_WORDS, MAX_LABELLED, FOLDS, LEAST_LABELLED = 5, 30, 6_000, 4, 20
 class Grader:
     """A fitted model with its cut points and its quality on held-out sources."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, sources: list[str]):
-        fold = np.array([crc32(str(s).encode()) % FOLDS for s in sources])
-        kept = np.full(len(y), np.nan)
-        for k in np.unique(fold):
-            if (fold != k).sum() >= LEAST_LABELLED:
-                kept[fold == k] = Boosted(seed=int(k)).fit(x[fold != k], y[fold != k]).predict(x[fold == k])
+    def __init__(self, y: np.ndarray, sources: list[str], kept: np.ndarray, model: Boosted):
+        """``kept`` are predictions of models that have not seen the document's source, NaN where there is none."""
         held = ~np.isnan(kept)
+        self.model, self.labelled = model, len(y)
         self.cuts = _cuts(kept[held], y[held]) if held.sum() >= LEAST_LABELLED else np.arange(1, LEVELS) + 0.5
-        self.model = Boosted().fit(x, y)
         level = self._level(kept[held])
-        by = {}
-        for s, a, b in zip(np.array(sources, object)[held], level, y[held], strict=True):
-            by.setdefault(s, []).append(abs(a - b) <= 0.5)
-        self.quality = {
-            "labelled": len(y), "exact": float((np.abs(level - y[held]) <= 0.5).mean()) if held.any() else None,
-            "rmse": float(np.sqrt(((kept[held] - y[held]) ** 2).mean())) if held.any() else None,
-            "worst_source": float(min(map(np.mean, by.values()))) if by else None, "cuts": [round(float(c), 3) for c in self.cuts],
-        }
+        by: dict[str, list[tuple[float, float, float]]] = {}
+        for s, p, a, b in zip(np.array(sources, object)[held], kept[held], level, y[held], strict=True):
+            by.setdefault("" if s is None else str(s), []).append((abs(a - b) <= 0.5, abs(a - b) < 1.5, (p - b) ** 2))
+        #: (source, held-out labelled documents, share of right levels, share at most one level off, root mean square error)
+        self.quality = [(s, len(r), *map(float, np.mean(r, axis=0)[:2]), float(np.sqrt(np.mean(r, axis=0)[2]))) for s, r in sorted(by.items())]
 
     def _level(self, p: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.cuts, p, side="right") + 1
@@ -87,7 +82,32 @@ def fit_grader(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     if len(got) < LEAST_LABELLED:
         return None
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
-    return Grader(np.stack(got["x"].to_numpy()), got["level"].to_numpy(), got["source"].tolist())
+    return _fit(documents.sparkSession, np.stack(got["x"].to_numpy()), got["level"].to_numpy(), got["source"].tolist())
+
+
+def _fit(spark, x: np.ndarray, y: np.ndarray, sources: list) -> Grader:
+    """All folds and the final model side by side, a task each; what they return is one model and held-out predictions."""
+    fold = np.array([crc32(str(s).encode()) % FOLDS for s in sources])
+    sent = spark.sparkContext.broadcast((x, y, fold))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, ys, f = sent.value
+            for k in b.column("id").to_pylist():
+                if k == FOLDS:
+                    out = pickle.dumps(Boosted().fit(xs, ys))
+                elif (f == k).any() and (f != k).sum() >= LEAST_LABELLED:
+                    out = pickle.dumps(Boosted(seed=k).fit(xs[f != k], ys[f != k]).predict(xs[f == k]))
+                else:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out], pa.binary())], ["fold", "out"])
+
+    got = {r["fold"]: pickle.loads(r["out"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(train, "fold long, out binary").collect()}
+    kept = np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        if k in got:
+            kept[fold == k] = got[k]
+    return Grader(y, sources, kept, got[FOLDS])
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -112,3 +132,12 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return docs.mapInArrow(run, "doc_id long, reading_level int")
+
+
+def grade_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(source, labelled, exact, within_one, rmse)``: how well levels of a source are met by models that have not seen it.
+
+    A null source is an empty one; with fewer than 20 usable labels there is no row.
+    """
+    grader = fit_grader(documents, labels, max_labelled, least_words)
+    return documents.sparkSession.createDataFrame(grader.quality if grader else [], "source string, labelled long, exact double, within_one double, rmse double")

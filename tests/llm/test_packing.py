@@ -1,7 +1,7 @@
 import collections
 import random
 
-from codelattice.llm.packing import Places, pack, plan
+from codelattice.llm.packing import Places, fill_report, pack, plan
 
 TOK = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -46,4 +46,12 @@ def test_pack(spark):
         rows.sort(key=lambda r: r.piece)
         assert [r.first_token for r in rows] == [100 * i for i in range(len(rows))]
         assert all(r.tokens == 100 for r in rows[:-1])  # divided only where longer than a container
+    report = fill_report(pack(df, capacity=100, tokenizer=TOK), df, 100).first()
+    assert (report.documents, report.lost_documents, report.over_capacity, report.needlessly_divided, report.gapped) == (304, 0, 0, 0, 0)
+    assert report.containers == len(fill) and report.tokens == sum(fill.values()) and 0.9 < report.fill <= 1
+    bad = spark.createDataFrame([(1, 0, 0, 80, 0), (2, 0, 0, 30, 0), (2, 1, 40, 10, 1)], "doc_id long, piece int, first_token long, tokens long, container_id long")
+    report = fill_report(bad, df, 100).first()
+    assert (report.over_capacity, report.needlessly_divided, report.gapped, report.lost_documents) == (1, 1, 1, 302)
+    none = fill_report(bad.limit(0), df.limit(0), 100).first()
+    assert none.containers == none.documents == 0 and none.fill is None
     assert pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer=TOK).count() == 0

@@ -4,7 +4,7 @@ import numpy as np
 
 from codelattice.llm.boosting import Boosted
 from codelattice.llm.prose import Measures, language, running
-from codelattice.llm.reading import reading_levels
+from codelattice.llm.reading import grade_quality, reading_levels
 
 EASY, HARD = "cat dog sun box red big run sit top map".split(), "architectural instrumentation interoperability materialization deterministic configuration responsibility heterogeneous".split()
 
@@ -64,3 +64,7 @@ def test_levels_on_held_out(spark):
     assert sum(held) / len(held) >= 0.8
     assert {r.reading_level for r in reading_levels(d, lb.limit(0)).collect()} == {None}
     assert reading_levels(d.limit(0), lb).count() == 0
+    quality = grade_quality(d, lb).collect()
+    assert len(quality) == 9 and sum(r.labelled for r in quality) == 400 and all(0 <= r.exact <= r.within_one <= 1 for r in quality)
+    assert sum(r.exact * r.labelled for r in quality) / 400 > 0.6 and sum(r.within_one * r.labelled for r in quality) / 400 > 0.95
+    assert grade_quality(d, lb.limit(0)).count() == 0
