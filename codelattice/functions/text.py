@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Markers of to-do comments, and patterns of secrets to hide.
+#: Markers of to-do comments; what hides a secret, and the patterns of secrets to hide, in this order.
 TODO_MARKERS = ("TODO", "FIXME", "XXX")
+HIDDEN = "[REDACTED]"
+HIDE_KEY = r"(?:sk-|ghp_|xoxb-)[\w\-]+"
+HIDE_BEARER = r"(Bearer )\S+"
+HIDE_URL_PASSWORD = r"(://[^:/\s]+:)[^/\s]+(@)"
+HIDE_ASSIGNED = r"(?i)(\b(?:\w*_)?(?:API_KEY|TOKEN|SECRET|PASSWORD|PASSWD)=)\S+"
+#: Prefixes by which the secret check knows keys.
 SECRET_PREFIXES = r"\b(?:sk-[A-Za-z0-9_-]{16,}|ghp_[A-Za-z0-9]{20,}|gho_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{12,}|xox[abp]-[A-Za-z0-9-]{10,})"
 
 
@@ -45,11 +51,10 @@ def query_tokens(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """API keys, bearer tokens, passwords in URLs and secret-looking assignments -> ***."""
-    c = F.regexp_replace(c, SECRET_PREFIXES, "***")
-    c = F.regexp_replace(c, r"(?i)(bearer\s+)[A-Za-z0-9._~+/-]+=*", "$1***")
-    c = F.regexp_replace(c, r"([a-z][a-z0-9+.-]*://[^:/@\s]+:)[^@\s]+@", "$1***@")
-    return F.regexp_replace(c, r"(?i)\b([A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_?KEY)[A-Z0-9_]*\s*=\s*)\S+", "$1***")
+    """API keys, bearer tokens, passwords in URLs (any ``@`` in them included) and assignments to secrets' names, hidden; null stays."""
+    for pattern, kept in ((HIDE_KEY, HIDDEN), (HIDE_BEARER, "$1" + HIDDEN), (HIDE_URL_PASSWORD, f"$1{HIDDEN}$2"), (HIDE_ASSIGNED, "$1" + HIDDEN)):
+        c = F.regexp_replace(c, pattern, kept)
+    return c
 
 
 def truncate_bytes(c: Column, n: int) -> Column:

@@ -8,11 +8,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from codelattice.functions.text import SECRET_PREFIXES, redact, stable_id
+from codelattice.functions.text import HIDDEN, SECRET_PREFIXES, redact, stable_id
 from codelattice.operators import predicates as P
-from codelattice.operators.current import SQL, current_edges, current_nodes, whole_numbers
+from codelattice.operators.clones import propagate_labels
+from codelattice.operators.current import SQL, current_edges, current_nodes, latest, whole_numbers
 from codelattice.operators.lookup import _open
 from codelattice.operators.text import _FILES, _LINES, _files, source_lines
+from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
 
@@ -145,7 +147,10 @@ def secrets(lines: DataFrame, least_entropy: float = 3.5) -> DataFrame:
     def fires(text: pd.Series) -> pd.Series:
         return text.map(lambda t: bool(re.search(SECRET_PREFIXES, t)) or any(entropy(v) >= least_entropy for v in _ASSIGNED.findall(t)))
 
-    return maybe.where(fires("text")).withColumn("text", redact(F.col("text")))
+    known = F.regexp_replace("text", SECRET_PREFIXES, HIDDEN)
+    assigned = F.regexp_replace(known, r"""(?i)((?:secret|token|passw(?:or)?d|api_?key|credential)\w*["']?\s*[:=]\s*["'])[A-Za-z0-9+/_=-]{16,}""", "$1" + HIDDEN)
+    rule = F.when(F.col("text").rlike(SECRET_PREFIXES), "known-prefix").otherwise("high-entropy")
+    return maybe.where(fires("text")).withColumn("rule", rule).withColumn("text", redact(assigned))
 
 
 def secret_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -178,27 +183,38 @@ def affected(version: Column, events: Column) -> Column:
     return F.coalesce(key.isNotNull() & F.aggregate(events, F.lit(False), step), F.lit(False))
 
 
-#: Which alias of an advisory is shown, best first.
-ALIAS_ORDER = ("GHSA-", "CVE-")
+def advisory_rank(i: Column) -> Column:
+    """Which of several ids of one vulnerability is shown: GHSA, CVE, others, GO and PYSEC."""
+    return F.when(i.startswith("GHSA-"), 0).when(i.startswith("CVE-"), 1).when(i.startswith("GO-") | i.startswith("PYSEC-"), 3).otherwise(2)
 
 
 def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies inside an advisory's ranges, one row for each package, version and alias group.
+    """``(name, version, advisory, aliases, severity, fixed_in)``: dependencies inside an advisory's ranges, one row for each vulnerability.
 
     ``deps`` (name, version); ``advisories`` (id, aliases, severity, affected: array of
-    (package, ranges: array of (type, events))).  Aliased advisories count as one, shown
-    under the best id (GHSA, CVE, other, GO/PYSEC); with the least fixed version above.
+    (package, ranges: array of (type, events))).  Advisories found for one package and
+    version of which one names another as an alias, directly or over others, are one
+    vulnerability: shown is the one of the best rank, ties by id; an id that is no advisory
+    of its own is never shown.  ``aliases`` are its own and the ids of those that name it;
+    ``fixed_in`` is its least fixed version above.  A null severity is medium; a repeated
+    advisory counts once; null versions and ids match nothing.
     """
-    rows = advisories.select("id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.lower(F.coalesce("severity", F.lit("medium"))).alias("severity"), F.explode("affected").alias("a"))
+    rows = advisories.where("id IS NOT NULL").select("id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.lower(F.coalesce("severity", F.lit("medium"))).alias("severity"), F.explode("affected").alias("a"))
     rows = rows.select("id", "aliases", "severity", F.col("a.package").alias("name"), F.explode("a.ranges").alias("r")).where("r.type IS NULL OR r.type = '' OR r.type = 'SEMVER'")
-    hit = deps.join(rows, "name").where(affected(F.col("version"), F.col("r.events")))
+    hit = deps.select("name", "version").distinct().join(rows, "name").where(affected(F.col("version"), F.col("r.events")))
     fixes = F.filter(F.transform("r.events", lambda e: e["fixed"]), lambda f: f.isNotNull() & (semver_key(f) > semver_key(F.col("version"))))
     hit = hit.withColumn("fix", F.array_min(F.transform(fixes, lambda f: F.struct(semver_key(f).alias("k"), f.alias("v")))))
-    ids = F.array_distinct(F.concat(F.array("id"), F.col("aliases")))
-    order = lambda i: F.when(i.startswith("GHSA-"), 0).when(i.startswith("CVE-"), 1).when(i.startswith("GO-") | i.startswith("PYSEC-"), 3).otherwise(2)
-    best = F.array_min(F.transform(ids, lambda i: F.struct(order(i).alias("o"), i.alias("i"))))["i"]
-    g = hit.withColumn("advisory", best).groupBy("name", "version", "advisory")
-    return g.agg(F.array_max(F.collect_set(F.struct(P.rank_of(F.col("severity"), P.SEVERITIES).alias("r"), "severity")))["severity"].alias("severity"), F.min("fix")["v"].alias("fixed_in"))
+    keys = ["name", "version"]
+    each = hit.groupBy(*keys, "id").agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"), F.array_max(F.collect_set(F.struct(P.rank_of(F.col("severity"), P.SEVERITIES).alias("r"), "severity")))["severity"].alias("severity"), F.min("fix")["v"].alias("fixed_in"))
+    each = Workspace(deps.sparkSession, "vulnerable").write(each, "found")
+    named = each.select(*keys, F.col("id").alias("by"), F.explode("aliases").alias("id")).join(each.select(*keys, "id"), [*keys, "id"]).where("by <> id")
+    at = lambda c: F.concat_ws("\0", "name", "version", c)
+    groups = propagate_labels(named.select(at("by").alias("a"), at("id").alias("b")))
+    grouped = each.join(groups.withColumnRenamed("node", "at_"), at("id") == F.col("at_"), "left").withColumn("group_", F.coalesce("component", at("id"))).drop("at_", "component")
+    best = latest(grouped, ["group_"], [advisory_rank(F.col("id")), F.col("id")])
+    by = named.groupBy(*keys, "id").agg(F.collect_set("by").alias("by"))
+    also = F.array_sort(F.filter(F.array_distinct(F.concat("aliases", F.coalesce("by", F.array().cast("array<string>")))), lambda x: (x != "") & (x != F.col("id"))))
+    return best.join(by, [*keys, "id"], "left").select(*keys, F.col("id").alias("advisory"), also.alias("aliases"), "severity", "fixed_in")
 
 
 _CF = "cf AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY finding_id, branch ORDER BY created_at DESC NULLS LAST, state ASC NULLS FIRST, severity ASC NULLS FIRST) = 1)"

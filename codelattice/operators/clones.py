@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codelattice.operators.current import SQL, current_edges, current_nodes
 from codelattice.operators.predicates import CLONE_EXCLUDED_KINDS
 from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
-#: Near-duplicate thresholds per embedding model; another model's is the default.
-NEAR_THRESHOLDS, NEAR_DEFAULT = {"static-hash-v1": 0.68, "static-hash-v2": 0.85}, 0.68
+#: Near-duplicate thresholds by embedding model, with or without a tag behind a colon; another model's is the default.
+NEAR_THRESHOLDS, NEAR_DEFAULT = {"model2vec(potion-code-16M)": 0.68, "nomic-embed-text": 0.85, "static-hash-v2": 0.70}, 0.68
+
+
+def near_threshold(model: Column) -> Column:
+    """The score from which nodes of a model count as near-duplicates; null is another model."""
+    at = F.create_map(*[x for m, t in NEAR_THRESHOLDS.items() for x in (F.lit(m), F.lit(t))])
+    return F.coalesce(F.element_at(at, model), F.element_at(at, F.substring_index(model, ":", 1)), F.lit(NEAR_DEFAULT))
 
 
 def groups_by_hash(rows: DataFrame, key: str, members: list[str], preview: int = 25) -> DataFrame:
@@ -106,9 +112,16 @@ def similar_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.join(a, ["src_node_id", "branch"]).join(b, ["dst_node_id", "branch"]).select("edge_id", "branch", "src_node_id", "dst_node_id", "src_path", "dst_path", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
+def elected_model(spark: SparkSession, d: str) -> DataFrame:
+    """The one model that vectors are compared by: the one of most of them, ties by name, with its near-duplicate threshold: one row."""
+    n = table(spark, d, "node_vectors").groupBy("model").agg(F.count_distinct("vec_id").alias("vectors"))
+    first = n.orderBy(F.col("vectors").desc(), F.col("model").asc_nulls_last()).limit(1)
+    return spark.range(1).select("id").join(first.withColumn("id", F.lit(0)), "id", "left").select("model", F.coalesce("vectors", F.lit(0)).alias("vectors"), near_threshold(F.col("model")).alias("threshold"))
+
+
 def near_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Components over SIMILAR_TO edges of at least the near-duplicate threshold, with their least and greatest score."""
-    e = similar_edges(spark, d).where(F.col("score") >= NEAR_DEFAULT)
+    """Components over SIMILAR_TO edges of at least the near-duplicate threshold of the elected model, with their least and greatest score."""
+    e = similar_edges(spark, d).where(F.col("score") >= elected_model(spark, d).first()["threshold"])
     e = Workspace(spark, "near").write(e.select(F.col("src_node_id").alias("a"), F.col("dst_node_id").alias("b"), "score"), "edges")
     labels = propagate_labels(e)
     scores = e.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"))
@@ -119,14 +132,17 @@ def near_clusters(spark: SparkSession, d: str) -> DataFrame:
 _X = ", ".join(f"'{x}'" for x in CLONE_EXCLUDED_KINDS)
 _SIM = """se AS (SELECT e.edge_id, e.branch, e.src_node_id, e.dst_node_id, a.file_path AS src_path, b.file_path AS dst_path, round(e.score::DOUBLE, 4) AS score FROM ce e
  JOIN cn a ON a.node_id = e.src_node_id AND a.branch = e.branch JOIN cn b ON b.node_id = e.dst_node_id AND b.branch = e.branch WHERE e.kind = 'similarto' AND e.src_node_id <> e.dst_node_id)"""
-QUERIES = {f.__name__: f for f in (exact_clones, clusters_tiered, content_clones, similar_edges, near_clusters)}
+_ELECTED = """WITH el AS (SELECT model, count(DISTINCT vec_id) AS vectors, CASE split_part(model, ':', 1) WHEN 'nomic-embed-text' THEN 0.85::DOUBLE WHEN 'static-hash-v2' THEN 0.70::DOUBLE ELSE 0.68::DOUBLE END AS threshold
+ FROM node_vectors GROUP BY 1 ORDER BY vectors DESC, model LIMIT 1)"""
+QUERIES = {f.__name__: f for f in (exact_clones, clusters_tiered, content_clones, similar_edges, near_clusters, elected_model)}
 ORACLE = {
     "exact_clones": "SELECT sha256(text) AS content_hash, count(*) AS size, array_to_string(list(doc_id ORDER BY doc_id)[1:25], ',') AS members FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) >= 2",
     "clusters_tiered": f"""WITH {SQL} SELECT structural_hash, count(*) AS size, CASE WHEN count(DISTINCT content_hash) = 1 THEN 'exact' ELSE 'structural' END AS tier,
 count(DISTINCT repo_id) > 1 AS cross_repo, min(node_id) AS first_member FROM cn WHERE kind NOT IN ({_X}) AND branch = 'main' AND structural_hash <> '' GROUP BY 1 HAVING count(*) >= 2""",
     "content_clones": f"WITH {SQL} SELECT content_hash, node_id, branch, file_path, count(*) OVER (PARTITION BY content_hash) AS size FROM cn WHERE kind NOT IN ({_X}) AND content_hash IS NOT NULL QUALIFY size >= 2",
     "similar_edges": f"WITH {SQL}, {_SIM} SELECT * FROM se",
-    "near_clusters": f"""WITH RECURSIVE {SQL}, {_SIM}, e AS (SELECT src_node_id AS a, dst_node_id AS b, score FROM se WHERE score >= {NEAR_DEFAULT}),
+    "elected_model": f"{_ELECTED} SELECT * FROM el",
+    "near_clusters": f"""{_ELECTED.replace('WITH', 'WITH RECURSIVE')}, {SQL}, {_SIM}, e AS (SELECT src_node_id AS a, dst_node_id AS b, score FROM se WHERE score >= (SELECT threshold FROM el)),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, seen) AS (SELECT a, a FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.id), l AS (SELECT id, min(seen) AS component FROM r GROUP BY 1)
 SELECT l.component, count(DISTINCT l.id) AS size, min(e.score) AS min_score, max(e.score) AS max_score FROM l LEFT JOIN e ON e.a = l.id GROUP BY 1""",
 }

@@ -15,6 +15,7 @@ from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
 DEPTH, MAX_DEPTH, NODE_CAP, HUB = 3, 10, 200, 50
+AS_OF, BASE_TIME = "2026-07-01", "2026-03-01"
 
 
 def steps(edges: DataFrame, direction: str = "callers") -> DataFrame:
@@ -24,12 +25,13 @@ def steps(edges: DataFrame, direction: str = "callers") -> DataFrame:
     return {"callers": back, "callees": ahead, "both": back.unionByName(ahead)}[direction]
 
 
-def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers", depth: int | None = DEPTH, hub: int | None = HUB, cap: int | None = None) -> DataFrame:
+def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers", depth: int | None = DEPTH, hub: int | None = HUB, cap: int | None = None, mark: bool = False) -> DataFrame:
     """Nodes within ``depth`` hops of each origin: ``(origin, node, distance, is_hub)``, seeds at 0.
 
     ``seeds`` (origin, node): many origins walk together, one join a hop over the whole
     frontier.  A node with more than ``hub`` neighbour entries is reported but not expanded.
-    ``cap`` keeps the first nodes of each origin by (distance, node) after each hop.
+    ``cap`` keeps the first nodes of each origin by (distance, node) after each hop; with ``mark``
+    a further column ``truncated`` says of each origin whether that cut anything.
     Without a ``depth`` the walk goes on until a hop brings nothing new.
     Null ends and seeds are left out; seeds without edges stay.
     """
@@ -49,14 +51,23 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers",
         grown = seen.unionByName(new)
         if cap is not None:
             w = Window.partitionBy("origin").orderBy("distance", "node")
-            grown = grown.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= cap).drop("rn_")
+            grown = grown.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= cap + 1).drop("rn_")  # one more tells that there are more
         old, seen = seen, work.write(grown, "seen")
         work.drop(old)
         if depth is None and seen.where(F.col("distance") == hop).isEmpty():
             break
+    columns = ["origin", "node", "distance", F.coalesce("is_hub", F.lit(False)).alias("is_hub")]
+    if cap is not None:
+        all_of = Window.partitionBy("origin")
+        place = F.row_number().over(all_of.orderBy("distance", "node"))
+        seen = seen.withColumn("rn_", place).withColumn("truncated", F.max("rn_").over(all_of) > cap).where(F.col("rn_") <= cap).drop("rn_")
+    elif mark:
+        seen = seen.withColumn("truncated", F.lit(False))
+    if mark:
+        columns.append("truncated")
     if hubs is None:
-        return seen.withColumn("is_hub", F.lit(False))
-    return seen.join(hubs.withColumn("is_hub", F.lit(True)), "node", "left").select("origin", "node", "distance", F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
+        return seen.withColumn("is_hub", F.lit(False)).select(*columns)
+    return seen.join(hubs.withColumn("is_hub", F.lit(True)), "node", "left").select(*columns)
 
 
 def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,24 +223,87 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("dst").alias("node_id"), "kind").agg(F.count(F.lit(1)).alias("inbound"), F.count_distinct("src").alias("sources"))
 
 
-def file_reach(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What each file's symbols reach as callers within the usual depth, over edges of every kind, not capped: (origin, node, distance), origin repo:path.
+def file_reach(edges: DataFrame, nodes: DataFrame, cap: int | None = None) -> DataFrame:
+    """What each file's symbols reach as callers within the usual depth, over edges of every kind: (origin, node, distance), origin repo:path.
 
     ``nodes`` (node_id, repo_id, file_path) are the files' symbols of every kind; rows without a path are left out.
     """
     seeds = nodes.where("file_path IS NOT NULL").select(F.concat_ws(":", "repo_id", "file_path").alias("origin"), F.col("node_id").alias("node"))
-    return blast_radius(edges.select("src", "dst"), seeds).select("origin", "node", "distance")
+    return blast_radius(edges.select("src", "dst"), seeds, cap=cap).select("origin", "node", "distance")
 
 
 def hot_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Files by changes times blast size: one search from all of every file's symbols at once, top 20."""
+    """Files by commits of the last 30 days times blast size at default depth and cap: one search from all of every file's symbols at once, top 20."""
     n = current_nodes(table(spark, d, "nodes")).where("branch = 'main'")
-    changes = table(spark, d, "nodes").where("branch = 'main' AND file_path IS NOT NULL").groupBy("repo_id", "file_path").agg(F.count_distinct("last_promoted_at").alias("changes"))
-    size = file_reach(_main_edges(spark, d), n).groupBy("origin").agg(F.count(F.lit(1)).alias("blast"))
+    changes = recent_changes(table(spark, d, "nodes").where("branch = 'main'"))
+    busy = n.join(changes.select("repo_id", "file_path"), ["repo_id", "file_path"], "left_semi")
+    size = file_reach(_main_edges(spark, d), busy, NODE_CAP).groupBy("origin").agg(F.count(F.lit(1)).alias("blast"))
     z = changes.withColumn("origin", F.concat_ws(":", "repo_id", "file_path")).join(size, "origin").select("repo_id", "file_path", "changes", "blast", (F.col("changes") * F.col("blast")).alias("score")).where("score > 0")
     return z.orderBy(F.col("score").desc(), "repo_id", "file_path").limit(20)
 
 
+def recent_changes(nodes: DataFrame, as_of: str = AS_OF, days: int = 30) -> DataFrame:
+    """(repo_id, file_path, changes): commits that touched a file within the window; a promotion stands for its commit."""
+    t = F.lit(as_of).cast("timestamp_ntz")
+    inside = nodes.where(F.col("file_path").isNotNull() & (F.col("last_promoted_at") > t - F.expr(f"INTERVAL {days} DAYS")) & (F.col("last_promoted_at") <= t))
+    return inside.groupBy("repo_id", "file_path").agg(F.count_distinct("last_promoted_at").alias("changes"))
+
+
+def blast_radius_each(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbourhood of every seed by itself, with the default depth, cap and hub gate, and whether the cap cut it."""
+    seeds = _seeds(spark, d).select(F.col("node").alias("origin"), "node")
+    return blast_radius(_main_edges(spark, d), seeds, cap=NODE_CAP, mark=True)
+
+
+def dirty_blast(spark: SparkSession, d: str) -> DataFrame:
+    """What each repo's staged nodes reach: seeds are nodes promoted since the base time whose content differs from what stood then."""
+    n = table(spark, d, "nodes").where("branch = 'main'")
+    t = F.lit(BASE_TIME).cast("timestamp_ntz")
+    old = current_nodes(n.where(F.col("last_promoted_at") <= t)).select("node_id", F.col("content_hash").alias("old"))
+    staged = current_nodes(n.where(F.col("last_promoted_at") > t)).join(old, "node_id", "left").where("old IS NULL OR old = '' OR content_hash IS NULL OR content_hash <> old")
+    seeds = staged.select(F.col("repo_id").alias("origin"), F.col("node_id").alias("node"))
+    return blast_radius(_main_edges(spark, d), seeds, depth=2, cap=NODE_CAP, mark=True)
+
+
+def call_moves(calls: DataFrame, kinds: DataFrame, direction: str) -> DataFrame:
+    """(src, dst, at, to): call edges with the step they allow; inbound steps never lead to a package, file, module or chunk.
+
+    ``calls`` (src, dst), ``kinds`` (node, kind); direction in, out or both.
+    """
+    ahead = calls.select("src", "dst", F.col("src").alias("at"), F.col("dst").alias("to"))
+    boxes = kinds.where(F.col("kind").isin(*P.CONTAINER_KINDS)).select(F.col("node").alias("src"))
+    back = calls.join(boxes, "src", "left_anti").select("src", "dst", F.col("dst").alias("at"), F.col("src").alias("to"))
+    return {"out": ahead, "in": back, "both": ahead.unionByName(back)}[direction]
+
+
+def call_edges(calls: DataFrame, kinds: DataFrame, seeds: DataFrame, direction: str = "out", depth: int = DEPTH) -> DataFrame:
+    """(src, dst, hop): the call edges met on a walk from the seeds (origin, node), each once, with the hop that met it first."""
+    moves = Workspace(calls.sparkSession, "chain").write(call_moves(calls, kinds, direction).distinct(), "moves")
+    seen = blast_radius(moves.select(F.col("at").alias("src"), F.col("to").alias("dst")), seeds, "callees", depth=depth, hub=None)
+    near = seen.where(F.col("distance") < depth).select(F.col("node").alias("at"), "distance")
+    return moves.join(near, "at").groupBy("src", "dst").agg((F.min("distance") + 1).alias("hop"))
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return current_nodes(table(spark, d, "nodes")).where("branch = 'main'").select(F.col("node_id").alias("node"), "kind")
+
+
+def call_chain_in(spark: SparkSession, d: str) -> DataFrame:
+    return call_edges(_main_edges(spark, d, "calls").select("src", "dst").distinct(), _kinds(spark, d), _seeds(spark, d), "in")
+
+
+def call_chain_both(spark: SparkSession, d: str) -> DataFrame:
+    return call_edges(_main_edges(spark, d, "calls").select("src", "dst").distinct(), _kinds(spark, d), _seeds(spark, d), "both", depth=2)
+
+
+def caller_files(spark: SparkSession, d: str) -> DataFrame:
+    """How many files, and test files among them, call each node: base and candidate callers together."""
+    n = current_nodes(table(spark, d, "nodes")).where("branch = 'main'").select(F.col("node_id").alias("src"), "repo_id", "file_path")
+    e = _main_edges(spark, d, "calls").select("src", "dst").where("src <> dst").distinct()
+    files = F.struct("repo_id", "file_path")
+    return e.join(n, "src").where("file_path IS NOT NULL").groupBy(F.col("dst").alias("node_id")).agg(F.count_distinct(files).alias("files"), F.count_distinct(F.when(P.is_test_file(F.col("file_path")), files)).alias("test_files"))
+
+
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
     """Symbols by inbound edges: no open finding, no test, no Go init; top 50."""
     n = current_nodes(table(spark, d, "nodes")).where("branch = 'main'").where(F.col("kind").isin("function", "method", "class", "struct", "interface", "type", "command", "route"))
@@ -252,6 +326,11 @@ _BASE = f"{SQL}, {_ME}, {_CF}, {_SEED}"
 _T = r"coalesce(regexp_matches(parse_filename(file_path), '_test\.go$|^test_.*\.py$|_test\.py$|\.(test|spec)\.(ts|tsx|js|jsx)$'), false)"
 
 
+#: Rows of (origin, node, k) cut to the cap of each origin.
+_CUT = """m AS (SELECT origin, node, min(k) AS distance FROM r GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY distance, node) AS rn, count(*) OVER (PARTITION BY origin) > 200 AS truncated FROM m)
+SELECT origin, node, distance, node IN (SELECT at_ FROM hub) AS is_hub, truncated FROM p WHERE rn <= 200"""
+
+
 def _walk(moves: str, depth: int, hub: int | None) -> str:
     gate = f", hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > {hub})" if hub else ", hub AS (SELECT NULL AS at_ WHERE false)"
     return f"""WITH RECURSIVE {_BASE}, mv AS ({moves}){gate},
@@ -260,19 +339,38 @@ seen AS (SELECT node, min(distance) AS distance FROM r GROUP BY 1)"""
 
 
 _HUBS = " SELECT node, distance, node IN (SELECT at_ FROM hub) AS is_hub FROM seen"
-QUERIES = {f.__name__: f for f in (blast_radius_callers, blast_radius_both, call_chain, tests_covering, fan_in, hot_zones, entry_points, cycles)}
+QUERIES = {f.__name__: f for f in (blast_radius_callers, blast_radius_both, call_chain, tests_covering, fan_in, hot_zones, entry_points, cycles, blast_radius_each, dirty_blast, call_chain_in, call_chain_both, caller_files)}
 ORACLE = {
     "blast_radius_callers": _walk("SELECT dst AS at_, src AS to_ FROM me", 3, 50) + _HUBS,
     "blast_radius_both": _walk("SELECT dst AS at_, src AS to_ FROM me WHERE kind IN ('calls', 'similarto') UNION ALL SELECT src, dst FROM me WHERE kind IN ('calls', 'similarto')", 2, 20) + _HUBS,
     "call_chain": _walk("SELECT DISTINCT src AS at_, dst AS to_ FROM me WHERE kind = 'calls'", 3, None) + " SELECT DISTINCT m.at_ AS src, m.to_ AS dst, s.distance + 1 AS hop FROM seen s JOIN mv m ON m.at_ = s.node WHERE s.distance < 3",
-    "tests_covering": _walk(f"SELECT DISTINCT dst AS at_, src AS to_ FROM me WHERE kind = 'calls' AND dst NOT IN (SELECT node_id FROM cn WHERE branch = 'main' AND kind IN ('function', 'method') AND {_T})", 6, None)
-    + f" SELECT node, distance FROM seen WHERE node IN (SELECT node_id FROM cn WHERE branch = 'main' AND kind IN ('function', 'method') AND {_T})",
+    "tests_covering": f"""WITH RECURSIVE {_BASE}, te AS (SELECT DISTINCT node_id AS node FROM cn WHERE branch = 'main' AND kind = 'function' AND {_T} AND regexp_matches(split_part(symbol_path, '.', -1), '^(Test|Benchmark|Fuzz|Example)($|[^a-z])')),
+mv AS (SELECT DISTINCT dst AS at_, src AS to_ FROM me WHERE kind = 'calls' AND src <> dst AND (dst NOT IN (SELECT node FROM te) OR dst IN (SELECT node FROM seed))),
+r(node, distance) USING KEY (node) AS (SELECT node, 0 FROM seed UNION SELECT mv.to_, min(r.distance + 1) FROM r JOIN mv ON mv.at_ = r.node LEFT JOIN recurring.r o ON o.node = mv.to_ WHERE o.node IS NULL GROUP BY 1)
+SELECT node, distance FROM r WHERE node IN (SELECT node FROM te)""",
     "fan_in": f"WITH {SQL}, {_ME} SELECT dst AS node_id, kind, count(*) AS inbound, count(DISTINCT src) AS sources FROM me GROUP BY 1, 2",
-    "hot_zones": f"""WITH RECURSIVE {SQL}, {_ME}, mv AS (SELECT dst AS at_, src AS to_ FROM me WHERE kind = 'calls'), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
-r(repo_id, file_path, node, k) AS (SELECT DISTINCT repo_id, file_path, node_id, 0 FROM cn WHERE branch = 'main' AND kind IN ('function', 'method') AND file_path IS NOT NULL
-  UNION SELECT r.repo_id, r.file_path, mv.to_, k + 1 FROM r JOIN mv ON mv.at_ = r.node WHERE k < 2 AND r.node NOT IN (SELECT at_ FROM hub)),
-b AS (SELECT repo_id, file_path, count(DISTINCT node) AS blast FROM r GROUP BY 1, 2), c AS (SELECT repo_id, file_path, count(DISTINCT last_promoted_at) AS changes FROM nodes WHERE branch = 'main' GROUP BY 1, 2)
-SELECT repo_id, file_path, changes, blast, changes * blast AS score FROM b JOIN c USING (repo_id, file_path) WHERE changes * blast > 0 ORDER BY score DESC, repo_id, file_path LIMIT 20""",
+    "hot_zones": f"""WITH RECURSIVE {SQL}, {_ME}, mv AS (SELECT dst AS at_, src AS to_ FROM me), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
+c AS (SELECT repo_id, file_path, count(DISTINCT last_promoted_at) AS changes FROM nodes WHERE branch = 'main' AND file_path IS NOT NULL AND last_promoted_at > TIMESTAMP '2026-06-01' AND last_promoted_at <= TIMESTAMP '2026-07-01' GROUP BY 1, 2),
+r(repo_id, file_path, node, k) AS (SELECT DISTINCT n.repo_id, n.file_path, n.node_id, 0 FROM cn n JOIN c ON c.repo_id = n.repo_id AND c.file_path = n.file_path WHERE n.branch = 'main'
+  UNION SELECT r.repo_id, r.file_path, mv.to_, k + 1 FROM r JOIN mv ON mv.at_ = r.node WHERE k < 3 AND r.node NOT IN (SELECT at_ FROM hub)),
+b AS (SELECT repo_id, file_path, least(200, count(DISTINCT node)) AS blast FROM r GROUP BY 1, 2)
+SELECT repo_id, file_path, changes, blast, changes * blast AS score FROM b JOIN c USING (repo_id, file_path) ORDER BY score DESC, repo_id, file_path LIMIT 20""",
+    "blast_radius_each": f"""WITH RECURSIVE {_BASE}, mv AS (SELECT dst AS at_, src AS to_ FROM me), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
+r(origin, node, k) AS (SELECT node, node, 0 FROM seed UNION SELECT r.origin, mv.to_, k + 1 FROM r JOIN mv ON mv.at_ = r.node WHERE k < 3 AND r.node NOT IN (SELECT at_ FROM hub)),
+{_CUT}""",
+    "dirty_blast": f"""WITH RECURSIVE {SQL}, {_ME}, mv AS (SELECT dst AS at_, src AS to_ FROM me), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
+o AS (SELECT node_id, content_hash FROM nodes WHERE branch = 'main' AND last_promoted_at <= TIMESTAMP '2026-03-01' QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY last_promoted_at DESC, content_hash NULLS FIRST) = 1),
+w AS (SELECT node_id, repo_id, content_hash FROM nodes WHERE branch = 'main' AND last_promoted_at > TIMESTAMP '2026-03-01' QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY last_promoted_at DESC, content_hash NULLS FIRST) = 1),
+r(origin, node, k) AS (SELECT w.repo_id, w.node_id, 0 FROM w LEFT JOIN o ON o.node_id = w.node_id WHERE coalesce(o.content_hash, '') = '' OR w.content_hash IS DISTINCT FROM o.content_hash
+ UNION SELECT r.origin, mv.to_, k + 1 FROM r JOIN mv ON mv.at_ = r.node WHERE k < 2 AND r.node NOT IN (SELECT at_ FROM hub)),
+{_CUT}""",
+    "call_chain_in": f"""WITH RECURSIVE {_BASE}, bx AS (SELECT node_id FROM cn WHERE branch = 'main' AND kind IN ('package', 'file', 'module', 'chunk')), c AS (SELECT DISTINCT src, dst FROM me WHERE kind = 'calls' AND src NOT IN (SELECT node_id FROM bx)),
+r(node, k) AS (SELECT node, 0 FROM seed UNION SELECT c.src, k + 1 FROM r JOIN c ON c.dst = r.node WHERE k < 3) SELECT c.src, c.dst, min(k) + 1 AS hop FROM r JOIN c ON c.dst = r.node WHERE k < 3 GROUP BY 1, 2""",
+    "call_chain_both": f"""WITH RECURSIVE {_BASE}, bx AS (SELECT node_id FROM cn WHERE branch = 'main' AND kind IN ('package', 'file', 'module', 'chunk')), c AS (SELECT DISTINCT src, dst FROM me WHERE kind = 'calls'),
+mv AS (SELECT src, dst, src AS at_, dst AS to_ FROM c UNION ALL SELECT src, dst, dst, src FROM c WHERE src NOT IN (SELECT node_id FROM bx)),
+r(node, k) AS (SELECT node, 0 FROM seed UNION SELECT mv.to_, k + 1 FROM r JOIN mv ON mv.at_ = r.node WHERE k < 2) SELECT mv.src, mv.dst, min(k) + 1 AS hop FROM r JOIN mv ON mv.at_ = r.node WHERE k < 2 GROUP BY 1, 2""",
+    "caller_files": f"""WITH {SQL}, {_ME} SELECT e.dst AS node_id, count(DISTINCT (n.repo_id, n.file_path)) AS files, count(DISTINCT (n.repo_id, n.file_path)) FILTER ({_T.replace('file_path', 'n.file_path')}) AS test_files FROM me e JOIN cn n ON n.node_id = e.src AND n.branch = 'main'
+WHERE e.kind = 'calls' AND e.src <> e.dst AND n.file_path IS NOT NULL GROUP BY 1""",
     "entry_points": f"""WITH {SQL}, {_ME}, {_CF} SELECT n.node_id, n.symbol_path, n.kind, coalesce(n.exported, false) AS exported, coalesce(i.inbound, 0) AS inbound FROM cn n
 LEFT JOIN (SELECT dst, count(*) AS inbound FROM me GROUP BY 1) i ON i.dst = n.node_id WHERE n.branch = 'main' AND n.kind IN ('function', 'method', 'class', 'struct', 'interface', 'type', 'command', 'route')
 AND NOT EXISTS (SELECT 1 FROM cf WHERE cf.node_id = n.node_id AND cf.state = 'open' AND cf.branch = 'main') AND NOT {_T} AND NOT coalesce(n.language = 'go' AND n.symbol_path = 'init', false)

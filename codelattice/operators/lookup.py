@@ -156,7 +156,7 @@ SELECT p.repo_id, p.branch, p.file_path, p.line, arg_min(n.node_id, (n.line_end
 coalesce(short_summary, substr(coalesce(nullif(trim(signature), ''), concat_ws(' ', kind, symbol_path)), 1, 280)) AS summary FROM cn WHERE kind NOT IN ({_IN(P.CONTAINER_KINDS)})""",
     "exported_symbols": f"WITH {SQL} SELECT file_path, node_id, branch, symbol_path, kind FROM cn WHERE kind IN ({_IN(P.EXPORTED_KINDS)}) AND coalesce(exported, false) AND NOT {_TEST}",
     "path_classes": f"""SELECT {_TEST} AS test, coalesce(len(list_intersect(string_split(file_path, '/'), [{_IN(P.VENDORED_SEGMENTS)}])) > 0, false) AS vendored,
-coalesce(regexp_matches(lower(file_path), '{P.NOISE_PATH}'), false) AS noise, count(*) AS files FROM (SELECT DISTINCT file_path FROM nodes) GROUP BY 1, 2, 3""",
+coalesce(ends_with(lower(file_path), '_test.go') OR ends_with(lower(file_path), '.d.ts') OR contains(lower(file_path), '/legacy/') OR contains(lower(file_path), '/examples/') OR contains(lower(file_path), '/vendor/') OR contains(lower(file_path), '/testdata/'), false) AS noise, count(*) AS files FROM (SELECT DISTINCT file_path FROM nodes) GROUP BY 1, 2, 3""",
     "findings_list": f"""WITH {SQL}, {_OPEN} SELECT f.finding_id, f.branch, f.rule, f.severity, coalesce(n.file_path, f.file_path) AS path FROM cf f LEFT JOIN cn n ON n.node_id = f.node_id AND n.branch = f.branch
 WHERE f.state = 'open' AND f.severity IN ('medium', 'high', 'critical') AND NOT EXISTS (SELECT 1 FROM suppressions s WHERE lower(trim(s.scope)) = 'finding' AND lower(trim(s.target)) = f.finding_id
   AND (s.expires_at IS NULL OR s.expires_at > TIMESTAMP '2026-07-01'))""",

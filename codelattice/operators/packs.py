@@ -179,13 +179,14 @@ c AS (SELECT node, min(distance) AS distance FROM s GROUP BY 1 QUALIFY row_numbe
 b AS (SELECT node_id, count(*) AS findings FROM cf WHERE state = 'open' AND branch = 'main' GROUP BY 1),
 r AS (SELECT n.node_id, c.distance, coalesce(b.findings, 0) AS findings, (strlen(substr(coalesce(n.snippet, ''), 1, {SNIPPET_BYTES})) + strlen(coalesce(n.symbol_path, '')) + 40) // 4 AS tokens FROM c JOIN cn n ON n.node_id = c.node AND n.branch = 'main' LEFT JOIN b ON b.node_id = n.node_id)
 SELECT node_id, distance, findings, tokens FROM r QUALIFY sum(tokens) OVER (ORDER BY distance, node_id ROWS UNBOUNDED PRECEDING) <= {BUDGET_TOKENS}""",
-    "change_report": f"""WITH RECURSIVE {_BASE}, {_SQL_STATES}, {_CHANGED}, mv AS (SELECT dst AS at_, src AS to_ FROM me WHERE kind = 'calls'), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
-r(repo_id, file_path, node, k) AS (SELECT DISTINCT a.repo_id, a.file_path, a.node_id, 0 FROM aft a JOIN ch ON ch.node_id = a.node_id AND ch.branch = 'main' AND ch.change <> 'removed' WHERE a.branch = 'main' AND a.kind IN ('function', 'method', 'class')
-  UNION SELECT r.repo_id, r.file_path, mv.to_, k + 1 FROM r JOIN mv ON mv.at_ = r.node WHERE k < 2 AND r.node NOT IN (SELECT at_ FROM hub)),
-m AS (SELECT repo_id, file_path, node, min(k) AS k FROM r GROUP BY 1, 2, 3), g AS (SELECT repo_id, file_path, count(*) FILTER (k = 0) AS symbols, count(*) FILTER (k > 0) AS callers FROM m GROUP BY 1, 2),
+    "change_report": f"""WITH RECURSIVE {_BASE}, {_SQL_STATES}, {_CHANGED}, mv AS (SELECT dst AS at_, src AS to_ FROM me), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
+n AS (SELECT node_id, kind, repo_id, file_path FROM aft WHERE branch = 'main' AND file_path IS NOT NULL),
+f AS (SELECT n.repo_id, n.file_path, count(*) FILTER (n.kind NOT IN ({_CONT})) AS symbols FROM n JOIN ch ON ch.node_id = n.node_id AND ch.branch = 'main' AND ch.change <> 'removed' GROUP BY 1, 2),
+r(repo_id, file_path, node, k) AS (SELECT DISTINCT n.repo_id, n.file_path, n.node_id, 0 FROM n JOIN f USING (repo_id, file_path) UNION SELECT r.repo_id, r.file_path, mv.to_, k + 1 FROM r JOIN mv ON mv.at_ = r.node WHERE k < 3 AND r.node NOT IN (SELECT at_ FROM hub)),
+m AS (SELECT repo_id, file_path, node, min(k) AS k FROM r GROUP BY 1, 2, 3), g AS (SELECT m.repo_id, m.file_path, count(*) AS callers FROM m JOIN cn x ON x.node_id = m.node AND x.branch = 'main' WHERE m.k > 0 AND x.kind NOT IN ({_CONT}) GROUP BY 1, 2),
 b AS (SELECT repo_id, file_path, count(*) AS findings FROM cf WHERE state = 'open' AND branch = 'main' GROUP BY 1, 2)
-SELECT g.*, coalesce(b.findings, 0) AS findings, symbols + callers + 5 * coalesce(b.findings, 0) AS risk FROM g LEFT JOIN b ON b.repo_id = g.repo_id AND b.file_path = g.file_path""",
+SELECT f.*, coalesce(g.callers, 0) AS callers, coalesce(b.findings, 0) AS findings, symbols + coalesce(g.callers, 0) + 5 * coalesce(b.findings, 0) AS risk FROM f LEFT JOIN g USING (repo_id, file_path) LEFT JOIN b USING (repo_id, file_path)""",
 }
-_TESTS = _GRAPH["tests_covering"].replace(" SELECT node, distance FROM seen WHERE", ", covering AS (SELECT node, distance FROM seen WHERE") + ")" + """, n AS (SELECT * FROM cn WHERE branch = 'main') SELECT n.repo_id, CASE WHEN contains(n.file_path, '/') THEN regexp_replace(n.file_path, '/[^/]*$', '') ELSE '' END AS dir, count(*) AS tests, min(s.distance) AS nearest
+_TESTS = _GRAPH["tests_covering"].replace("\nSELECT node, distance FROM r WHERE", ", covering AS (SELECT node, distance FROM r WHERE") + ")" + """, n AS (SELECT * FROM cn WHERE branch = 'main') SELECT n.repo_id, CASE WHEN contains(n.file_path, '/') THEN regexp_replace(n.file_path, '/[^/]*$', '') ELSE '' END AS dir, count(*) AS tests, min(s.distance) AS nearest
 FROM covering s JOIN n ON n.node_id = s.node GROUP BY 1, 2"""
 ORACLE["test_selection"] = _TESTS

@@ -14,7 +14,8 @@ CODE_KINDS = ("function", "method", "class")
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 CONFIDENCES = ("unresolved", "probable", "strong", "definite")
 IDIOMATIC_NAMES = ("init", "main", "String", "Error", "TestMain")
-NOISE_PATH = r"(_test\.go|\.test\.tsx?|\.spec\.tsx?|\.pb\.go|_gen\.go|\.min\.js)$|(^|/)(testdata|fixtures|examples?|mocks?|docs?)/"
+NOISE_SUFFIXES = ("_test.go", ".d.ts")
+NOISE_PARTS = ("/legacy/", "/examples/", "/vendor/", "/testdata/")
 
 
 def basename(path: Column) -> Column:
@@ -30,7 +31,14 @@ def is_vendored(path: Column) -> Column:
 
 
 def is_noise_path(path: Column) -> Column:
-    return F.coalesce(F.lower(path).rlike(NOISE_PATH), F.lit(False))
+    """Paths whose hits count less, in any letter case; a folder counts only below another one."""
+    low, none = F.lower(path), F.lit(False)
+    noise = none
+    for s in NOISE_SUFFIXES:
+        noise = noise | F.endswith(low, F.lit(s))
+    for s in NOISE_PARTS:
+        noise = noise | F.contains(low, F.lit(s))
+    return F.coalesce(noise, none)
 
 
 def last_segment(symbol: Column) -> Column:

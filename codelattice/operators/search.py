@@ -79,11 +79,25 @@ def top_k(scored: DataFrame, k: int | None) -> DataFrame:
 def substring_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents that hold the query as a substring, any case.
 
-    Blocked by the query's first trigram, so it is a hash join; queries under three bytes match nothing.
+    Blocked by the query's rarest trigram, and only grams of queries are kept of the documents;
+    the text is met once for each candidate.  Queries under three bytes match nothing.
     """
-    grams = docs.where(F.length("text") >= 3).select("doc_id", F.lower("text").alias("text")).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))))))
-    q = queries.select("query_id", F.lower(F.regexp_replace("phrase", '"', "")).alias("phrase")).where(F.octet_length("phrase") >= 3).withColumn("gram", F.substring("phrase", 1, 3))
-    return grams.join(q, "gram").where(F.contains("text", "phrase")).select("query_id", "doc_id").distinct()
+    q = queries.select("query_id", F.lower(F.regexp_replace("phrase", '"', "")).alias("phrase")).where(F.octet_length("phrase") >= 3)
+    grams = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))).otherwise(F.array(F.col(c)))
+    phrases = q.select("phrase").distinct()
+    wanted = phrases.select("phrase", F.explode(grams("phrase")).alias("gram"))
+    low = docs.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
+    held = low.where(F.length("low") >= 3).select("doc_id", F.explode(grams("low")).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = Workspace(docs.sparkSession, "substring").write(held, "grams")
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
+    rarest = wanted.join(often, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    found = held.join(rarest, "gram").select("doc_id", "phrase").join(low, "doc_id").where(F.contains("low", "phrase")).select("doc_id", "phrase")
+    short = phrases.where(F.length("phrase") < 3)  # three bytes, but fewer characters: no gram, so looked up by text
+    some = short.isEmpty()
+    if not some:
+        few = [r["phrase"] for r in short.collect()]  # at most two characters each
+        found = found.unionByName(low.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, few)), lambda p: F.contains(F.col("low"), p))).alias("phrase")))
+    return q.join(found, "phrase").select("query_id", "doc_id").distinct()
 
 
 def fuse(lists: list[DataFrame], base: int = RRF) -> DataFrame:
@@ -135,7 +149,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_words(spark: SparkSession, d: str) -> DataFrame:
-    hits = bm25(_docs(spark, d), _queries(spark, d), 10)
+    hits = bm25(*_inputs(spark, d), 10)
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -163,12 +177,26 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int = FAN) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Words and substrings fused: what the lexical index gives to a search."""
-    return lexical(_docs(spark, d), _queries(spark, d)).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+    return lexical(*_inputs(spark, d)).select("query_id", "doc_id", "score", "rank")
+
+
+def search_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """The search where no vectors can be made: the lexical list alone, reranked, cut to 10, with tiers, and why it is poorer."""
+    docs, queries = _inputs(spark, d)
+    hits = fuse([lexical(docs, queries)]).join(docs.drop("tokens", "text"), "doc_id").join(queries.select("query_id", "tokens"), "query_id")
+    best = tiers(top_k(rerank(hits), K))
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "tier", "normal", F.lit("embedder unreachable").alias("degraded"))
+
+
+def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and queries, worked out once."""
+    work = Workspace(spark, "search")
+    return work.write(_docs(spark, d), "docs"), work.write(_queries(spark, d), "queries")
 
 
 def search_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The whole search: lexical and vector lists fused, hydrated, all candidates reranked, cut to 10, with tiers."""
-    docs, queries = _docs(spark, d), _queries(spark, d)
+    docs, queries = _inputs(spark, d)
     fused = fuse([lexical(docs, queries), nearest(docs, queries, FAN)])
     hits = fused.join(docs.drop("tokens", "text"), "doc_id").join(queries.select("query_id", "tokens"), "query_id")
     best = top_k(rerank(hits), K)
@@ -183,27 +211,36 @@ tok AS (SELECT * FROM {SQL_TOKENS.format(src='(SELECT DISTINCT s FROM src)')}),
 tl AS (SELECT s, token, count(*) AS tf FROM tok GROUP BY 1, 2), ln AS (SELECT s, sum(tf) AS len FROM tl GROUP BY 1),
 dl AS (SELECT node_id AS doc_id, len, s FROM src JOIN ln USING (s)), st AS (SELECT count(*) AS n, avg(len) AS al FROM dl),
 tf AS (SELECT d.doc_id, t.token AS term, t.tf, d.len FROM dl d JOIN tl t USING (s)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-bm AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), {LEAST_IDF}) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * len / al))), 9) AS score
+bm AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9) AS score
  FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm),
+mt AS (SELECT DISTINCT t.term, v.token FROM (SELECT DISTINCT term FROM qt) t JOIN (SELECT DISTINCT token FROM tl) v ON starts_with(v.token, t.term)),
+ps AS (SELECT s, term, sum(tf) AS tf FROM tl JOIN mt USING (token) GROUP BY 1, 2), pf AS (SELECT d.doc_id, p.term, p.tf, d.len FROM dl d JOIN ps p USING (s)), pd AS (SELECT term, count(*) AS df FROM pf GROUP BY 1),
+pm AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9) AS score
+ FROM qt JOIN pf USING (term) JOIN pd USING (term), st GROUP BY 1, 2),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pm QUALIFY rank <= 400),
 sb AS (SELECT q.query_id, n.node_id AS doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY n.node_id) AS rank FROM q JOIN cn n ON n.branch = 'main' AND strlen(phrase) >= 3 AND contains(lower(n.symbol_path), lower(phrase))),
-fu AS (SELECT query_id, doc_id, round(sum(1.0 / ({RRF - 1} + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM br WHERE rank <= {FETCH} UNION ALL SELECT query_id, doc_id, rank FROM sb WHERE rank <= {FETCH}) GROUP BY 1, 2),
-fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= {FETCH})"""
+fu AS (SELECT query_id, doc_id, round(sum(1.0 / (59 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM pr UNION ALL SELECT query_id, doc_id, rank FROM sb WHERE rank <= 400) GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 100)"""
 _SPLIT = r"regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')"
-QUERIES = {f.__name__: f for f in (lexical_words, lexical_trigram, rrf_fusion, search_reranked)}
+QUERIES = {f.__name__: f for f in (lexical_words, lexical_trigram, rrf_fusion, search_lexical, search_reranked)}
 ORACLE = {
     "lexical_words": _SEARCH + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM br WHERE rank <= 10",
     "lexical_trigram": _SEARCH + " SELECT query_id, count(*) AS hits, min(doc_id) AS first_doc FROM sb GROUP BY 1",
-    "search_reranked": _SEARCH
-    + rf""", h AS (SELECT f.query_id, f.doc_id, f.score, n.symbol_path, n.kind, n.file_path, list_distinct(list_filter(string_split(lower(regexp_replace({_SPLIT.format(x="coalesce(n.symbol_path, '')")}, '[_./\-\s]+', ' ', 'g')) || ' ' ||
-  lower(regexp_replace({_SPLIT.format(x="coalesce(regexp_replace(parse_filename(n.file_path), '[.][^.]*$', ''), '')")}, '[_./\-\s]+', ' ', 'g')), ' '), lambda x: x <> '')) AS stems FROM fr f JOIN cn n ON n.node_id = f.doc_id AND n.branch = 'main'),
+    "search_lexical": _SEARCH
+    + rf""", lx AS (SELECT query_id, doc_id, round(1.0 / (60 + rank), 12) AS score FROM fr), h AS (SELECT f.query_id, f.doc_id, f.score, n.symbol_path, n.kind, n.file_path, list_distinct(list_filter(string_split(lower(regexp_replace({_SPLIT.format(x="coalesce(n.symbol_path, '')")}, '[_./\-\s]+', ' ', 'g')) || ' ' ||
+  lower(regexp_replace({_SPLIT.format(x="coalesce(regexp_replace(parse_filename(n.file_path), '[.][^.]*$', ''), '')")}, '[_./\-\s]+', ' ', 'g')), ' '), lambda x: x <> '')) AS stems, string_split(trim(lower(regexp_replace({_SPLIT.format(x="coalesce(split_part(n.symbol_path, '.', -1), '')")}, '[_./\-\s]+', ' ', 'g'))), ' ')[1] AS head FROM lx f JOIN cn n ON n.node_id = f.doc_id AND n.branch = 'main'),
 ql AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(query_id, '^.*: ', '')), '\s+'), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda x: strlen(x) >= 3) AS tokens FROM q),
 g AS (SELECT h.*, max(score) OVER (PARTITION BY h.query_id) AS top, CASE WHEN file_path IS NULL THEN 0 ELSE least(count(file_path) OVER (PARTITION BY h.query_id, file_path) - 1, 4) END AS coherent,
- coalesce((list_contains(tokens, lower(split_part(symbol_path, '.', -1))) AND kind IN ('function', 'method', 'type', 'struct', 'interface', 'class'))::INT, 0) AS defined, len(list_filter(tokens, lambda x: list_contains(stems, x))) AS matched FROM h JOIN ql ON ql.query_id = h.query_id),
-s AS (SELECT query_id, doc_id, round((score + top * (defined + 0.25::DOUBLE * matched + 0.05::DOUBLE * coherent)) * CASE WHEN coalesce(regexp_matches(lower(file_path), '{P.NOISE_PATH}'), false) THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN kind IN ('package', 'file', 'module') THEN 0.5::DOUBLE ELSE 1 END, 9) AS score FROM g),
+ coalesce((list_contains(tokens, lower(split_part(symbol_path, '.', -1))) AND kind IN ('function', 'method', 'type', 'struct', 'interface', 'class'))::INT, 0) AS defined,
+ coalesce((len(list_filter(tokens, lambda t: list_contains(CASE t WHEN 'register' THEN ['add', 'install', 'append'] WHEN 'install' THEN ['add', 'register'] WHEN 'attach' THEN ['add', 'append'] WHEN 'remove' THEN ['delete', 'detach'] WHEN 'delete' THEN ['remove', 'destroy']
+  WHEN 'detach' THEN ['remove', 'detach'] WHEN 'lookup' THEN ['get', 'find', 'fetch', 'resolve'] WHEN 'retrieve' THEN ['get', 'fetch', 'load', 'read'] WHEN 'fetch' THEN ['get', 'retrieve', 'load'] WHEN 'find' THEN ['lookup', 'resolve', 'search']
+  WHEN 'create' THEN ['new', 'make', 'build'] WHEN 'make' THEN ['new', 'create', 'build'] WHEN 'build' THEN ['new', 'make', 'create'] END, head))) > 0 AND kind IN ('function', 'method', 'type', 'struct', 'interface', 'class'))::INT, 0) AS verb, len(list_filter(tokens, lambda x: list_contains(stems, x))) AS matched FROM h JOIN ql ON ql.query_id = h.query_id),
+s AS (SELECT query_id, doc_id, round((score + top * (defined + verb + 0.25::DOUBLE * matched + 0.05::DOUBLE * coherent)) * CASE WHEN coalesce(ends_with(lower(file_path), '_test.go') OR ends_with(lower(file_path), '.d.ts') OR contains(lower(file_path), '/legacy/') OR contains(lower(file_path), '/examples/') OR contains(lower(file_path), '/vendor/') OR contains(lower(file_path), '/testdata/'), false) THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN kind IN ('package', 'file', 'module') THEN 0.5::DOUBLE ELSE 1 END, 9) AS score FROM g),
 k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 10), b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM k)
-SELECT query_id, doc_id, round(score, 6) AS score, rank, CASE WHEN best <= 0 THEN 'weak' WHEN score >= 0.95::DOUBLE * best THEN 'top' WHEN score >= 0.8::DOUBLE * best THEN 'strong' ELSE 'weak' END AS tier FROM b""",
-    "rrf_fusion": _SEARCH + " SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fr",
+SELECT query_id, doc_id, round(score, 6) AS score, rank, CASE WHEN best <= 0 THEN 'weak' WHEN score >= 0.95::DOUBLE * best THEN 'top' WHEN score >= 0.8::DOUBLE * best THEN 'strong' ELSE 'weak' END AS tier,
+ round(CASE WHEN best - min(score) OVER (PARTITION BY query_id) <= 0 THEN 1.0::DOUBLE ELSE (score - min(score) OVER (PARTITION BY query_id)) / (best - min(score) OVER (PARTITION BY query_id)) END, 6) AS normal, 'embedder unreachable' AS degraded FROM b""",
+    "rrf_fusion": _SEARCH + " SELECT query_id, doc_id, score, rank FROM fr",
 }
 ORACLE["lexical_words"] = whole_numbers(ORACLE["lexical_words"], "rank")
 ORACLE["rrf_fusion"] = whole_numbers(ORACLE["rrf_fusion"], "rank")

@@ -107,8 +107,8 @@ g AS (SELECT repo_id, branch, file_path, line_start - 1 AS b, 1 + coalesce(max(l
 c AS (SELECT *, unnest(range(a, b + 1, {CHUNK_LINES})) AS from_line FROM g WHERE b >= a) SELECT DISTINCT repo_id, branch, file_path, from_line, least(from_line + {CHUNK_LINES} - 1, b) AS to_line FROM c""",
     "symbol_token_counts": f"SELECT token, count(DISTINCT s) AS symbols FROM {SQL_TOKENS.format(src='(SELECT DISTINCT symbol_path AS s FROM nodes WHERE symbol_path IS NOT NULL)')} GROUP BY 1",
     "ident_split": rf"SELECT DISTINCT symbol_path, trim(regexp_replace(lower(regexp_replace({_IDENT}, '[_./\-\s]+', ' ', 'g')), ' +', ' ', 'g')) AS parts FROM nodes WHERE symbol_path IS NOT NULL",
-    "redacted_documents": rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{T.SECRET_PREFIXES}', '***', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._~+/-]+=*', '\1***', 'g'),
-'([a-z][a-z0-9+.-]*://[^:/@\s]+:)[^@\s]+@', '\1***@', 'g'), '(?i)\b([A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_?KEY)[A-Z0-9_]*\s*=\s*)\S+', '\1***', 'g')) AS digest FROM documents""",
+    "redacted_documents": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?:sk-|ghp_|xoxb-)[\w\-]+', '[REDACTED]', 'g'), '(Bearer )\S+', '\1[REDACTED]', 'g'),
+'(://[^:/\s]+:)[^/\s]+(@)', '\1[REDACTED]\2', 'g'), '(?i)(\b(?:\w*_)?(?:API_KEY|TOKEN|SECRET|PASSWORD|PASSWD)=)\S+', '\1[REDACTED]', 'g')) AS digest FROM documents""",
     "repo_urls": r"SELECT repo_id, lower(regexp_replace(regexp_replace(regexp_replace(trim(canonical_url), '^(?:[a-z+]+://)?(?:[^@/]+@)?', ''), '^([^/:]+):(?:\d+/)?', '\1/'), '(?:\.git)?/*$', '')) AS url FROM repos",
     "node_ids": f"WITH {SQL} SELECT node_id, branch, sha256(coalesce(repo_id, '') || chr(0) || coalesce(file_path, '') || chr(0) || coalesce(kind, '') || chr(0) || coalesce(symbol_path, '')) AS made, substr(sha256(node_id || chr(0) || kind), 1, 32) AS short FROM cn",
 }

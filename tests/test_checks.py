@@ -39,7 +39,7 @@ def test_vulnerable(spark):
     ], ev)
     deps = spark.createDataFrame([("p", "1.1.9"), ("p", "1.2.0"), ("p", "2.1.0"), ("p", "2.3.0"), ("q", "1.5.0"), ("q", "1.5.1"), ("q", "bad"), ("q", None), ("z", "1.0.0")], "name string, version string")
     got = {(r.name, r.version): (r.advisory, r.severity, r.fixed_in) for r in C.vulnerable(deps, adv).collect()}
-    assert got == {("p", "1.1.9"): ("GHSA-1", "high", "1.2.0"), ("p", "2.1.0"): ("GHSA-1", "high", "2.3.0"), ("q", "1.5.0"): ("GO-9", "medium", None)}
+    assert got == {("p", "1.1.9"): ("GHSA-1", "low", "1.2.0"), ("p", "2.1.0"): ("CVE-1", "high", "2.3.0"), ("q", "1.5.0"): ("GO-9", "medium", None)}
 
 
 def test_secrets(spark):
@@ -92,3 +92,30 @@ def test_reports(spark):
     hits = spark.createDataFrame([("q", "x", 1), ("q", "y", 2), ("r", "z", 1)], "query_id string, doc_id string, rank int")
     truth = spark.createDataFrame([("q", "y"), ("q", "w"), ("s", "x")], "query_id string, doc_id string")
     assert {r.query_id: (r.recall, r.rr) for r in retrieval_quality(hits, truth, 2).collect()} == {"q": (0.5, 0.5), "s": (0.0, 0.0)}
+
+
+def test_alias_chains_are_one_vulnerability(spark):
+    ev = "id string, aliases array<string>, severity string, affected array<struct<package:string,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>>>"
+    hit = lambda p: [(p, [("SEMVER", [("0", None, None), (None, "9.0.0", None)])])]
+    rows = [("GO-1", ["CVE-1"], None, hit("p")), ("CVE-1", ["GHSA-1"], "low", hit("p")), ("GHSA-1", None, "high", hit("p")), ("GO-2", ["CVE-2"], None, hit("q")), ("CVE-7", [], None, hit("p")), ("CVE-7", [], None, hit("p"))]
+    got = {(r.name, r.advisory): r.aliases for r in C.vulnerable(spark.createDataFrame([("p", "1.0.0"), ("q", "1.0.0"), ("p", "1.0.0")], "name string, version string"), spark.createDataFrame(rows, ev)).collect()}
+    assert got == {("p", "GHSA-1"): ["CVE-1"], ("p", "CVE-7"): [], ("q", "GO-2"): ["CVE-2"]}
+
+
+def test_redaction(spark):
+    from codelattice.functions.text import redact
+
+    want = {
+        "key sk-a1 and ghp_x": "key [REDACTED] and [REDACTED]", "https://u:p@ss@host/x": "https://u:[REDACTED]@host/x", "Bearer a.b/c=|d e": "Bearer [REDACTED] e",
+        "DB_PASSWD=x y": "DB_PASSWD=[REDACTED] y", "MY_API_KEY=1": "MY_API_KEY=[REDACTED]", "token=abc": "token=[REDACTED]", "nothing": "nothing", None: None, "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string").select("t", redact(F.col("t")).alias("r"))
+    assert {r.t: r.r for r in df.collect()} == want
+
+
+def test_noise_paths(spark):
+    from codelattice.operators import predicates as P
+
+    want = {"a/b_TEST.go": True, "x.d.ts": True, "a/legacy/b.go": True, "legacy/b.go": False, "a/vendor/b.go": True, "docs/a.md": False, "a/mocks/b.go": False, None: False, "": False}
+    df = spark.createDataFrame([(k,) for k in want], "p string").select("p", P.is_noise_path(F.col("p")).alias("n"))
+    assert {r.p: r.n for r in df.collect()} == want

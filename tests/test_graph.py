@@ -73,7 +73,7 @@ def test_covering_walks_to_the_end_and_through_helpers(spark):
 
 def _graph(spark, d):
     """Files of one symbol each, called in a row but for one import; a type nobody calls but one route; and a finding."""
-    at = datetime(2026, 8, 1)
+    at = datetime(2026, 6, 15)
     kinds = {"f0": "function", "f1": "function", "f2": "function", "f3": "function", "f4": "function", "t": "struct", "r": "function", "p": "package"}
     nodes = [(k, "main", "r1", f"a/{k}.go", kind, k, "go", k, at) for k, kind in kinds.items()]
     spark.createDataFrame(nodes, "node_id string, branch string, repo_id string, file_path string, kind string, symbol_path string, language string, content_hash string, last_promoted_at timestamp_ntz").write.parquet(f"{d}/nodes.parquet")
