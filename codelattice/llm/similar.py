@@ -37,6 +37,8 @@ LAYOUT_BYTES = 64_000_000
 #: Members of a shard, and queries that visit it in one task, about: rows, and bytes of their vectors.
 SHARD_ROWS, SHARD_QUERIES = 30_000, 200_000
 SHARD_BYTES, QUERY_BYTES = 24_000_000, 64_000_000
+#: Queries of a task at least, where fewer would keep more tasks busy.
+LEAST_QUERIES = 16_000
 #: A list is not worth a visit if its centroid's cosine is that much below the nearest one's.
 MARGIN = 0.2
 #: Members that the lists visited hold together before that margin cuts.
@@ -86,11 +88,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _flat(x: np.ndarray) -> np.ndarray:
-    """Unit vectors in single precision, without a double copy of the whole."""
+def _flat(x: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Unit vectors in single precision, without a double copy of the whole; their lengths go to ``size``."""
     out = np.empty(x.shape, np.float32)
     for i in range(0, len(x), 8192):
-        out[i : i + 8192] = _unit(x[i : i + 8192])
+        part = x[i : i + 8192].astype(np.float64)
+        n = np.sqrt((part * part).sum(axis=1))
+        out[i : i + 8192] = part / n[:, None]
+        if size is not None:
+            size[i : i + 8192] = n
     return out
 
 
@@ -315,7 +321,8 @@ def search_shard(layout: Layout, k: int, rep: np.ndarray, vec: np.ndarray, lists
     A query's nearest list in the shard comes first; what it finds there is the bar for the others.
     ``exact`` compares all of them in double precision.
     """
-    flat = _flat(vec)
+    length = np.empty(len(vec))
+    flat = _flat(vec, length)
     member, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     home = lists[member, 0]
     own = np.unique(home)
@@ -363,7 +370,8 @@ def search_shard(layout: Layout, k: int, rep: np.ndarray, vec: np.ndarray, lists
                         keep = (near >= need[q] - 1e-6) & (rep[mm[m]] != rep[qq[q]])
                         q, m = q[keep], m[keep]
                         if len(q):
-                            _merge(best, ids, at, q, np.einsum("ij,ij->i", _unit(vec[qq[q]]), _unit(vec[mm[m]])), rep[mm[m]])
+                            a, b = qq[q], mm[m]
+                            _merge(best, ids, at, q, np.einsum("ij,ij->i", vec[a].astype(np.float64) / length[a, None], vec[b].astype(np.float64) / length[b, None]), rep[b])
     ids[~np.isfinite(best)] = -1
     return rep[query], ids, best
 
@@ -467,13 +475,15 @@ def most_similar(vectors: DataFrame, k: int = K, probes: int = PROBES, list_rows
     wide = _usable(vectors, wide=True).join(reps, "vec_id").where("key = rep_key").groupBy("vec_id").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
     placed = work.write(wide.mapInArrow(assign, "rep long, model string, vec binary, lists array<int>"), "placed")
     visits = placed.select("model", F.posexplode("lists").alias("turn", "list")).where("list >= 0").groupBy("model", "list").agg(F.count(F.lit(1)).alias("visits"), F.sum((F.col("turn") == 0).cast("int")).alias("members")).collect()
-    key = 0
+    key, spread = 0, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for m, layout in layouts.items():
         members, visiting = np.zeros(len(layout.c), np.int64), np.zeros(len(layout.c), np.int64)
         for r in visits:
             if r["model"] == m:
                 members[r["list"]], visiting[r["list"]] = r["members"], r["visits"]
-        key = layout.share_out(members, visiting, key, max(1, min(shard_rows, SHARD_BYTES // (4 * layout.dim))), max(1, min(shard_queries, QUERY_BYTES // (4 * layout.dim))))
+        # queries are spread over more tasks where there are few shards: smaller shards would leave them without a bar
+        queries = min(shard_queries, QUERY_BYTES // (4 * layout.dim), max(LEAST_QUERIES, int(visiting.sum()) // spread))
+        key = layout.share_out(members, visiting, key, max(1, min(shard_rows, SHARD_BYTES // (4 * layout.dim))), max(1, queries))
     sent = spark.sparkContext.broadcast(layouts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
