@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from codelattice.operators.current import SQL, current_nodes, latest
+from codelattice.operators.current import SQL, current_nodes, latest, whole_numbers
 from codelattice.operators.lookup import _open
 from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
-AS_OF = "2026-07-01"
+AS_OF, BASE_TIME = "2026-07-01", "2026-03-01"
 #: What is queued for each promoted file, and how often a piece of work is tried.
 WORK_KINDS, ATTEMPTS = ("embed", "auto-link", "revalidate", "fts", "wiki"), 3
 RECORD, FIELD = "\x1e", "\x1f"
@@ -48,29 +48,38 @@ def last_authors(commits: DataFrame, files: DataFrame) -> DataFrame:
     return latest(j, ["repo_id", "file_path"], [F.col("committed_at").desc_nulls_last(), F.col("hash").asc()]).select("repo_id", "file_path", "author")
 
 
-def ancestors(commits: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame:
+def ancestors(commits: DataFrame, heads: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(repo_id, hash) of all commits that the heads descend from, themselves included.
 
-    The reach of a step doubles each round, so the rounds are logarithmic in the history's length.
+    Along first parents the reach doubles (a commit has one such step of each length, so the
+    tables stay as long as the history); a round then follows the other parents of what is
+    new, so the rounds are as many as merges lie within merges.
     """
     work = Workspace(commits.sparkSession, "ancestors")
     keys = ["repo_id", "hash"]
-    known = commits.select(*keys)
-    step = commits.select("repo_id", "hash", F.explode("parents").alias("up")).join(known.withColumnRenamed("hash", "up"), ["repo_id", "up"], "left_semi")
-    step = work.write(step.select("repo_id", "hash", "up").distinct(), "step")
-    jump = step  # commits and their ancestors 1, 2, 4, ... steps up: as many rows a round as there are links
-    reached = work.write(heads.select(*keys).distinct().join(known, keys, "left_semi"), "reached")
-    n = reached.count()
+    known = work.write(commits.select(*keys, "parents").dropDuplicates(keys), "commits")
+    ids = known.select(*keys)
+    up = known.select("repo_id", "hash", F.posexplode("parents").alias("nth", "up")).join(ids.withColumnRenamed("hash", "up"), ["repo_id", "up"], "left_semi")
+    others = work.write(up.where("nth > 0").select("repo_id", "hash", "up"), "others")
+    jumps = [work.write(up.where("nth = 0").select("repo_id", "hash", "up"), "first")]
+    while not jumps[-1].isEmpty():
+        last = jumps[-1]
+        jumps.append(work.write(last.join(last.select("repo_id", F.col("hash").alias("up"), F.col("up").alias("upper")), ["repo_id", "up"]).select("repo_id", "hash", F.col("upper").alias("up")), "jump"))
+    step = lambda rows, by: rows.join(by, keys).select("repo_id", F.col("up").alias("hash"))
+    front = heads.select(*keys).distinct().join(ids, keys, "left_semi")
+    reached = None
     for _ in range(max_rounds):
-        up = lambda by: reached.join(by, keys).select("repo_id", F.col("up").alias("hash"))  # noqa: E731, B023
-        grown = work.write(reached.unionByName(up(step)).unionByName(up(jump)).distinct(), "reached")
-        count = grown.count()
-        if count == n:  # not even a single step leads on
-            return grown
-        reached, n = grown, count
-        far = jump.select("repo_id", F.col("hash").alias("up"), F.col("up").alias("upper"))
-        jump = work.write(jump.join(far, ["repo_id", "up"]).select("repo_id", "hash", F.col("upper").alias("up")).distinct(), "jump")
-    raise RuntimeError("the history is longer than the rounds reach")
+        front = work.write(front, "front")
+        if front.isEmpty():
+            return front if reached is None else reached
+        for jump in jumps[:-1]:
+            grown = work.write(front.unionByName(step(front, jump)).distinct(), "front")
+            work.drop(front)
+            front = grown
+        new = front if reached is None else front.join(reached, keys, "left_anti")
+        reached = work.write(new if reached is None else reached.unionByName(new), "reached")
+        front = step(front, others).distinct().join(reached, keys, "left_anti")
+    raise RuntimeError("merges are nested deeper than the rounds reach")
 
 
 def replay_plan(commits: DataFrame, heads: DataFrame, promoted: DataFrame) -> DataFrame:
@@ -117,6 +126,89 @@ def switch_model(refs: DataFrame, model: str) -> DataFrame:
     return refs.withColumn("state", F.when(other, "pending").otherwise(F.col("state"))).withColumn("attempts", F.when(other, 0).otherwise(F.col("attempts"))).withColumn("model", F.lit(model))
 
 
+def promotion_log(nodes: DataFrame) -> DataFrame:
+    """Raw logs (repo_id, log), one record each: every promotion of a repo's main branch as a commit on the one before."""
+    n = nodes.where("branch = 'main' AND file_path IS NOT NULL AND last_promoted_at IS NOT NULL")
+    c = n.groupBy("repo_id", "last_promoted_at").agg(F.min("actor_id").alias("author"), F.array_sort(F.collect_set("file_path")).alias("files"))
+    at = F.date_format("last_promoted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    c = c.withColumn("hash", F.substring(F.sha2(F.concat_ws("|", "repo_id", at), 256), 1, 16)).withColumn("parent", F.lag("hash").over(Window.partitionBy("repo_id").orderBy("last_promoted_at")))
+    head = F.concat_ws(FIELD, "hash", F.coalesce("parent", F.lit("")), F.coalesce("author", F.lit("")), at, at, F.lit("promotion"))
+    return c.select("repo_id", F.concat(F.lit(RECORD), head, F.lit("\n"), F.array_join("files", "\n"), F.lit("\n")).alias("log"))
+
+
+def _commits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    work = Workspace(spark, "log")
+    commits, files = commit_log(promotion_log(table(spark, d, "nodes")))
+    return work.write(commits, "commits"), work.write(files, "files")
+
+
+def commit_list(spark: SparkSession, d: str) -> DataFrame:
+    commits, _ = _commits(spark, d)
+    return commits.select("repo_id", "hash", F.coalesce(F.get("parents", F.lit(0)), F.lit("")).alias("parent"), "author", F.date_format("committed_at", "yyyy-MM-dd HH:mm").alias("committed"), "subject")
+
+
+def commit_files(spark: SparkSession, d: str) -> DataFrame:
+    return _commits(spark, d)[1]
+
+
+def file_commits(spark: SparkSession, d: str) -> DataFrame:
+    """The last three commits of every file."""
+    commits, files = _commits(spark, d)
+    return file_history(commits, files, files, 3).select("repo_id", "file_path", "hash", "place")
+
+
+def file_authors(spark: SparkSession, d: str) -> DataFrame:
+    return last_authors(*_commits(spark, d))
+
+
+def month_changes(spark: SparkSession, d: str) -> DataFrame:
+    return change_counts(*_commits(spark, d), AS_OF)
+
+
+def _head(commits: DataFrame, until: str | None = None) -> DataFrame:
+    c = commits if until is None else commits.where(F.col("committed_at") <= F.lit(until).cast("timestamp"))
+    return latest(c, ["repo_id"], [F.col("committed_at").desc(), F.col("hash").asc()]).select("repo_id", "hash")
+
+
+def commit_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    """Every commit that the heads of the base time descend from."""
+    commits, _ = _commits(spark, d)
+    return ancestors(commits, _head(commits, BASE_TIME))
+
+
+def replay_plans(spark: SparkSession, d: str) -> DataFrame:
+    """What start-up does where the graph was last promoted at the base time."""
+    commits, _ = _commits(spark, d)
+    return replay_plan(commits, _head(commits), _head(commits, BASE_TIME))
+
+
+def _queue(spark: SparkSession, d: str) -> DataFrame:
+    """Work of promoted files as a queue; how often a piece was tried follows from its path's length."""
+    p = table(spark, d, "nodes").where("file_path IS NOT NULL AND last_promoted_at IS NOT NULL").select("repo_id", "branch", "file_path", "last_promoted_at").distinct()
+    k = p.select("*", F.explode(F.array(*map(F.lit, WORK_KINDS))).alias("kind"))
+    name = F.concat_ws("|", "repo_id", "branch", "file_path", "kind", F.date_format("last_promoted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return k.select(F.sha2(name, 256).alias("id"), "kind", F.lit("pending").alias("state"), (F.length("file_path") % 4).alias("attempts"), F.lit(None).cast("timestamp_ntz").alias("available_at"), F.col("last_promoted_at").alias("created_at"))
+
+
+def work_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The next twenty pieces of each lane."""
+    return claim(_queue(spark, d), 20, F.lit(AS_OF).cast("timestamp_ntz")).select("kind", "id", "place")
+
+
+def work_settled(spark: SparkSession, d: str) -> DataFrame:
+    """The queue after every piece was worked on: ids that begin with a digit under 5 fail, with 5 to 9 wait, others are done."""
+    work = Workspace(spark, "queue")
+    q = work.write(_queue(spark, d), "queue")
+    outcome = F.when(F.col("id") < "5", "error").when(F.col("id") < "a", "defer").otherwise("done")
+    return settle(q, q.select("id", outcome.alias("outcome")), F.lit(AS_OF).cast("timestamp_ntz")).groupBy("kind", "state", "attempts").agg(F.count(F.lit(1)).alias("rows"), F.count("available_at").alias("waiting"))
+
+
+def model_switch(spark: SparkSession, d: str) -> DataFrame:
+    """References by state after a change to the second model: those of the first are pending again."""
+    refs = latest(table(spark, d, "node_vectors"), ["vec_id"], [F.col("embedded_at").desc_nulls_last(), F.col("content_hash").asc(), F.col("state").asc()]).select("vec_id", "state", F.lit(1).alias("attempts"), "model")
+    return switch_model(refs, "static-hash-v2").groupBy("model", "state").agg(F.count(F.lit(1)).alias("refs"), F.sum("attempts").alias("attempts"))
+
+
 def promotions_per_file(spark: SparkSession, d: str) -> DataFrame:
     """Promotions of each file in the last 90 days: the graph's own change counts."""
     n = table(spark, d, "nodes").where(f"file_path IS NOT NULL AND last_promoted_at > TIMESTAMP_NTZ '{AS_OF}' - INTERVAL 90 DAYS AND last_promoted_at <= TIMESTAMP_NTZ '{AS_OF}'")
@@ -146,8 +238,25 @@ def work_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CF = "cf AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY finding_id, branch ORDER BY created_at DESC NULLS LAST, state ASC NULLS FIRST, severity ASC NULLS FIRST) = 1)"
-QUERIES = {f.__name__: f for f in (promotions_per_file, superseded_links, repo_resolution, work_lanes)}
+_LOG = """cm AS (SELECT repo_id, last_promoted_at AS ts, min(actor_id) AS author, substr(sha256(repo_id || '|' || strftime(last_promoted_at, '%Y-%m-%dT%H:%M:%S.%fZ')), 1, 16) AS hash FROM nodes WHERE branch = 'main' AND file_path IS NOT NULL AND last_promoted_at IS NOT NULL GROUP BY 1, 2),
+cf AS (SELECT DISTINCT n.repo_id, c.hash, c.ts, c.author, n.file_path FROM nodes n JOIN cm c ON c.repo_id = n.repo_id AND c.ts = n.last_promoted_at WHERE n.branch = 'main' AND n.file_path IS NOT NULL)"""
+_QUEUE = """p AS (SELECT DISTINCT repo_id, branch, file_path, last_promoted_at FROM nodes WHERE file_path IS NOT NULL AND last_promoted_at IS NOT NULL),
+qu AS (SELECT sha256(concat_ws('|', repo_id, branch, file_path, kind, strftime(last_promoted_at, '%Y-%m-%d %H:%M:%S.%f'))) AS id, kind, length(file_path) % 4 AS attempts, last_promoted_at AS created_at FROM p, (VALUES ('embed'), ('auto-link'), ('revalidate'), ('fts'), ('wiki')) k(kind))"""
+QUERIES = {f.__name__: f for f in (promotions_per_file, superseded_links, repo_resolution, work_lanes, commit_list, commit_files, file_commits, file_authors, month_changes, commit_ancestry, replay_plans, work_claims, work_settled, model_switch)}
 ORACLE = {
+    "commit_list": f"WITH {_LOG} SELECT repo_id, hash, coalesce(lag(hash) OVER (PARTITION BY repo_id ORDER BY ts), '') AS parent, coalesce(author, '') AS author, strftime(ts, '%Y-%m-%d %H:%M') AS committed, 'promotion' AS subject FROM cm",
+    "commit_files": f"WITH {_LOG} SELECT repo_id, hash, file_path FROM cf",
+    "file_commits": whole_numbers(f"WITH {_LOG} SELECT repo_id, file_path, hash, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY ts DESC, hash) AS place FROM cf QUALIFY place <= 3", "place"),
+    "file_authors": f"WITH {_LOG} SELECT repo_id, file_path, coalesce(arg_max(author, ts), '') AS author FROM cf GROUP BY 1, 2",
+    "month_changes": f"WITH {_LOG} SELECT repo_id, file_path, count(DISTINCT hash) AS changes FROM cf WHERE ts > TIMESTAMP '2026-06-01' AND ts <= TIMESTAMP '2026-07-01' GROUP BY 1, 2",
+    "commit_ancestry": f"WITH {_LOG} SELECT repo_id, hash FROM cm WHERE ts <= TIMESTAMP '2026-03-01'",
+    "replay_plans": f"""WITH {_LOG} SELECT repo_id, CASE WHEN max(ts) <= TIMESTAMP '2026-03-01' THEN 'nothing' WHEN min(ts) > TIMESTAMP '2026-03-01' THEN 'full scan' ELSE 'replay' END AS plan,
+ CASE WHEN min(ts) > TIMESTAMP '2026-03-01' THEN 0 ELSE count(*) FILTER (ts > TIMESTAMP '2026-03-01') END AS missed FROM cm GROUP BY 1""",
+    "work_claims": whole_numbers(f"WITH {_QUEUE} SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY created_at, id) AS place FROM qu WHERE attempts < 3 QUALIFY place <= 20", "place"),
+    "work_settled": f"""WITH {_QUEUE}, o AS (SELECT *, CASE WHEN id < '5' THEN 'error' WHEN id < 'a' THEN 'defer' ELSE 'done' END AS outcome, attempts + CASE WHEN id < '5' THEN 1 ELSE 0 END AS tried FROM qu)
+SELECT kind, CASE WHEN outcome = 'done' THEN 'done' WHEN outcome = 'error' AND tried >= 3 THEN 'failed' ELSE 'pending' END AS state, tried::INTEGER AS attempts, count(*) AS rows, count(*) FILTER (outcome = 'defer') AS waiting FROM o GROUP BY 1, 2, 3""",
+    "model_switch": """WITH r AS (SELECT * FROM node_vectors QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY embedded_at DESC NULLS LAST, content_hash NULLS FIRST, state NULLS FIRST) = 1)
+SELECT 'static-hash-v2' AS model, CASE WHEN model IS DISTINCT FROM 'static-hash-v2' THEN 'pending' ELSE state END AS state, count(*) AS refs, (count(*) FILTER (model = 'static-hash-v2'))::BIGINT AS attempts FROM r GROUP BY 1, 2""",
     "promotions_per_file": f"SELECT repo_id, branch, file_path, count(DISTINCT last_promoted_at) AS changes FROM nodes WHERE file_path IS NOT NULL AND last_promoted_at > TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY AND last_promoted_at <= TIMESTAMP '{AS_OF}' GROUP BY 1, 2, 3",
     "superseded_links": f"WITH {SQL}, {_CF} SELECT f.finding_id, f.branch, f.node_id FROM cf f JOIN cn n ON n.node_id = f.node_id AND n.branch = f.branch WHERE f.state = 'open' AND f.rule = 'auto-link' AND n.last_promoted_at > f.created_at",
     "repo_resolution": r"""WITH t AS (SELECT DISTINCT lower(regexp_replace(target, '^\s+|\s+$', '', 'g')) AS asked FROM suppressions WHERE lower(trim(scope)) = 'repo' AND target IS NOT NULL), r AS (SELECT DISTINCT lower(repo_id) AS repo_id FROM repos)
