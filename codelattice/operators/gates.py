@@ -127,6 +127,28 @@ def new_findings(spark: SparkSession, d: str) -> DataFrame:
     return f.where(F.col("created_at") > t).select("finding_id").exceptAll(f.where(F.col("created_at") <= t).select("finding_id")).distinct()
 
 
+def security_gate(added: DataFrame, base: DataFrame, candidate: DataFrame, advisories: DataFrame | None) -> DataFrame:
+    """``(repo_id, new_secrets, new_vulnerable, vuln_checked, passed)`` for each repo of a change.
+
+    ``added`` (repo_id, file_path, line_no, text) are lines the change adds; ``base`` and
+    ``candidate`` (repo_id, name, version) what manifests require before and after.  A
+    vulnerable dependency is new if its repo, package and advisory were not there before, whatever the
+    version.  Without ``advisories`` that part does not apply and does not fail the change.
+    """
+    from codelattice.operators.checks import secrets, vulnerable
+
+    repos = added.select("repo_id").unionByName(candidate.select("repo_id")).unionByName(base.select("repo_id")).distinct()
+    leaks = secrets(added).groupBy("repo_id").agg(F.count(F.lit(1)).alias("new_secrets"))
+    out = repos.join(leaks, "repo_id", "left").withColumn("new_secrets", F.coalesce("new_secrets", F.lit(0)))
+    if advisories is None:
+        return out.select("repo_id", "new_secrets", F.lit(0).cast("long").alias("new_vulnerable"), F.lit(False).alias("vuln_checked"), (F.col("new_secrets") == 0).alias("passed"))
+    bad = Workspace(added.sparkSession, "security").write(vulnerable(base.unionByName(candidate).select("name", "version"), advisories).select("name", "version", "advisory"), "found")
+    ids = lambda x: x.join(bad, ["name", "version"]).select("repo_id", "name", "advisory").distinct()
+    new = ids(candidate).join(ids(base), ["repo_id", "name", "advisory"], "left_anti").groupBy("repo_id").agg(F.count(F.lit(1)).alias("new_vulnerable"))
+    out = out.join(new, "repo_id", "left").withColumn("new_vulnerable", F.coalesce("new_vulnerable", F.lit(0)))
+    return out.select("repo_id", "new_secrets", "new_vulnerable", F.lit(True).alias("vuln_checked"), ((F.col("new_secrets") == 0) & (F.col("new_vulnerable") == 0)).alias("passed"))
+
+
 _LATEST = "QUALIFY row_number() OVER (PARTITION BY node_id, branch ORDER BY last_promoted_at DESC NULLS LAST, content_hash ASC NULLS FIRST) = 1"
 _LIVE = "NOT EXISTS (SELECT 1 FROM deleted_files x WHERE x.repo_id = n.repo_id AND x.branch = n.branch AND x.file_path = n.file_path AND x.deleted_at >= n.last_promoted_at{0})"
 _STATES = f"""b0 AS (SELECT * FROM nodes WHERE last_promoted_at <= TIMESTAMP '{BASE_TIME}' {_LATEST}), a0 AS (SELECT * FROM nodes {_LATEST}),

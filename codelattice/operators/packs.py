@@ -133,6 +133,16 @@ def finding_events(findings: DataFrame, events: DataFrame) -> DataFrame:
     return j.select(*[new.get(c, F.col(c)).alias(c) for c in findings.columns])
 
 
+def accepted_links(edges: DataFrame, findings: DataFrame) -> DataFrame:
+    """Edges after reviews: those whose auto-link finding was closed as accepted are definite.
+
+    ``findings`` (edge_id, branch, rule, state, closed_reason); others change nothing.
+    """
+    ok = findings.where("rule = 'auto-link' AND state = 'closed' AND closed_reason = 'accept'").select("edge_id", "branch").distinct().withColumn("ok_", F.lit(True))
+    j = edges.join(ok, ["edge_id", "branch"], "left")
+    return j.select(*[F.when(F.col("ok_"), "definite").otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in edges.columns])
+
+
 @F.pandas_udf(StringType())
 def first_json(text: pd.Series) -> pd.Series:
     """The first balanced {...} of a text, quotes and escapes minded; null if there is none."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from codelattice.operators import checks, clones, entry as general, gates, graph, history, lookup, packs, parsing, reports, resolve, search, text, upkeep, vectors
+from codelattice.operators import checks, clones, entry as general, gates, graph, history, inline, lookup, packs, parsing, reports, resolve, search, text, upkeep, vectors
 from codelattice.streaming import flow
 
-_MODULES = [general, clones, lookup, graph, text, search, checks, gates, vectors, reports, resolve, parsing, packs, history, flow, upkeep]
+_MODULES = [general, clones, lookup, graph, text, search, checks, gates, vectors, reports, resolve, parsing, packs, history, flow, upkeep, inline]
 
 
 def queries() -> dict[str, Callable]:

@@ -8,13 +8,12 @@ names) is left unresolved, never guessed.
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 SYMBOLS = "repo_id string, branch string, file_path string, kind string, symbol_path string, line_start int, line_end int, signature string, exported boolean, structural_hash string, calls array<string>"
@@ -142,30 +141,65 @@ def imports(files: DataFrame) -> DataFrame:
     return files.where("content IS NOT NULL").select("repo_id", "branch", "file_path", F.explode(F.array_distinct(found)).alias("import_path")).withColumn("alias", F.regexp_extract("import_path", r"([^/]+?)(?:\.\w+)?$", 1))
 
 
-def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = 1_000_000) -> DataFrame:
-    """Text files under a folder as (file_path, content): no .git, no ignored, too large or binary files."""
+#: What is ignored unless a repository says otherwise.
+IGNORED = ("vendor/", "node_modules/", ".git/", ".hg/", ".svn/", "dist/", "build/", "out/", "__pycache__/", "*.pb.go", "*.gen.go", "testdata/", ".claude/", ".cursor/", ".aider*/")
+
+
+def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Text files under a folder as (file_path, content): no ignored and no binary ones; larger ones only where ``max_bytes`` lets them out.
+
+    ``ignore`` has the lines of the repository's ignore file; they come after the usual ones, so they may let files in again.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.col("path"), "^file:/+", "/")
     rel = F.expr(f"substring(path_, {len(root.rstrip('/').removeprefix('file://')) + 2})")
-    rows = files.where(F.col("length") <= max_bytes).withColumn("path_", base).withColumn("file_path", rel)
-    for p in [".git/", *(ignore or [])]:
-        rows = rows.where(~F.col("file_path").rlike(ignore_regex(p)))
+    rows = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    rows = rows.withColumn("path_", base).withColumn("file_path", rel).where(~is_ignored(F.col("file_path"), [*IGNORED, *(ignore or [])]))
     return rows.where(F.is_valid_utf8(F.col("content").cast("string")) & (F.instr(F.col("content").cast("string"), "\0") == 0)).select("file_path", F.col("content").cast("string").alias("content"))
 
 
 def ignore_regex(pattern: str) -> str:
-    """A line of an ignore file as a regular expression over relative paths."""
-    anchored, folder = pattern.startswith("/"), pattern.endswith("/")
-    core = fnmatch.translate(pattern.strip("/")).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z").replace(".*", "[^/]*")
-    return ("^" if anchored or "/" in pattern.strip("/") else r"(^|/)") + core + (r"/" if folder else r"(/|$)")
+    """A pattern of an ignore file as a regular expression over one entry: a relative path, a folder's with a slash behind."""
+    folder, p = pattern.endswith("/"), pattern.rstrip("/")
+    anchored = "/" in p
+    out, at, p = "", 0, p.lstrip("/")
+    while at < len(p):
+        if p.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+        elif p.startswith("**", at):
+            out, at = out + ".*", at + 2
+        elif p[at] == "[" and "]" in p[at + 2 :]:
+            end = p.index("]", at + 2)
+            out, at = out + "[" + p[at + 1 : end].replace("!", "^", 1) + "]", end + 1
+        else:
+            out, at = out + {"*": "[^/]*", "?": "[^/]"}.get(p[at], re.escape(p[at])), at + 1
+    return ("^" if anchored else "^(?:.*/)?") + out + ("/$" if folder else "/?$")
+
+
+def is_ignored(path: Column, lines: list[str] | tuple[str, ...]) -> Column:
+    """Whether the lines of an ignore file leave a path out: the last line that matches counts, ``!`` lets in again, but nothing below a folder that is out."""
+    rules = [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]
+
+    def verdict(entry: Column) -> Column:
+        out = F.lit(False)
+        for r in rules:
+            out = F.when(entry.rlike(ignore_regex(r.removeprefix("!"))), F.lit(not r.startswith("!"))).otherwise(out)
+        return out
+
+    parts = F.split(path, "/")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    return F.coalesce(F.exists(above, verdict) | verdict(path), F.lit(False))
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """(repo_id, module_path, name, version) of go.mod files: the module and what it requires."""
-    m = files.where(F.col("file_path").rlike(r"(^|/)go\.mod$"))
-    need = F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:require\s+)?([\w.~-]+\.[\w.~-]+/[^\s]+)\s+v[\w.+-]+"), 1)
-    vers = F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:require\s+)?[\w.~-]+\.[\w.~-]+/[^\s]+\s+(v[\w.+-]+)"), 1)
-    rows = m.select("repo_id", F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module_path"), F.explode(F.arrays_zip(need.alias("name"), vers.alias("version"))).alias("d"))
+    """(repo_id, module_path, name, version) of go.mod files: the module and what it requires, not what it excludes, replaces or retracts."""
+    m = files.where(F.col("file_path").rlike(r"(^|/)go\.mod$") & F.col("content").isNotNull())
+    text = F.regexp_replace(F.regexp_replace("content", "\r", ""), r"//[^\n]*", "")
+    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:exclude|replace|retract|tool|ignore|godebug)[ \t]*\([^)]*\)", "")
+    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:exclude|replace|retract|tool|ignore|godebug)[ \t][^\n]*", "")
+    line = r"(?m)^[ \t]*(?:require[ \t]+)?\"?([^\s()\"]+)\"?[ \t]+(v\d[^\s]*)[ \t]*$"
+    need, vers = (F.regexp_extract_all(text, F.lit(line), i) for i in (1, 2))
+    rows = m.select("repo_id", F.regexp_extract(text, r'(?m)^[ \t]*module[ \t]+"?([^\s"]+)', 1).alias("module_path"), F.explode(F.arrays_zip(need.alias("name"), vers.alias("version"))).alias("d"))
     return rows.select("repo_id", "module_path", "d.name", "d.version")
 
 
@@ -206,5 +240,16 @@ def usage_log(spark: SparkSession, path: str) -> DataFrame:
 
 def codeowners(spark: SparkSession, path: str) -> DataFrame:
     """(pattern, owner) of an owners file: comments dropped, the first owner counts."""
+    return _owner_lines(spark.read.text(path)).select("pattern", "owner")
+
+
+def _owner_lines(lines: DataFrame) -> DataFrame:
     v = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(~F.trim("value").startswith("#") & (F.size(v) >= 2)).select(v[0].alias("pattern"), v[1].alias("owner"))
+    return lines.where(~F.trim("value").startswith("#") & (F.size(v) >= 2)).withColumn("pattern", v[0]).withColumn("owner", v[1])
+
+
+def repo_owners(files: DataFrame) -> DataFrame:
+    """(repo_id, pattern, owner): the rules of each repo's owners file; one in the root comes before one in ``.github``."""
+    f = files.where(F.col("file_path").isin("CODEOWNERS", ".github/CODEOWNERS") & (F.coalesce("content", F.lit("")) != ""))
+    one = f.groupBy("repo_id").agg(F.max_by("content", F.struct((F.col("file_path") == "CODEOWNERS"), "content")).alias("content"))
+    return _owner_lines(one.select("repo_id", F.explode(F.split("content", "\r?\n")).alias("value"))).select("repo_id", "pattern", "owner")
