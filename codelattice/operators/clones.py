@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from codelattice.operators.current import SQL, current_edges, current_nodes
 from codelattice.operators.predicates import CLONE_EXCLUDED_KINDS
 from codelattice.plans.materialize import Workspace
+from codelattice.plans.skew import split_join
 from codelattice.sources.tables import table
 
 #: Near-duplicate thresholds by embedding model, with or without a tag behind a colon; another model's is the default.
@@ -64,12 +65,14 @@ def propagate_labels(edges: DataFrame, max_rounds: int = 60, finish: int = 500_0
     if e.count() <= finish:
         return e.coalesce(1).mapInArrow(_union, "node string, component string")
     e = work.write(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    n = e.count()
     labels = work.write(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     for _ in range(max_rounds):
-        near = e.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
+        near = split_join(e, labels.select(F.col("node").alias("b"), "label"), "b", n, work).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("lower"))
-        new = work.write(step.join(jump, "low", "left").select("node", F.coalesce("lower", "low").alias("new"), "label"), "labels")
+        step = work.write(step, "step")  # a component's label is a hot key
+        new = work.write(split_join(step, jump, "low", n, work, "left").select("node", F.coalesce("lower", "low").alias("new"), "label"), "labels")
         changed = not new.where("new <> label").isEmpty()
         work.drop(labels)
         labels = new.select("node", F.col("new").alias("label"))

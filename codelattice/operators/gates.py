@@ -174,6 +174,13 @@ t AS (SELECT DISTINCT e.dst_node_id AS node_id, e.branch FROM ce e JOIN aft x ON
 SELECT a.node_id, a.branch, ch.change FROM aft a JOIN ch ON ch.node_id = a.node_id AND ch.branch = a.branch AND ch.change <> 'removed' WHERE a.kind IN ('function', 'method', 'class') AND NOT {_T.format('a.')} AND NOT {_V}
 AND a.repo_id NOT IN (SELECT repo_id FROM repos WHERE kind = 'ephemeral') AND NOT EXISTS (SELECT 1 FROM im WHERE im.branch = a.branch AND im.name = split_part(a.symbol_path, '.', -1))
 AND NOT coalesce(a.symbol_path IN ('main', 'init'), false) AND NOT EXISTS (SELECT 1 FROM t WHERE t.node_id = a.node_id AND t.branch = a.branch)"""
+ORACLE["cycles_new"] = f"""WITH RECURSIVE {SQL}, {_STATES}, {_CHANGED}, e AS (SELECT src_node_id AS s, dst_node_id AS t, last_promoted_at AS at_ FROM ce WHERE branch = 'main' AND kind = 'calls' AND src_node_id <> dst_node_id),
+eb AS (SELECT DISTINCT s, t FROM e WHERE at_ <= TIMESTAMP '{BASE_TIME}' AND s IN (SELECT node_id FROM base WHERE branch = 'main') AND t IN (SELECT node_id FROM base WHERE branch = 'main')),
+ea AS (SELECT DISTINCT s, t FROM e WHERE s IN (SELECT node_id FROM aft WHERE branch = 'main') AND t IN (SELECT node_id FROM aft WHERE branch = 'main')),
+rb(a, b) AS (SELECT s, t FROM eb UNION SELECT rb.a, eb.t FROM rb JOIN eb ON eb.s = rb.b), ra(a, b) AS (SELECT s, t FROM ea UNION SELECT ra.a, ea.t FROM ra JOIN ea ON ea.s = ra.b),
+ob AS (SELECT x.a AS node, least(x.a, min(x.b)) AS c FROM rb x JOIN rb y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1), na AS (SELECT x.a AS node, least(x.a, min(x.b)) AS c FROM ra x JOIN ra y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1),
+g AS (SELECT na.c FROM na LEFT JOIN ob ON ob.node = na.node GROUP BY 1 HAVING count(DISTINCT ob.c) <> 1 OR count(*) > count(ob.c))
+SELECT node, c AS component FROM na WHERE c IN (SELECT c FROM g) AND c IN (SELECT n2.c FROM na n2 JOIN ch ON ch.node_id = n2.node AND ch.branch = 'main')"""
 ORACLE["guard_report"] = f"""WITH RECURSIVE {SQL}, {_CF}, {_STATES}, {_CHANGED}, c AS (SELECT node_id AS node, change FROM ch WHERE branch = 'main' AND change <> 'removed'),
 e AS (SELECT src_node_id AS a, dst_node_id AS b FROM ce WHERE branch = 'main'), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, k) AS (SELECT DISTINCT node_id, 0 FROM cf WHERE state = 'open' AND severity IN ('high', 'critical') AND branch = 'main' AND node_id IS NOT NULL UNION SELECT e.a, r.k + 1 FROM r JOIN e ON e.b = r.node WHERE r.k < 3),
