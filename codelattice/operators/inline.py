@@ -9,6 +9,7 @@ from codelattice.operators.checks import affected, secrets, semver_key, vulnerab
 from codelattice.operators.gates import security_gate
 from codelattice.operators.packs import accepted_links, finding_events, first_json, frameworks
 from codelattice.operators.reports import owners
+from codelattice.operators.resolve import qualified_calls
 from codelattice.sources.code import IGNORED, added_lines, is_ignored, manifest, parse_sources, repo_owners, structural_hash
 
 EVENTS = "array<struct<introduced: string, fixed: string, last_affected: string>>"
@@ -145,6 +146,55 @@ def name_classes(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.coalesce("symbol", F.lit("(null)")).alias("symbol"), F.coalesce("module", F.lit("(null)")).alias("module"), F.coalesce(P.is_go_test_name(F.col("symbol")), F.lit(False)).alias("go_test"), F.coalesce(P.is_external_module(F.col("module")), F.lit(False)).alias("external"), P.is_external_entry(F.col("symbol")).alias("entry"))
 
 
+def receiver_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Method calls by the types of receivers, parameters, fields, constructors and literals."""
+    go = """package a
+
+type Store struct {
+	log *Logger
+	db  sql.DB
+	n   int
+}
+
+type Logger struct{ out string }
+
+func NewLogger(p string) *Logger { return &Logger{} }
+
+func (s *Store) Save(ctx context.Context, w Writer) error {
+	s.log.Print("x")
+	s.db.Exec("y")
+	s.flush()
+	w.Write(s.n)
+	l := NewLogger("p")
+	l.Close()
+	c := http.NewClient(ctx)
+	c.Do(1)
+	r := &Reader{n: 1}
+	r.Read()
+	var q Queue
+	q.Push(r)
+	other.Thing()
+	return helper(w)
+}
+"""
+    files = spark.createDataFrame([("r", "m", "a.go", "go", go)], "repo_id string, branch string, file_path string, language string, content string")
+    return parse_sources(files).where("symbol_path = 'Store.Save'").select(F.explode("calls").alias("call"))
+
+
+def calls_qualified(spark: SparkSession, d: str) -> DataFrame:
+    """Calls through imports, within a file, a directory and a repo."""
+    at = "repo_id string, branch string, file_path string"
+    calls = [("r", "m", "cmd/a.go", "run", n) for n in ("lib.Open", "lib.Missing", "fmt.Println", "local", "near", "Box.Size", "far", "twice", "nowhere", None)]
+    imports = [("r", "m", "cmd/a.go", "ex.io/s/lib", "lib"), ("r", "m", "cmd/a.go", "fmt", "fmt")]
+    repos = [("r", "ex.io/r"), ("s", "ex.io/s")]
+    nodes = [
+        ("n1", "m", "s", "lib/open.go", "function", "Open"), ("n2", "m", "r", "cmd/a.go", "function", "local"), ("n3", "m", "r", "cmd/b.go", "function", "near"), ("n4", "m", "r", "cmd/b.go", "method", "Box.Size"), ("n5", "m", "r", "x/y.go", "function", "far"), ("n6", "m", "r", "x/y.go", "function", "twice"),
+        ("n7", "m", "r", "z/y.go", "function", "twice"), ("n8", "m", "r", "cmd/a.go", "struct", "nowhere"), ("n9", "m", "r", "cmd/b_test.go", "function", "near"),
+    ]
+    out = qualified_calls(spark.createDataFrame(calls, at + ", caller string, name string"), spark.createDataFrame(imports, at + ", import_path string, alias string"), spark.createDataFrame(repos, "repo_id string, module_path string"), spark.createDataFrame(nodes, "node_id string, branch string, repo_id string, file_path string, kind string, symbol_path string"))
+    return out.select("name", F.coalesce("node_id", F.lit("")).alias("node_id"), "rule")
+
+
 def _due(columns: str, *rows: tuple) -> str:
     """SQL of the rows that are due."""
     lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -153,7 +203,7 @@ def _due(columns: str, *rows: tuple) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (vuln_match, semver_affected, manifest_requirements, ignored_paths, owner_rules, lines_added, secrets_added, security_gates, finding_states, links_accepted, framework_nodes, json_objects, parsed_fixture, structural_pairs, name_classes)
+    for f in (vuln_match, semver_affected, manifest_requirements, ignored_paths, owner_rules, lines_added, secrets_added, security_gates, finding_states, links_accepted, framework_nodes, json_objects, parsed_fixture, structural_pairs, name_classes, receiver_calls, calls_qualified)
 }
 _H = "[REDACTED]"
 ORACLE = {
@@ -178,6 +228,8 @@ ORACLE = {
         "file_path, kind, symbol_path, line_start, line_end, exported, calls", ("a.go", "struct", "Box", 6, 8, True, ""), ("a.go", "interface", "Doer", 10, 12, True, ""), ("a.go", "method", "Doer.Do", 11, 11, True, ""), ("a.go", "method", "Box.Size", 14, 16, True, "helper"), ("a.go", "function", "helper", 18, 21, False, "fmt.Println"),
         ("a.go", "variable", "Total", 23, 23, True, ""), ("b.ts", "class", "Cart", 2, 7, True, ""), ("b.ts", "method", "Cart.add", 4, 6, True, "this.save"), ("b.ts", "function", "total", 8, 10, True, "sum"), ("b.ts", "variable", "K", 11, 11, False, ""),
     ),
+    "receiver_calls": _due("call", *((c,) for c in ("Logger.Print", "sql.DB.Exec", "Store.flush", "Writer.Write", "NewLogger", "Logger.Close", "http.NewClient", "http.Do", "Reader.Read", "Queue.Push", "other.Thing", "helper"))),
+    "calls_qualified": _due("name, node_id, rule", ("lib.Open", "n1", "import"), ("lib.Missing", "", "external"), ("fmt.Println", "", "external"), ("local", "n2", "file"), ("near", "n3", "directory"), ("Box.Size", "n4", "directory"), ("far", "n5", "repo"), ("twice", "", "unresolved"), ("nowhere", "", "unresolved")),
     "structural_pairs": _due("name, alike", ("renamed", True), ("operator", False), ("order", True), ("swapped", False), ("literal class", False), ("comment", True)),
     "name_classes": _due(
         "symbol, module, go_test, external, entry", ("TestRun", "fmt", True, False, True), ("Testify", "ex.io/m", False, True, True), ("Box.TestSize", "net/http", True, False, True), ("BenchmarkX", "github.com/a/b", True, True, True), ("main", "./local", False, True, True), ("FuzzParse", "k8s", True, False, True),

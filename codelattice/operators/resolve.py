@@ -68,6 +68,34 @@ def calls_resolved(spark: SparkSession, d: str) -> DataFrame:
     return j.select("edge_id", rule.alias("rule"), F.coalesce("near", "wide").alias("node_id"))
 
 
+def qualified_calls(calls: DataFrame, imports: DataFrame, repos: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(repo_id, branch, file_path, caller, name, node_id, rule)``: what a call by name means.
+
+    ``calls`` (repo_id, branch, file_path, caller, name), ``imports`` (the same file,
+    import_path, alias).  ``alias.Name`` is a symbol of the imported package, by longest
+    module prefix; any other name is a symbol of the caller's file, else of its directory,
+    else the only one of that name in its repo, with and without its receiver.  What is
+    in none of them, or twice, stays unresolved; null names are left out.
+    """
+    at = ["repo_id", "branch", "file_path"]
+    c = calls.where("name IS NOT NULL").select(*at, "caller", "name").distinct()
+    c = c.withColumn("head", F.substring_index("name", ".", 1)).withColumn("last", P.last_segment(F.col("name"))).withColumn("dir", directory(F.col("file_path")))
+    i = imports.select(*at, F.col("alias").alias("head"), "import_path").dropDuplicates([*at, "head"])
+    q = c.where(F.col("name").contains(".")).join(i, [*at, "head"])
+    by_import = resolve_stubs(q.select(F.col("import_path").alias("module_path"), F.expr("substring(name, length(head) + 2)").alias("symbol")), repos, nodes)
+    q = q.withColumn("rest", F.expr("substring(name, length(head) + 2)"))
+    found = q.join(by_import.select(F.col("module_path").alias("import_path"), F.col("symbol").alias("rest"), F.col("node_id").alias("imported")), ["import_path", "rest"], "left").select(*at, "caller", "name", F.lit(True).alias("is_import"), "imported")
+    code = nodes.where("kind IN ('function', 'method', 'class') AND symbol_path IS NOT NULL").select("repo_id", "branch", "file_path", directory(F.col("file_path")).alias("dir"), "node_id", P.is_test_file(F.col("file_path")).alias("test"), F.explode(F.array_distinct(F.array("symbol_path", P.last_segment(F.col("symbol_path"))))).alias("want"))
+    asked = c.join(found.select(*at, "caller", "name").distinct(), [*at, "caller", "name"], "left_anti").withColumn("want", F.explode(F.array_distinct(F.array("name", "last"))))
+    out = c.join(found, [*at, "caller", "name"], "left")
+    for rule, keys in (("file", [*at, "want"]), ("directory", ["repo_id", "branch", "dir", "want"]), ("repo", ["repo_id", "branch", "want"])):
+        one = unique_or_none(code, keys)
+        hit = asked.join(one, keys).groupBy(*at, "caller", "name").agg(F.min_by("node_id", F.struct(F.col("want") != F.col("name"), F.col("node_id"))).alias(rule))
+        out = out.join(hit, [*at, "caller", "name"], "left")
+    rule = F.when(F.col("imported").isNotNull(), "import").when(F.col("is_import"), "external").when(F.col("file").isNotNull(), "file").when(F.col("directory").isNotNull(), "directory").when(F.col("repo").isNotNull(), "repo").otherwise("unresolved")
+    return out.select(*at, "caller", "name", F.when(F.col("is_import"), F.col("imported")).otherwise(F.coalesce("file", "directory", "repo")).alias("node_id"), rule.alias("rule"))
+
+
 def symbol_repos(spark: SparkSession, d: str) -> DataFrame:
     """In how many repos each symbol name stands, and the first of them."""
     n = current_nodes(table(spark, d, "nodes")).where(~F.col("kind").isin(*P.CONTAINER_KINDS))

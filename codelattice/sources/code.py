@@ -26,6 +26,9 @@ _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|\"\"|[^\s\w]")
 #: Words before a bracket that are no calls.
 _NO_CALL = frozenset("if for switch return func function while catch new typeof import export const let var range defer go select case else await async type struct interface map".split())
 
+#: Types that have no methods of their own.
+_PLAIN = frozenset("bool byte complex128 complex64 error float32 float64 int int16 int32 int64 int8 rune string uint uint16 uint32 uint64 uint8 uintptr any func map chan interface struct".split())
+
 
 def blanked(text: str) -> str:
     """Comments and strings as blanks, line for line; empty strings stay as two quotes."""
@@ -48,6 +51,31 @@ def structural_hash(code: str) -> str:
     return hashlib.sha256(" ".join(out).encode()).hexdigest()[:32]
 
 
+def receiver_types(text: str, returns: dict[str, str]) -> dict[str, str]:
+    """Types of a Go function's receiver, parameters and local variables, as far as its own text tells them.
+
+    ``returns`` are the types that the file's constructors give; a variable made by another
+    package's ``New`` function stands for that package.
+    """
+    known: dict[str, str] = {}
+    head = text.split("{", 1)[0]
+    for names, kind in re.findall(r"([\w, ]+?)\s+(?:\.\.\.)?\*?((?:\w+\.)?[A-Za-z_]\w*)(?=\s*[,)])", head):
+        for name in names.split(","):
+            if kind not in _PLAIN and name.split():
+                known[name.split()[-1]] = kind
+    for name, kind in re.findall(r"\bvar\s+(\w+)\s+\*?((?:\w+\.)?[A-Za-z_]\w*)", text):
+        if kind not in _PLAIN:
+            known[name] = kind
+    for name, kind in re.findall(r"\b(\w+)(?:\s*,\s*\w+)?\s*:=\s*&?((?:\w+\.)?[A-Z]\w*)\{", text):
+        known[name] = kind
+    for name, made in re.findall(r"\b(\w+)(?:\s*,\s*\w+)?\s*:=\s*((?:\w+\.)?\w+)\(", text):
+        if made in returns:
+            known[name] = returns[made]
+        elif re.fullmatch(r"\w+\.New\w*", made):
+            known[name] = made.split(".")[0]
+    return known
+
+
 def _span(lines: list[str], at: int) -> int:
     """Last line of the declaration that starts at a line, by braces and brackets."""
     depth, seen = 0, False
@@ -71,13 +99,24 @@ def declarations(path: str, language: str | None, content: str | None) -> list[t
     raw, code = text.split("\n"), blanked(text).split("\n")
     go = (language or "").lower() == "go" or path.endswith(".go")
     found, owner, owner_end = [], None, -1
+    # what the file's constructors give, and of which types its structs' fields are
+    returns = {m[1]: m[2] for m in re.finditer(r"(?m)^func\s+(\w+)\s*\([^\n]*?\)\s*\(?\s*\*?(\w+)", "\n".join(code)) if m[2] not in _PLAIN} if go else {}
+    struct_fields: dict[str, dict[str, str]] = {}
+    if go:
+        for m in re.finditer(r"(?ms)^type\s+(\w+)\s+struct\s*\{(.*?)^\}", "\n".join(code)):
+            struct_fields[m[1]] = {f[0]: f[1] for f in re.findall(r"(?m)^\s+(\w+)\s+\*?((?:\w+\.)?\w+)\s*(?:\"\"|$)", m[2]) if f[1] not in _PLAIN}
 
     def add(kind: str, symbol: str, i: int, exported: bool, end: int | None = None) -> int:
         end = _span(code, i) if end is None else end
         calls = []
         if kind in ("function", "method"):
             body = "\n".join(code[i : end + 1])[len(code[i].split("{")[0]) :]
-            calls = list(dict.fromkeys(c for c in _CALL.findall(body) if c.split(".")[0] not in _NO_CALL))
+            calls = [c for c in _CALL.findall(body) if c.split(".")[0] not in _NO_CALL]
+            if go:
+                typed = receiver_types("\n".join(code[i : end + 1]), returns)
+                fields = {**typed, **{f"{v}.{f}": t for v, owner_type in typed.items() for f, t in struct_fields.get(owner_type, {}).items()}}
+                calls = [f"{fields[c.rsplit('.', 1)[0]]}.{c.rsplit('.', 1)[1]}" if "." in c and c.rsplit(".", 1)[0] in fields else c for c in calls]
+            calls = list(dict.fromkeys(calls))
         shape = structural_hash("\n".join(raw[i : end + 1])) if kind in ("function", "method", "struct", "interface", "class", "type") else None
         found.append((kind, symbol, i + 1, end + 1, raw[i].split("{")[0].strip(), exported, shape, calls))
         return end
