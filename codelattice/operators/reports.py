@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from codelattice.operators.current import SQL, current_edges, current_nodes, latest
-from codelattice.operators.vectors import exact_search
+from codelattice.functions.text import canonical_url
+from codelattice.operators import predicates as P
+from codelattice.operators.current import SQL, current_edges, current_nodes, latest, whole_numbers
+from codelattice.operators.vectors import _KNN, exact_search
+from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
 #: States an embedding can be in.
@@ -100,13 +103,81 @@ def embedding_states(spark: SparkSession, d: str) -> DataFrame:
     return every.join(n, ["model", "state"], "left").select("model", "state", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+def _label_hits(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(hits (query_id, rank, good), how many others share each query's label): labels are counted, never paired."""
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0")
-    hits = exact_search(v, q, 10).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-    truth = q.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id")
-    r = retrieval_quality(hits, truth, 10)
-    return r.select("query_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"))
+    label = v.select("vec_id", "label")
+    of = Workspace(spark, "recall").write(exact_search(v, q, k).select("query_id", "vec_id", "rank"), "hits")
+    hits = of.join(label.toDF("query_id", "own"), "query_id").join(label, "vec_id").select("query_id", "rank", (F.col("own") == F.col("label")).alias("good"))
+    n = v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("others"))
+    return hits, q.select(F.col("vec_id").alias("query_id"), "label").join(n, "label").where("others > 0").select("query_id", "others")
+
+
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    hits, n = _label_hits(spark, d, 10)
+    g = hits.where("good").groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"))
+    j = n.join(g, "query_id", "left")
+    return j.select("query_id", F.round(F.coalesce("found", F.lit(0)) / F.least(F.lit(10), F.col("others")), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+
+
+def recall_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 1, 5 and 10 and mean reciprocal rank over all queries, raw and of what k results can hold at most."""
+    hits, n = _label_hits(spark, d, 10)
+    g = hits.where("good").groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"f{k}") for k in (1, 5, 10)], F.min("rank").alias("first"))
+    j = n.join(g, "query_id", "left")
+    raw = lambda k: F.round(F.avg(F.coalesce(f"f{k}", F.lit(0)) / F.col("others")), 6).alias(f"raw_{k}")
+    fair = lambda k: F.round(F.avg(F.coalesce(f"f{k}", F.lit(0)) / F.least(F.lit(k), F.col("others"))), 6).alias(f"fair_{k}")
+    return j.agg(*map(raw, (1, 5, 10)), *map(fair, (1, 5, 10)), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def alias_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Names for each repo: the last part of its URL, else of its folder; where that is taken, with the owner before it."""
+    url = canonical_url(F.col("canonical_url"))
+    parts = F.split(url, "/")
+    name, owner = F.get(parts, F.size(parts) - 1), F.when(F.size(parts) >= 3, F.get(parts, F.size(parts) - 2)).otherwise("")
+    r = table(spark, d, "repos").groupBy("repo_id").agg(F.max("canonical_url").alias("canonical_url"), F.max("root_path").alias("root_path"))
+    some = F.coalesce(url, F.lit("")) != ""
+    r = r.select("repo_id", F.when(some, name).otherwise(F.substring_index(F.regexp_replace(F.coalesce("root_path", F.lit("")), "/+$", ""), "/", -1)).alias("primary"), F.when(some & (owner != ""), F.concat_ws("-", owner, name)).otherwise("").alias("fallback"))
+    return r.withColumn("taken", F.row_number().over(Window.partitionBy("primary").orderBy("repo_id")) > 1)
+
+
+def hydrated_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of open findings with what is known of them; those that the graph lacks are pending, not dropped."""
+    f = latest(table(spark, d, "findings"), ["finding_id", "branch"], [F.col("created_at").desc_nulls_last(), F.col("state").asc_nulls_first(), F.col("severity").asc_nulls_first()])
+    a = f.where("state = 'open' AND node_id IS NOT NULL").select("node_id", "branch").distinct()
+    n = current_nodes(table(spark, d, "nodes")).select("node_id", "branch", "symbol_path", "kind", F.lit(True).alias("there"))
+    return a.join(n, ["node_id", "branch"], "left").select("node_id", "branch", F.coalesce("symbol_path", F.lit("")).alias("symbol_path"), F.coalesce("kind", F.lit("")).alias("kind"), F.col("there").isNull().alias("pending"))
+
+
+def findings_page(spark: SparkSession, d: str, size: int = 20, page: int = 2) -> DataFrame:
+    """One page of each branch's open findings, worst and newest first, with the total and whether there is more."""
+    f = latest(table(spark, d, "findings"), ["finding_id", "branch"], [F.col("created_at").desc_nulls_last(), F.col("state").asc_nulls_first(), F.col("severity").asc_nulls_first()]).where("state = 'open'")
+    w = Window.partitionBy("branch")
+    rank = F.coalesce(P.rank_of(F.col("severity"), P.SEVERITIES), F.lit(-1))
+    total = f.groupBy("branch").agg(F.count(F.lit(1)).alias("total"))
+    r = f.withColumn("place", F.row_number().over(w.orderBy(rank.desc(), F.col("created_at").desc_nulls_last(), "finding_id"))).where((F.col("place") > size * (page - 1)) & (F.col("place") <= size * page))
+    return r.join(total, "branch").select("branch", "finding_id", "place", "total", (F.col("total") > size * page).alias("more"))
+
+
+def scoped_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols within a scope: some repos, one branch and a path prefix (here: repos of tracked kind, main, folders that begin with a or s)."""
+    n = in_scope(current_nodes(table(spark, d, "nodes")), table(spark, d, "repos").where("kind = 'tracked'").select("repo_id"), "main", ["a", "s"])
+    return n.where(~F.col("kind").isin(*P.CONTAINER_KINDS)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("symbols"))
+
+
+def in_scope(nodes: DataFrame, repos: DataFrame | None = None, branch: str | None = None, prefixes: list[str] | None = None) -> DataFrame:
+    """Rows of the repos, of the branch, and of paths below one of the prefixes; what is not given does not restrict.  Null paths are below none."""
+    if repos is not None:
+        nodes = nodes.join(repos.select("repo_id").distinct(), "repo_id", "left_semi")
+    if branch is not None:
+        nodes = nodes.where(F.col("branch") == branch)
+    if prefixes is not None:
+        below = F.lit(False)
+        for x in prefixes:
+            below = below | F.coalesce(F.startswith("file_path", F.lit(x)), F.lit(False))
+        nodes = nodes.where(below)
+    return nodes
 
 
 def p95_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +208,7 @@ def repo_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CF = "cf AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY finding_id, branch ORDER BY created_at DESC NULLS LAST, state ASC NULLS FIRST, severity ASC NULLS FIRST) = 1)"
-QUERIES = {f.__name__: f for f in (dependencies, owner_of_path, usage_windows, daily_quota, embedding_states, recall_at_k, p95_nearest_rank, score_quantiles, link_false_positives, repo_status)}
+QUERIES = {f.__name__: f for f in (dependencies, owner_of_path, usage_windows, daily_quota, embedding_states, recall_at_k, p95_nearest_rank, score_quantiles, link_false_positives, repo_status, recall_levels, alias_suggestions, hydrated_anchors, findings_page, scoped_symbols)}
 ORACLE = {
     "dependencies": f"""WITH {SQL}, p AS (SELECT repo_id, dst_node_id AS dependency, src_node_id AS importer, count(*) AS n FROM ce WHERE kind IN ('imports', 'dependson') GROUP BY 1, 2, 3)
 SELECT repo_id, dependency, sum(n)::BIGINT AS edges, count(*) AS importers, array_to_string(list_transform(list(importer ORDER BY importer)[1:5], lambda x: substr(x, 1, 8)), ',') AS first_importers FROM p GROUP BY 1, 2""",
@@ -150,6 +221,16 @@ round(sum(value) FILTER (ts >= TIMESTAMP '2024-01-24'), 4) AS week_value, round(
     "daily_quota": "SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 4) AS used, round(greatest(0.0, 20000.0 - round(sum(value), 4)), 4) AS left FROM events GROUP BY 1",
     "embedding_states": """WITH v AS (SELECT * FROM node_vectors QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY embedded_at DESC NULLS LAST, state ASC NULLS FIRST) = 1), s(state) AS (VALUES ('pending'), ('ready'), ('failed'))
 SELECT m.model, s.state, count(v.vec_id) AS n FROM (SELECT DISTINCT model FROM v) m CROSS JOIN s LEFT JOIN v ON v.model = m.model AND v.state = s.state GROUP BY 1, 2""",
+    "recall_levels": f"""WITH h AS ({_KNN} QUALIFY rank <= 10), q AS (SELECT e.vec_id AS query_id, e.label, (SELECT count(*) FROM embeddings x WHERE x.label = e.label) - 1 AS t FROM embeddings e WHERE e.vec_id % 20 = 0),
+g AS (SELECT q.query_id, q.t, count(*) FILTER (e.label = q.label AND h.rank <= 1) AS f1, count(*) FILTER (e.label = q.label AND h.rank <= 5) AS f5, count(*) FILTER (e.label = q.label) AS f10, min(h.rank) FILTER (e.label = q.label) AS r FROM q JOIN h ON h.query_id = q.query_id JOIN embeddings e ON e.vec_id = h.vec_id WHERE q.t > 0 GROUP BY 1, 2)
+SELECT round(avg(f1 / t), 6) AS raw_1, round(avg(f5 / t), 6) AS raw_5, round(avg(f10 / t), 6) AS raw_10, round(avg(f1 / least(1, t)), 6) AS fair_1, round(avg(f5 / least(5, t)), 6) AS fair_5, round(avg(f10 / least(10, t)), 6) AS fair_10, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM g""",
+    "alias_suggestions": r"""WITH u AS (SELECT repo_id, max(root_path) AS root_path, max(canonical_url) AS c FROM repos GROUP BY 1), w AS (SELECT *, string_split(lower(regexp_replace(regexp_replace(regexp_replace(trim(c), '^(?:[a-z+]+://)?(?:[^@/]+@)?', ''), '^([^/:]+):(?:\d+/)?', '\1/'), '(?:\.git)?/*$', '')), '/') AS p FROM u),
+a AS (SELECT repo_id, CASE WHEN coalesce(c, '') <> '' THEN p[-1] ELSE split_part(rtrim(coalesce(root_path, ''), '/'), '/', -1) END AS "primary", CASE WHEN coalesce(c, '') <> '' AND len(p) >= 3 THEN p[-2] || '-' || p[-1] ELSE '' END AS fallback FROM w)
+SELECT *, row_number() OVER (PARTITION BY "primary" ORDER BY repo_id) > 1 AS taken FROM a""",
+    "hydrated_anchors": f"""WITH {SQL}, {_CF}, a AS (SELECT DISTINCT node_id, branch FROM cf WHERE state = 'open' AND node_id IS NOT NULL) SELECT a.node_id, a.branch, coalesce(n.symbol_path, '') AS symbol_path, coalesce(n.kind, '') AS kind, n.node_id IS NULL AS pending FROM a LEFT JOIN cn n ON n.node_id = a.node_id AND n.branch = a.branch""",
+    "findings_page": whole_numbers(f"""WITH {_CF} SELECT branch, finding_id, row_number() OVER (PARTITION BY branch ORDER BY coalesce(list_position(['info', 'low', 'medium', 'high', 'critical'], severity), 0) DESC, created_at DESC NULLS LAST, finding_id) AS place, count(*) OVER (PARTITION BY branch) AS total,
+ count(*) OVER (PARTITION BY branch) > 40 AS more FROM cf WHERE state = 'open' QUALIFY place BETWEEN 21 AND 40""", "place"),
+    "scoped_symbols": f"WITH {SQL} SELECT repo_id, count(*) AS symbols FROM cn WHERE branch = 'main' AND repo_id IN (SELECT repo_id FROM repos WHERE kind = 'tracked') AND (starts_with(file_path, 'a') OR starts_with(file_path, 's')) AND kind NOT IN ('package', 'file', 'module', 'chunk') GROUP BY 1",
     "recall_at_k": """WITH h AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS good, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 / (1 + pow(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 2)), 9) DESC, v.vec_id) AS rank
  FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0), t AS (SELECT query_id, count(*) FILTER (good) AS true FROM h GROUP BY 1)
 SELECT query_id, round(count(*) FILTER (good AND rank <= 10) / least(10, any_value(t.true)), 6) AS recall, round(coalesce(1 / min(rank) FILTER (good AND rank <= 10), 0), 6) AS rr FROM h JOIN t USING (query_id) WHERE t.true > 0 GROUP BY 1""",
