@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codelattice.functions import text as T
 from codelattice.operators import predicates as P
@@ -35,6 +35,11 @@ VERBS = {
 }
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A number that is not negative, rounded in double arithmetic: equal sums come out equal whatever their order, without decimals."""
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH, prefix: bool = False) -> DataFrame:
     """``(query_id, doc_id, score)``: BM25 of documents by query words, any of which may match.
 
@@ -43,13 +48,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH, prefix: boo
     doc_id; ``k`` rows a query.  With ``prefix`` a query word of three bytes or more stands for
     all words that begin with it, counted as one word.  Documents and queries without words give no rows.
     """
-    docs = Workspace(docs.sparkSession, "bm25").write(docs.select("doc_id", "tokens").where(F.size("tokens") > 0), "docs")
+    work = Workspace(docs.sparkSession, "bm25")
+    numbered = work.write(docs.select("doc_id", "tokens").where(F.size("tokens") > 0).withColumn("nr", F.monotonically_increasing_id()), "docs")
+    docs = numbered.select(F.col("nr").alias("doc_id"), "tokens")  # numbers instead of ids while there are many rows
     length = docs.select("doc_id", F.size("tokens").alias("len"))
     stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     n, avg_len = F.lit(stats["n"]), F.lit(stats["avg"] or 1.0)
     # queries of the same words are scored once
-    same = queries.select(F.col("query_id").alias("asked_by"), F.array_join(F.array_sort(F.array_distinct("tokens")), " ").alias("query_id"))
-    asked = same.select("query_id").distinct().select("query_id", F.explode(F.split("query_id", " ")).alias("term")).where("term <> ''")
+    same = queries.select(F.col("query_id").alias("asked_by"), F.array_join(F.array_sort(F.array_distinct("tokens")), " ").alias("words"))
+    said = work.write(same.select("words").distinct().withColumn("query_id", F.monotonically_increasing_id()), "words")
+    asked = said.select("query_id", F.explode(F.split("words", " ")).alias("term")).where("term <> ''")
     terms = asked.select("term").distinct()
     held = docs.select("doc_id", F.explode("tokens").alias("term"))
     if prefix:
@@ -64,9 +72,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = FETCH, prefix: boo
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
     weighed = tf.join(df, "term").join(length, "doc_id").select("doc_id", "term", part.alias("part"))
-    scored = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    best = top_k(scored, k)
-    return best.join(same, "query_id").select(F.col("asked_by").alias("query_id"), "doc_id", "score", "rank")
+    scored = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(rounded(F.sum("part"), 9).alias("score"))
+    if k is not None:  # all that tie with the k-th learn their ids, which decide
+        scored = scored.withColumn("r_", F.rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("r_") <= k).drop("r_")
+    named = scored.join(numbered.select(F.col("nr").alias("n_"), F.col("doc_id").alias("id_")), F.col("doc_id") == F.col("n_")).select("query_id", F.col("id_").alias("doc_id"), "score")
+    best = top_k(named, k)
+    return best.join(said, "query_id").drop("query_id").join(same, "words").select(F.col("asked_by").alias("query_id"), "doc_id", "score", "rank")
 
 
 def top_k(scored: DataFrame, k: int | None) -> DataFrame:
@@ -76,8 +87,8 @@ def top_k(scored: DataFrame, k: int | None) -> DataFrame:
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def substring_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents that hold the query as a substring, any case.
+def substring_hits(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id): documents that hold the query as a substring, any case; with ``k`` the first ones of each phrase by id.
 
     Blocked by the query's rarest trigram, and only grams of queries are kept of the documents;
     the text is met once for each candidate.  Queries under three bytes match nothing.
@@ -97,7 +108,10 @@ def substring_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     if not some:
         few = [r["phrase"] for r in short.collect()]  # at most two characters each
         found = found.unionByName(low.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, few)), lambda p: F.contains(F.col("low"), p))).alias("phrase")))
-    return q.join(found, "phrase").select("query_id", "doc_id").distinct()
+    found = found.distinct()
+    if k is not None:
+        found = found.withColumn("r_", F.row_number().over(Window.partitionBy("phrase").orderBy("doc_id"))).where(F.col("r_") <= k).drop("r_")
+    return q.select("query_id", "phrase").distinct().join(found, "phrase").select("query_id", "doc_id")
 
 
 def fuse(lists: list[DataFrame], base: int = RRF) -> DataFrame:
@@ -105,28 +119,43 @@ def fuse(lists: list[DataFrame], base: int = RRF) -> DataFrame:
     rows = lists[0].select("query_id", "doc_id", "rank")
     for x in lists[1:]:
         rows = rows.unionByName(x.select("query_id", "doc_id", "rank"))
-    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.lit(1.0) / (base + F.col("rank"))), 12).alias("score"))
+    return rows.groupBy("query_id", "doc_id").agg(rounded(F.sum(F.lit(1.0) / (base + F.col("rank"))), 12).alias("score"))
+
+
+def stems_of() -> Column:
+    """Parts of a symbol's path and of its file's name."""
+    return F.array_distinct(F.concat(T.identifier_parts(F.col("symbol_path")), T.identifier_parts(F.regexp_replace(P.basename(F.col("file_path")), r"\.[^.]*$", ""))))
+
+
+def verb_of() -> Column:
+    """The word that a symbol's own name begins with."""
+    return F.try_element_at(T.identifier_parts(P.last_segment(F.col("symbol_path"))), F.lit(1))
+
+
+def meant_by(tokens: Column) -> Column:
+    """Verbs that names begin with for the verbs among a query's words."""
+    alike = F.create_map(*[x for v, names in VERBS.items() for x in (F.lit(v), F.array(*map(F.lit, names)))])
+    return F.array_distinct(F.flatten(F.filter(F.transform(tokens, lambda t: F.element_at(alike, t)), lambda x: x.isNotNull())))
 
 
 def rerank(hits: DataFrame) -> DataFrame:
     """Bonuses for definitions, names that begin with a verb of the query's meaning, matching stems and files with several hits; demotions for noise paths and coarse kinds.
 
-    ``hits`` (query_id, doc_id, score, tokens, symbol_path, kind, file_path).
+    ``hits`` (query_id, doc_id, score, tokens, symbol_path, kind, file_path; stems, verb and meant where they are known).
     """
     top = F.max("score").over(Window.partitionBy("query_id"))
-    stems = F.array_distinct(F.concat(T.identifier_parts(F.col("symbol_path")), T.identifier_parts(F.regexp_replace(P.basename(F.col("file_path")), r"\.[^.]*$", ""))))
+    parted = {"stems": stems_of(), "verb": verb_of(), "meant": meant_by(F.col("tokens"))}
+    hits = hits.withColumns({c: x for c, x in parted.items() if c not in hits.columns})
     name = F.lower(P.last_segment(F.col("symbol_path")))
     defined = F.array_contains("tokens", name) & F.col("kind").isin(*P.DEFINITION_KINDS)
-    verb = F.try_element_at(T.identifier_parts(P.last_segment(F.col("symbol_path"))), F.lit(1))
-    meant = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.coalesce(F.element_at(F.create_map(*[x for v, alike in VERBS.items() for x in (F.lit(v), F.array(*map(F.lit, alike)))]), t), F.array().cast("array<string>")))))
-    synonym = F.array_contains(meant, verb) & F.col("kind").isin(*P.DEFINITION_KINDS)
+    synonym = F.array_contains("meant", F.col("verb")) & F.col("kind").isin(*P.DEFINITION_KINDS)
     matched = F.size(F.filter("tokens", lambda t: F.array_contains(F.col("stems"), t)))
     in_file = F.count("file_path").over(Window.partitionBy("query_id", "file_path"))
     coherent = F.when(F.col("file_path").isNull(), 0).otherwise(F.least(in_file - 1, F.lit(4)))
     score = F.col("score") + F.col("top") * (F.coalesce(defined, F.lit(False)).cast("int") + F.coalesce(synonym, F.lit(False)).cast("int") + 0.25 * F.col("matched") + 0.05 * F.col("coherent"))
     score = score * F.when(P.is_noise_path(F.col("file_path")), 0.6).otherwise(1.0) * F.when(F.col("kind").isin("package", "file", "module"), 0.5).otherwise(1.0)
-    h = hits.withColumn("top", top).withColumn("stems", stems).withColumn("matched", matched).withColumn("coherent", coherent)
-    return h.withColumn("score", F.round(score, 9)).drop("top", "stems", "matched", "coherent")
+    h = hits.withColumn("top", top).withColumn("matched", matched).withColumn("coherent", coherent)
+    return h.withColumn("score", rounded(score, 9)).drop("top", "stems", "verb", "meant", "matched", "coherent")
 
 
 def tiers(hits: DataFrame) -> DataFrame:
@@ -171,8 +200,14 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def lexical(docs: DataFrame, queries: DataFrame, k: int = FAN) -> DataFrame:
     """Words (by their beginnings) and substrings fused, ranks counted from 0 as within a lexical index; ``BRANCH`` times k rows of each."""
-    sub = substring_hits(docs, queries).withColumn("score", F.lit(0.0))
-    return top_k(fuse([bm25(docs, queries, BRANCH * k, prefix=True), top_k(sub, BRANCH * k)], RRF - 1), k)
+    work = Workspace(docs.sparkSession, "lexical")
+    same = queries.select("query_id", F.array_join(F.array_sort(F.array_distinct("tokens")), " ").alias("words"), F.coalesce("phrase", F.lit("")).alias("phrase"))
+    # queries of the same words and phrase are searched once
+    asked = work.write(same.select("words", "phrase").distinct().withColumn("nr", F.monotonically_increasing_id()), "asked")
+    one = asked.select(F.col("nr").alias("query_id"), F.filter(F.split("words", " "), lambda w: w != "").alias("tokens"), "phrase")
+    sub = substring_hits(docs, one, BRANCH * k).withColumn("score", F.lit(0.0))
+    best = work.write(top_k(fuse([bm25(docs, one, BRANCH * k, prefix=True), top_k(sub, BRANCH * k)], RRF - 1), k), "best")
+    return best.withColumnRenamed("query_id", "nr").join(asked, "nr").join(same, ["words", "phrase"]).select("query_id", "doc_id", "score", "rank")
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +218,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 def search_lexical(spark: SparkSession, d: str) -> DataFrame:
     """The search where no vectors can be made: the lexical list alone, reranked, cut to 10, with tiers, and why it is poorer."""
     docs, queries = _inputs(spark, d)
-    hits = fuse([lexical(docs, queries)]).join(docs.drop("tokens", "text"), "doc_id").join(queries.select("query_id", "tokens"), "query_id")
+    hits = fuse([lexical(docs, queries)]).join(docs.drop("tokens", "text"), "doc_id").join(queries.select("query_id", "tokens", "meant"), "query_id")
     best = tiers(top_k(rerank(hits), K))
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "tier", "normal", F.lit("embedder unreachable").alias("degraded"))
 
@@ -191,14 +226,14 @@ def search_lexical(spark: SparkSession, d: str) -> DataFrame:
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents and queries, worked out once."""
     work = Workspace(spark, "search")
-    return work.write(_docs(spark, d), "docs"), work.write(_queries(spark, d), "queries")
+    return work.write(_docs(spark, d).withColumns({"stems": stems_of(), "verb": verb_of()}), "docs"), work.write(_queries(spark, d).withColumn("meant", meant_by(F.col("tokens"))), "queries")
 
 
 def search_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The whole search: lexical and vector lists fused, hydrated, all candidates reranked, cut to 10, with tiers."""
     docs, queries = _inputs(spark, d)
     fused = fuse([lexical(docs, queries), nearest(docs, queries, FAN)])
-    hits = fused.join(docs.drop("tokens", "text"), "doc_id").join(queries.select("query_id", "tokens"), "query_id")
+    hits = fused.join(docs.drop("tokens", "text"), "doc_id").join(queries.select("query_id", "tokens", "meant"), "query_id")
     best = top_k(rerank(hits), K)
     return tiers(best).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "tier")
 
