@@ -54,7 +54,7 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.string()), pa.array([find(x) for x in list(root)], pa.string())], ["node", "component"])
 
 
-def propagate_labels(edges: DataFrame, max_rounds: int = 60, finish: int = 500_000) -> DataFrame:
+def propagate_labels(edges: DataFrame, max_rounds: int = 60, finish: int = 100_000) -> DataFrame:
     """Connected components of (a, b) pairs of strings: (node, component), component its least node.
 
     Up to the fixed bound ``finish`` one task joins them; beyond, least labels spread with

@@ -12,6 +12,7 @@ from codelattice.operators import predicates as P
 from codelattice.operators.current import SQL, current_edges, current_nodes
 from codelattice.operators.lookup import _open
 from codelattice.plans.materialize import Workspace
+from codelattice.plans.skew import split_join
 from codelattice.sources.tables import table
 
 DEPTH, MAX_DEPTH, NODE_CAP, HUB = 3, 10, 200, 50
@@ -115,7 +116,7 @@ def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["node", "component"])
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = 500_000) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = 100_000) -> DataFrame:
     """Strongly connected components of two or more nodes: (node, component), component its least node.
 
     Trimming takes off nodes without a way in or out.  What is left goes to one task once it
@@ -139,7 +140,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = 500
             last = e.coalesce(1).mapInArrow(_tarjan, "node string, component string")
             found = last if found is None else found.unionByName(last)
             break
-        ahead, back = _least_reaching(e, "src", "dst", work), _least_reaching(e, "dst", "src", work)
+        ahead, back = _least_reaching(e, "src", "dst", n, work), _least_reaching(e, "dst", "src", n, work)
         both = work.write(ahead.withColumnRenamed("least", "f").join(back.withColumnRenamed("least", "b"), "node"), "colours")
         done = both.where("f = b").select("node", F.col("f").alias("component"))
         found = done if found is None else found.unionByName(done)
@@ -152,13 +153,20 @@ def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = 500
     return found.join(size.select("component"), "component").select("node", "component")
 
 
-def _least_reaching(e: DataFrame, a: str, b: str, work: Workspace) -> DataFrame:
-    """For each node the least node with a way to it along a -> b, itself included."""
+def _least_reaching(e: DataFrame, a: str, b: str, n: int, work: Workspace) -> DataFrame:
+    """For each node the least node with a way to it along a -> b, itself included.
+
+    Whatever reaches a node's least node reaches the node, so labels are also taken from
+    the node they name: long ways need few rounds.  Hubs and common labels are split off.
+    """
     least = e.select(F.col(a).alias("node")).unionByName(e.select(F.col(b).alias("node"))).distinct().withColumn("least", F.col("node"))
     least = work.write(least, "least")
     while True:
-        came = e.join(least.select(F.col("node").alias(a), "least"), a).groupBy(F.col(b).alias("node")).agg(F.min("least").alias("came"))
-        new = work.write(least.join(came, "node", "left").select("node", F.least("least", F.coalesce("came", "least")).alias("new"), "least"), "least")
+        came = split_join(e, least.select(F.col("node").alias(a), "least"), a, n, work).groupBy(F.col(b).alias("node")).agg(F.min("least").alias("came"))
+        step = work.write(least.join(came, "node", "left").select("node", F.least("least", F.coalesce("came", "least")).alias("low"), "least"), "step")
+        jumped = split_join(step, least.select(F.col("node").alias("low"), F.col("least").alias("lower")), "low", n, work)
+        new = work.write(jumped.select("node", F.least("low", "lower").alias("new"), "least"), "least")
+        work.drop(step)
         if new.where("new <> least").isEmpty():
             return new.select("node", F.col("new").alias("least"))
         work.drop(least)

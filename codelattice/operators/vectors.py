@@ -20,6 +20,8 @@ from codelattice.sources.tables import table
 TOP, THRESHOLD, DIM = 5, 0.60, 256
 #: Query vectors sent to the tasks at once: 32 MB at 64 numbers.
 BLOCK = 65_536
+#: Distances held at once, and best rows of all queries that a task keeps.
+CELLS, HELD = 4_000_000, 2_000_000
 #: Pairs whose exact distance is taken at once.
 PAIRS = 16_384
 
@@ -83,6 +85,7 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: in
     spark = vectors.sparkSession
     found = None
     ids, rows = [], []
+    block = min(block, max(1, HELD // k))
 
     def scan(ids: list[int], rows: list) -> DataFrame:
         sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows, np.float64)))
@@ -102,21 +105,22 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: in
                     continue
                 x, vi = _least_of_equal(x, vi, k + 1)
                 xx = (x * x).sum(axis=1)
-                for i in range(0, len(q), 1024):
-                    part, own = q[i : i + 1024], qi[i : i + 1024]
-                    dist = np.maximum(0, qq[i : i + 1024, None] + xx[None, :] - 2 * part @ x.T)
+                width = max(16, CELLS // len(x))
+                for i in range(0, len(q), width):
+                    part, own = q[i : i + width], qi[i : i + width]
+                    dist = np.maximum(0, qq[i : i + width, None] + xx[None, :] - 2 * part @ x.T)
                     dist[own[:, None] == vi[None, :]] = np.inf
                     m = min(k, len(x))
                     last = np.partition(dist, m - 1, axis=1)[:, m - 1]
                     # all that may tie with the k-th: the sum's own error, and scores that round alike
-                    slack = 1e-12 * (1 + qq[i : i + 1024] + xx.max()) + 4e-9 * (1 + last) ** 2
+                    slack = 1e-12 * (1 + qq[i : i + width] + xx.max()) + 4e-9 * (1 + last) ** 2
                     row, col = np.nonzero(np.isfinite(dist) & (dist <= (last + slack)[:, None]))
                     if not len(row):
                         continue
                     exact = np.concatenate([((part[row[j : j + PAIRS]] - x[col[j : j + PAIRS]]) ** 2).sum(axis=1) for j in range(0, len(row), PAIRS)])
                     held.append(_best(row + i, vi[col], np.round(1 / (1 + exact), 9), k))
                     size += len(held[-1][0])
-                if size > 4 * k * len(q):
+                if size > 2 * k * len(q):
                     held = [_best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)]
                     size = len(held[0][0])
             if held:

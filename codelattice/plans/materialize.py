@@ -6,6 +6,8 @@ single machine) one is made under the system's temporary folder for this session
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _LOCAL:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="codelattice-")
+        here = tempfile.mkdtemp(prefix="codelattice-")
+        atexit.register(shutil.rmtree, here, True)
+        _LOCAL[app] = "file://" + here
     return _LOCAL[app]
 
 
