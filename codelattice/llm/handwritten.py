@@ -48,9 +48,9 @@ _COMMENT = re.compile(r"\s*(?:/\*.*?(?:\*/|\Z)|//[^\n]*|#(?!include|define)[^\n]
 _PREAMBLE = re.compile(r"\s*(?:package\s+\w+;?|[\"']use strict[\"'];?)[ \t]*(?=\n|\Z)")
 #: A mark by itself; else a mark names an origin (something made the file) and a consequence (what editing it leads to, or how to make it anew).
 _TAG = re.compile(r"@generated\b|\bauto-?generated\b|<auto-generated|\bmachine[- ](?:made|generated|written)\b|\bcode generated (?:by|from)\b|\b(?:generated|produced|created|written|made|built|emitted) automatically\b|\bautomatically (?:generated|produced|created|written|made|built|emitted)\b", re.I)
-_ORIGIN = re.compile(r"\b(?:generated|produced|created|written|made|built|emitted|compiled|derived|output)\b[^.\n]{0,60}?\b(?:by|from|with|of)\b", re.I)
-_CONSEQUENCE = re.compile(r"\b(?:do not|don't|never|instead of)\b.{0,30}\b(?:edit|modify|change|touch)(?:ing)?\b|\b(?:changes|edits)\b.{0,40}\b(?:lost|overwritten|discarded)\b|\b(?:re-?run|run it again|regenerate|re-?create)\b", re.I | re.S)
-_DO_NOT_EDIT = re.compile(r"\bdo not edit\b|\b(?:edit|modify) by hand\b", re.I)
+_ORIGIN = re.compile(r"\b(?:generated|produced|emitted|compiled)\b[^.\n]{0,60}?\b(?:by|from|with)\b|\b(?:written|created|made|built) (?:by|with) (?:the |a )?\S+ (?:tool|generator|compiler|script|plugin|task|job)\b", re.I)
+_CONSEQUENCE = re.compile(r"\b(?:do not|don't|never|instead of)\b.{0,30}\b(?:edit|modify|touch)(?:ing)?\b.{0,20}\b(?:this|file|output|hand|it|here)\b|\b(?:changes|edits)\b.{0,40}\b(?:lost|overwritten|discarded)\b|\b(?:re-?run|run it again|regenerate|re-?create)\b", re.I | re.S)
+_DO_NOT_EDIT = re.compile(r"\bdo not edit\b|\b(?:do not|don't|never) modify by hand\b", re.I)
 _NOT_GENERATED = re.compile(r"\bnot (?:auto-?)?generated\b|\bused to be \w+\b|\bkept by hand\b|\bedit (?:freely|it as usual)\b|\bgenerated \w+ call\b", re.I)
 _BUNDLE = re.compile(r"\A/\*!.*\bbundle\b", re.I | re.S)
 #: Who holds the rights, under which terms it may be passed on, or where it was taken from.

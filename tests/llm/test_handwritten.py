@@ -30,7 +30,7 @@ def test_marks_and_denials():
         assert reason("a/b.go", "package a\n\n" + mark + "\n" + BODY) == "generated"
     for mark in ("// Emitted from api.idl with toolx; changes here will be overwritten.", "// Written by the toolx compiler. Edit api.idl and regenerate instead of touching this.", "# This file was made automatically."):
         assert reason("a/b.go", mark + "\n\npackage a\n" + BODY) == "generated"
-    for text in ("// Written by hand from the notes of the parcel team.", "// Run again after a change of the parcel table.", "// Not generated: toolx can't express this, so please edit freely.", "// This file used to be written by toolx; it is kept by hand.", "// Generated clients call into this file. Edit it as usual."):
+    for text in ("// Derived from the depot's tables; never change the order of the rows.", "// Keep this list sorted, edit by hand.", "// Output of the planner is checked here. Rerun it after a change.", "// Written by hand from the notes of the parcel team.", "// Run again after a change of the parcel table.", "// Not generated: toolx can't express this, so please edit freely.", "// This file used to be written by toolx; it is kept by hand.", "// Generated clients call into this file. Edit it as usual."):
         assert reason("a/b.go", text + "\npackage a\n" + BODY) is None
     assert reason("a/b.go", "package a\n" + BODY + "\nconst banner = `// Code generated by toolx. DO NOT EDIT.`\n") is None
 
