@@ -94,3 +94,25 @@ def test_reach_of_files_goes_three_hops_over_every_kind(spark, tmp_path):
     assert report["a/f0.go"] == (1, 3, 0, 4) and report["a/t.go"] == (1, 1, 1, 7) and report["a/p.go"] == (0, 0, 0, 0) and len(report) == 8
     none = spark.createDataFrame([("n", "r1", None)], "node_id string, repo_id string, file_path string")
     assert file_reach(spark.createDataFrame([], "src string, dst string"), none).count() == 0
+
+
+def test_caps_are_marked(spark):
+    edges = spark.createDataFrame([(f"c{i}", "s") for i in range(9)] + [("d", "c0"), ("e", "t")], "src string, dst string")
+    seeds = spark.createDataFrame([("one", "s"), ("two", "t"), ("three", "alone")], "origin string, node string")
+    out = blast_radius(edges, seeds, cap=5, mark=True).collect()
+    by = {o: (sorted(r.node for r in out if r.origin == o), {r.truncated for r in out if r.origin == o}) for o in ("one", "two", "three")}
+    assert by == {"one": (["c0", "c1", "c2", "c3", "s"], {True}), "two": (["e", "t"], {False}), "three": (["alone"], {False})}
+    assert {r.truncated for r in blast_radius(edges, seeds, mark=True).collect()} == {False}
+    assert "truncated" not in blast_radius(edges, seeds, cap=5).columns
+
+
+def test_call_edges_by_direction(spark):
+    from codelattice.operators.graph import call_edges
+
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("p", "b"), ("x", "a"), ("b", "b")], "src string, dst string")
+    kinds = spark.createDataFrame([("p", "package"), ("a", "function"), ("b", "function"), ("c", None)], "node string, kind string")
+    seed = spark.createDataFrame([("all", "b")], "origin string, node string")
+    got = lambda way, depth=3: {(r.src, r.dst): r.hop for r in call_edges(calls, kinds, seed, way, depth).collect()}
+    assert got("out") == {("b", "c"): 1, ("b", "b"): 1}
+    assert got("in") == {("a", "b"): 1, ("b", "b"): 1, ("x", "a"): 2}
+    assert got("both", 1) == {("b", "c"): 1, ("b", "b"): 1, ("a", "b"): 1}

@@ -26,6 +26,21 @@ def test_numbers_and_heavy_keys(spark):
     assert [(r.k, r.heavy_n) for r in heavy_keys(df, ["k"], 32, share=4, floor=5).collect()] == [("h", 30)]
 
 
+def test_split_join_equals_a_join(spark):
+    from codelattice.plans.skew import split_join
+
+    work = Workspace(spark, "skew")
+    rows = work.write(spark.createDataFrame([("h", i) for i in range(40)] + [("x", 1), ("y", 2), (None, 3), ("gone", 4), ("gone", 5)], "k string, i int"), "rows")
+    side = spark.createDataFrame([("h", "H"), ("x", "X"), (None, "N")], "k string, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(side, "k", how).collect()))
+        for kw in ({}, {"share": 4, "floor": 5}, {"share": 100, "floor": 1}):
+            assert sorted(map(str, split_join(rows, side, "k", 45, work, how, **kw).select("k", "i", "v").collect())) == want
+    two = work.write(rows.withColumn("m", F.lit("a")), "two")
+    assert split_join(two, side.where("k IS NOT NULL").withColumn("m", F.lit("a")), ["m", "k"], 45, work, share=4, floor=5).count() == 41
+    assert split_join(rows.limit(0), side, "k", 0, work).count() == 0
+
+
 def test_kinds_and_latest(spark):
     rows = [("e1", "m", "Similar To", 0.5, "2025-01-01"), ("e1", "m", "similar-to", None, "2025-02-01"), ("e2", "m", " CALLS ", None, "2025-01-01"), ("e3", "m", None, None, None)]
     e = spark.createDataFrame(rows, "edge_id string, branch string, kind string, score double, at string").select("*", F.col("at").cast("timestamp_ntz").alias("last_promoted_at"), F.lit("x").alias("confidence"), F.lit(None).cast("boolean").alias("resolved"))
