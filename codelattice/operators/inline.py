@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codelattice.operators import predicates as P
 from codelattice.operators.checks import affected, secrets, semver_key, vulnerable
 from codelattice.operators.gates import security_gate
-from codelattice.operators.packs import accepted_links, finding_events, first_json, frameworks
+from codelattice.operators.packs import accepted_links, candidates, cross_repo_score, finding_events, first_json, frameworks, summary_of
 from codelattice.operators.reports import owners
 from codelattice.operators.resolve import qualified_calls
 from codelattice.sources.code import IGNORED, added_lines, is_ignored, manifest, parse_sources, repo_owners, structural_hash
@@ -195,6 +195,19 @@ def calls_qualified(spark: SparkSession, d: str) -> DataFrame:
     return out.select("name", F.coalesce("node_id", F.lit("")).alias("node_id"), "rule")
 
 
+def cross_repo_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of several repos in one order: by vector score, a little more if found both ways; by ranks where no vector is like the query."""
+    v = spark.createDataFrame([("q1", "a", 1, 0.9), ("q1", "b", 2, 0.8), ("q1", "c", 3, 0.2), ("q2", "a", 1, 0.0), ("q2", "b", 2, -0.1)], "query_id string, doc_id string, rank int, score double")
+    x = spark.createDataFrame([("q1", "b", 1), ("q1", "z", 2), ("q2", "b", 1), ("q2", "y", 3), ("q3", "k", 1)], "query_id string, doc_id string, rank int")
+    return cross_repo_score(candidates(v, x)).select("query_id", "doc_id", (F.col("score") * 1_000_000).cast("int").alias("millionths"))
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries out of models' answers."""
+    rows = [(1, '{"summary": " Opens a file. "}'), (2, 'Here: {"summary": "x", "other": 1} done'), (3, '{"text": "x"}'), (4, "plain"), (5, None), (6, '{"summary": ""}')]
+    return spark.createDataFrame(rows, "id int, answer string").select("id", F.coalesce(summary_of(F.col("answer")), F.lit("(none)")).alias("summary"))
+
+
 def _due(columns: str, *rows: tuple) -> str:
     """SQL of the rows that are due."""
     lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -203,7 +216,7 @@ def _due(columns: str, *rows: tuple) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (vuln_match, semver_affected, manifest_requirements, ignored_paths, owner_rules, lines_added, secrets_added, security_gates, finding_states, links_accepted, framework_nodes, json_objects, parsed_fixture, structural_pairs, name_classes, receiver_calls, calls_qualified)
+    for f in (vuln_match, semver_affected, manifest_requirements, ignored_paths, owner_rules, lines_added, secrets_added, security_gates, finding_states, links_accepted, framework_nodes, json_objects, parsed_fixture, structural_pairs, name_classes, receiver_calls, calls_qualified, cross_repo_fusion, summaries)
 }
 _H = "[REDACTED]"
 ORACLE = {
@@ -230,6 +243,8 @@ ORACLE = {
     ),
     "receiver_calls": _due("call", *((c,) for c in ("Logger.Print", "sql.DB.Exec", "Store.flush", "Writer.Write", "NewLogger", "Logger.Close", "http.NewClient", "http.Do", "Reader.Read", "Queue.Push", "other.Thing", "helper"))),
     "calls_qualified": _due("name, node_id, rule", ("lib.Open", "n1", "import"), ("lib.Missing", "", "external"), ("fmt.Println", "", "external"), ("local", "n2", "file"), ("near", "n3", "directory"), ("Box.Size", "n4", "directory"), ("far", "n5", "repo"), ("twice", "", "unresolved"), ("nowhere", "", "unresolved")),
+    "cross_repo_fusion": _due("query_id, doc_id, millionths", ("q1", "a", 900000), ("q1", "b", 840000), ("q1", "c", 200000), ("q1", "z", 16129), ("q2", "a", 16393), ("q2", "b", 32522), ("q2", "y", 15873), ("q3", "k", 16393)),
+    "summaries": _due("id, summary", (1, "Opens a file."), (2, "x"), (3, "(none)"), (4, "(none)"), (5, "(none)"), (6, "(none)")),
     "structural_pairs": _due("name, alike", ("renamed", True), ("operator", False), ("order", True), ("swapped", False), ("literal class", False), ("comment", True)),
     "name_classes": _due(
         "symbol, module, go_test, external, entry", ("TestRun", "fmt", True, False, True), ("Testify", "ex.io/m", False, True, True), ("Box.TestSize", "net/http", True, False, True), ("BenchmarkX", "github.com/a/b", True, True, True), ("main", "./local", False, True, True), ("FuzzParse", "k8s", True, False, True),

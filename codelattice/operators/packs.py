@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
 from codelattice.functions.text import canonical_url, directory, truncate_bytes
 from codelattice.operators import predicates as P
 from codelattice.operators.current import SQL, current_nodes, latest
 from codelattice.operators.gates import _CHANGED, _STATES as _SQL_STATES, _states, changed_nodes
-from codelattice.operators.graph import ORACLE as _GRAPH, _BASE, _main_edges, _seeds, blast_radius, file_reach, tests_covering
+from codelattice.operators.graph import ORACLE as _GRAPH, _BASE, _main_edges, _seeds, blast_radius, file_reach, recent_changes, tests_covering
 from codelattice.operators.lookup import _open
 from codelattice.operators.search import FAN, _docs, _queries, lexical, nearest, top_k
+from codelattice.plans.materialize import Workspace
 from codelattice.sources.tables import table
 
 SNIPPET_BYTES, BUDGET_TOKENS = 1_500, 8_192
@@ -39,6 +40,37 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return r.select("node_id", "distance", "findings", "tokens")
 
 
+#: Sections of a context pack in the order in which they are kept; what the last ones hold is dropped first.
+SECTIONS = ("nodes", "commits", "findings")
+HISTORY_FILES = 25
+
+
+def context_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The whole context pack: nodes near the open high findings, recent changes of their first 25 files, open findings on them, within one token budget."""
+    work = Workspace(spark, "context")
+    seen = blast_radius(_main_edges(spark, d).select("src", "dst"), _seeds(spark, d), "both", depth=1, cap=200)
+    n = current_nodes(table(spark, d, "nodes")).where("branch = 'main'")
+    near = seen.select(F.col("node").alias("node_id"), "distance").join(n, "node_id")
+    near = work.write(near.select("node_id", "distance", "repo_id", "file_path", "symbol_path", truncate_bytes(F.coalesce("snippet", F.lit("")), SNIPPET_BYTES).alias("snippet")), "near")
+    size = lambda *texts: F.floor((sum((F.octet_length(F.coalesce(t, F.lit(""))) for t in texts), F.lit(40))) / 4).cast("long").alias("tokens")
+    place = lambda *by: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)).alias("place")
+    nodes = near.select(F.lit(0).alias("s"), place("distance", "node_id"), F.col("node_id").alias("id"), size("snippet", "symbol_path"))
+    files = near.where("file_path IS NOT NULL").groupBy("repo_id", "file_path").agg(F.min(F.struct("distance", "node_id")).alias("first"))
+    files = files.orderBy("first").limit(HISTORY_FILES)
+    changes = recent_changes(table(spark, d, "nodes").where("branch = 'main'"))
+    commits = files.join(changes, ["repo_id", "file_path"]).select(F.lit(1).alias("s"), place("first"), F.concat_ws(":", "repo_id", "file_path").alias("id"), size("file_path"))
+    bad = _open(spark, d).where("state = 'open' AND branch = 'main'").join(near.select("node_id", "distance"), "node_id")
+    bad = bad.orderBy("distance", "node_id", "finding_id").limit(BUDGET_TOKENS // 10 + 1)  # a row takes ten tokens at least: no more can fit
+    findings = bad.select(F.lit(2).alias("s"), place("distance", "node_id", "finding_id"), F.col("finding_id").alias("id"), size("message"))
+    rows = clip_to_budget(nodes.unionByName(commits).unionByName(findings), [F.col("s"), F.col("place")], "tokens", BUDGET_TOKENS)
+    return rows.select(F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("s") + 1).alias("section"), "place", "id", "tokens")
+
+
+def summary_of(answer: Column) -> Column:
+    """The summary in a model's answer: the text of its first object's ``summary``, at most 280 characters; null if there is none."""
+    return F.nullif(F.substring(F.trim(F.get_json_object(first_json(answer), "$.summary")), 1, 280), F.lit(""))
+
+
 def change_report(spark: SparkSession, d: str) -> DataFrame:
     """For each changed file: changed symbols, what else its symbols reach as callers, open findings, and a risk from them.
 
@@ -175,7 +207,7 @@ def frameworks(files: DataFrame) -> DataFrame:
 
 _CF = "cf AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY finding_id, branch ORDER BY created_at DESC NULLS LAST, state ASC NULLS FIRST, severity ASC NULLS FIRST) = 1)"
 _CONT = ", ".join(f"'{x}'" for x in P.CONTAINER_KINDS)
-QUERIES = {f.__name__: f for f in (context_pack, change_report, test_selection, hybrid_search, index_health, repo_identity, close_audit)}
+QUERIES = {f.__name__: f for f in (context_pack, context_sections, change_report, test_selection, hybrid_search, index_health, repo_identity, close_audit)}
 ORACLE = {
     "index_health": f"""WITH {SQL}, n AS (SELECT DISTINCT node_id, repo_id FROM cn WHERE kind NOT IN ({_CONT})), v AS (SELECT node_id, state FROM node_vectors WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY embedded_at DESC NULLS LAST, vec_id) = 1),
 g AS (SELECT n.repo_id, count(*) AS symbols, count(*) FILTER (v.state = 'pending') AS pending, count(*) FILTER (v.state = 'failed') AS failed, count(*) FILTER (v.state IS NULL) AS missing FROM n LEFT JOIN v ON v.node_id = n.node_id GROUP BY 1)
@@ -189,6 +221,15 @@ c AS (SELECT node, min(distance) AS distance FROM s GROUP BY 1 QUALIFY row_numbe
 b AS (SELECT node_id, count(*) AS findings FROM cf WHERE state = 'open' AND branch = 'main' GROUP BY 1),
 r AS (SELECT n.node_id, c.distance, coalesce(b.findings, 0) AS findings, (strlen(substr(coalesce(n.snippet, ''), 1, {SNIPPET_BYTES})) + strlen(coalesce(n.symbol_path, '')) + 40) // 4 AS tokens FROM c JOIN cn n ON n.node_id = c.node AND n.branch = 'main' LEFT JOIN b ON b.node_id = n.node_id)
 SELECT node_id, distance, findings, tokens FROM r QUALIFY sum(tokens) OVER (ORDER BY distance, node_id ROWS UNBOUNDED PRECEDING) <= {BUDGET_TOKENS}""",
+    "context_sections": f"""WITH RECURSIVE {_BASE}, mv AS (SELECT dst AS at_, src AS to_ FROM me UNION ALL SELECT src, dst FROM me), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
+s AS (SELECT node, 0 AS distance FROM seed UNION SELECT mv.to_, 1 FROM seed JOIN mv ON mv.at_ = seed.node WHERE seed.node NOT IN (SELECT at_ FROM hub)),
+c AS (SELECT node, min(distance) AS distance FROM s GROUP BY 1 QUALIFY row_number() OVER (ORDER BY min(distance), node) <= 200), n AS (SELECT cn.*, c.distance FROM c JOIN cn ON cn.node_id = c.node AND cn.branch = 'main'),
+f AS (SELECT repo_id, file_path, min((distance, node_id)) AS first FROM n WHERE file_path IS NOT NULL GROUP BY 1, 2 ORDER BY first LIMIT 25),
+h AS (SELECT repo_id, file_path FROM nodes WHERE branch = 'main' AND last_promoted_at > TIMESTAMP '2026-06-01' AND last_promoted_at <= TIMESTAMP '2026-07-01' GROUP BY 1, 2),
+r AS (SELECT 0 AS s, row_number() OVER (ORDER BY distance, node_id) AS place, node_id AS id, (strlen(substr(coalesce(snippet, ''), 1, 1500)) + strlen(coalesce(symbol_path, '')) + 40) // 4 AS tokens FROM n
+ UNION ALL SELECT 1, row_number() OVER (ORDER BY first), repo_id || ':' || file_path, (strlen(file_path) + 40) // 4 FROM f JOIN h USING (repo_id, file_path)
+ UNION ALL SELECT 2, row_number() OVER (ORDER BY n.distance, n.node_id, cf.finding_id), cf.finding_id, (strlen(coalesce(cf.message, '')) + 40) // 4 FROM cf JOIN n ON n.node_id = cf.node_id WHERE cf.state = 'open' AND cf.branch = 'main')
+SELECT ['nodes', 'commits', 'findings'][s + 1] AS section, place::INTEGER AS place, id, tokens FROM r QUALIFY sum(tokens) OVER (ORDER BY s, place ROWS UNBOUNDED PRECEDING) <= 8192""",
     "change_report": f"""WITH RECURSIVE {_BASE}, {_SQL_STATES}, {_CHANGED}, mv AS (SELECT dst AS at_, src AS to_ FROM me), hub AS (SELECT at_ FROM mv GROUP BY 1 HAVING count(*) > 50),
 n AS (SELECT node_id, kind, repo_id, file_path FROM aft WHERE branch = 'main' AND file_path IS NOT NULL),
 f AS (SELECT n.repo_id, n.file_path, count(*) FILTER (n.kind NOT IN ({_CONT})) AS symbols FROM n JOIN ch ON ch.node_id = n.node_id AND ch.branch = 'main' AND ch.change <> 'removed' GROUP BY 1, 2),
