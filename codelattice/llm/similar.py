@@ -38,7 +38,7 @@ LAYOUT_BYTES = 64_000_000
 SHARD_ROWS, SHARD_QUERIES = 30_000, 200_000
 SHARD_BYTES, QUERY_BYTES = 24_000_000, 64_000_000
 #: Queries of a task at least, where fewer would keep more tasks busy.
-LEAST_QUERIES = 16_000
+LEAST_QUERIES = 32_000
 #: A list is not worth a visit if its centroid's cosine is that much below the nearest one's.
 MARGIN = 0.2
 #: Members that the lists visited hold together before that margin cuts.
