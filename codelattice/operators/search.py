@@ -191,6 +191,7 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the k documents nearest to each query by their embedded kind and symbol; queries of one text are searched once."""
     embed = static_embedding()
     dv = docs.select(F.xxhash64("doc_id").alias("vec_id"), "doc_id", embed(F.concat_ws(" ", "kind", "symbol_path")).alias("embedding"))
+    dv = Workspace(docs.sparkSession, "nearest").write(dv, "vectors")  # embedded once, apart from the search
     asked = queries.select("query_id", F.substring_index("query_id", ": ", -1).alias("said"))
     texts = asked.select("said").distinct().select(F.xxhash64(F.lit("query"), "said").alias("vec_id"), "said")
     hits = exact_search(dv, texts.select("vec_id", embed("said").alias("embedding")), k).select(F.col("query_id").alias("q_"), F.col("vec_id").alias("d_"), "score", "rank")

@@ -21,7 +21,7 @@ TOP, THRESHOLD, DIM = 5, 0.60, 256
 #: Query vectors sent to the tasks at once: 32 MB at 64 numbers.
 BLOCK = 65_536
 #: Distances held at once, and best rows of all queries that a task keeps.
-CELLS, HELD = 4_000_000, 2_000_000
+CELLS, HELD = 2_000_000, 400_000
 #: Pairs whose exact distance is taken at once.
 PAIRS = 16_384
 
