@@ -2,14 +2,16 @@
 
 1. *Peeling.*  Leaves are removed until none is left; what stays are the rings of parents.
    Rounds run as joins (each also splices out half-random single-child nodes where leaves
-   alone remove little, so long chains need few rounds) until the rest fits the fixed bound
-   ``FINISH``, which one task then peels in memory.
+   alone remove little, so long chains need few rounds, and takes off rings spliced down to
+   one node) until the rest fits the fixed bound ``FINISH``, which one task then peels in
+   memory.
 2. *Tours.*  Links into ring nodes are cut, so every ring node tops a tree of its own, and
    each tree becomes a linked list that enters and leaves every node once.  The stretch of
    the list that lies among the children of one parent is contracted on the spot, so only
    two list elements for each inner node go on.
 3. *List ranking.*  Random-mate contraction removes a quarter of the elements a round, as a
-   join; below ``FINISH`` one task ranks the rest; the removed ones are put back in reverse.
+   join; lists of one element are ranked and go, however many there are; below ``FINISH``
+   one task ranks the rest; the removed ones are put back in reverse.
    Total work is linear, rounds are logarithmic, however deep the trees.
 
 Positions count from the end of the tour (the last step is 0), so ``entry`` < ``exit`` and
@@ -73,7 +75,7 @@ def _peel_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _ring_nodes(links: DataFrame, n: int, work: Workspace, finish: int) -> DataFrame:
     """Nodes on rings of parents, by peeling leaves."""
-    spliced, rest, turn = [], links, 0
+    spliced, loops, rest, turn = [], [], links, 0
     while n > finish:
         inner = rest.select(F.col("parent").alias("child")).distinct()
         kept = work.write(rest.join(inner, "child", "left_semi"), "peeled")
@@ -84,16 +86,21 @@ def _ring_nodes(links: DataFrame, n: int, work: Workspace, finish: int) -> DataF
         if n > finish and n > 0.7 * before:  # chains: take out single children's parents too
             turn += 1
             coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))  # noqa: B023,E731
-            single = rest.groupBy("parent").agg(F.count(F.lit(1)).alias("k"), F.min("child").alias("only")).where("k = 1 AND only <> parent")
-            mid = single.join(rest.select(F.col("child").alias("parent"), F.col("parent").alias("above")), "parent")
+            loops.append(work.write(rest.where("child = parent").select(F.col("child").alias("node")), "loops"))  # no round takes these off
+            open_ = rest.where("child <> parent")
+            single = open_.groupBy("parent").agg(F.count(F.lit(1)).alias("k"), F.min("child").alias("only")).where("k = 1")
+            mid = single.join(open_.select(F.col("child").alias("parent"), F.col("parent").alias("above")), "parent")
             mid = mid.where((coin(F.col("parent")) == 0) & (coin(F.col("only")) == 1)).select(F.col("parent").alias("out"), F.col("only").alias("child"), "above")
             mid = work.write(mid, "spliced")
             spliced.append(mid)
-            new = rest.join(mid.select(F.col("out").alias("child")), "child", "left_anti").join(mid.select("child", "above"), "child", "left")
+            new = open_.join(mid.select(F.col("out").alias("child")), "child", "left_anti").join(mid.select("child", "above"), "child", "left")
             kept = work.write(new.select("child", F.coalesce("above", "parent").alias("parent")), "shortened")
             work.drop(rest)
             rest, n = kept, kept.count()
-    ring = work.write(rest.select("child", "parent").coalesce(1).mapInArrow(_peel_in_memory, "node long"), "ring")
+    ring = rest.select("child", "parent").coalesce(1).mapInArrow(_peel_in_memory, "node long")
+    for found in loops:
+        ring = ring.unionByName(found)
+    ring = work.write(ring, "ring")
     for mid in reversed(spliced):  # a spliced node lies on a ring if its only child does
         ring = work.write(ring.unionByName(mid.join(ring.select(F.col("node").alias("child")), "child", "left_semi").select(F.col("out").alias("node"))), "ring")
     return ring
@@ -174,27 +181,37 @@ def _rank_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _rank(heads: DataFrame, n: int, work: Workspace, finish: int) -> DataFrame:
     """List ranking by random-mate contraction: (node, slot, tail, tail_slot, cnt, total) of every element."""
-    removed, turn = [], 0
+    removed, done, turn = [], [], 0
+    if n > finish:  # lists of one element never shrink: each list's first element and those that lead to an end are marked
+        own, onward = heads.select("node", "slot"), heads.select(F.col("next_node").alias("node"), F.col("next_slot").alias("slot")).distinct()
+        there = own.toDF("next_node", "next_slot").withColumn("more", F.lit(True))
+        marked = heads.join(onward.withColumn("later", F.lit(True)), ["node", "slot"], "left").join(there, ["next_node", "next_slot"], "left")
+        heads = work.write(marked.select(*heads.columns, F.col("later").isNull().alias("first"), F.col("more").isNull().alias("ended")), "marked")
     while n > finish:
         turn += 1
         coin = lambda a, b: F.pmod(F.xxhash64(a, b, F.lit(turn)), F.lit(2))  # noqa: B023,E731
-        ends = F.col("next_slot") <= END
-        out = heads.where(coin("node", "slot") == 0).select(F.col("node").alias("next_node"), F.col("slot").alias("next_slot"), F.col("next_node").alias("n2"), F.col("next_slot").alias("s2"), F.col("cnt").alias("c2"), F.col("total").alias("t2"))
-        takers = heads.where((coin("node", "slot") == 1) & ~ends & (coin("next_node", "next_slot") == 0))
-        taken = takers.join(out, ["next_node", "next_slot"], "left").select("node", "slot", F.coalesce("n2", "next_node").alias("next_node"), F.coalesce("s2", "next_slot").alias("next_slot"), (F.col("cnt") + F.coalesce("c2", F.lit(0))).alias("cnt"), (F.col("total") + F.coalesce("t2", F.lit(0))).alias("total"))
+        done.append(work.write(heads.where("first AND ended").select("node", "slot", F.col("next_node").alias("tail"), F.col("next_slot").alias("tail_slot"), "cnt", "total"), "done"))
+        live = heads.where("NOT (first AND ended)")
+        out = live.where(coin("node", "slot") == 0).select(F.col("node").alias("next_node"), F.col("slot").alias("next_slot"), F.col("next_node").alias("n2"), F.col("next_slot").alias("s2"), F.col("cnt").alias("c2"), F.col("total").alias("t2"), F.col("ended").alias("e2"))
+        takes = ~F.col("ended") & (coin("next_node", "next_slot") == 0)
+        takers = live.where((coin("node", "slot") == 1) & takes)
+        taken = takers.join(out, ["next_node", "next_slot"]).select("node", "slot", F.col("n2").alias("next_node"), F.col("s2").alias("next_slot"), (F.col("cnt") + F.col("c2")).alias("cnt"), (F.col("total") + F.col("t2")).alias("total"), "first", F.col("e2").alias("ended"))
         gone = takers.select(F.col("next_node").alias("node"), F.col("next_slot").alias("slot"))
-        others = heads.where((coin("node", "slot") == 1) & (ends | (coin("next_node", "next_slot") == 1)))
-        zeros = heads.where(coin("node", "slot") == 0)
-        removed.append(work.write(zeros.join(gone, ["node", "slot"], "left_semi"), "removed"))
-        heads = work.write(taken.unionByName(others).unionByName(zeros.join(gone, ["node", "slot"], "left_anti")), "heads")
+        others = live.where((coin("node", "slot") == 1) & ~takes)
+        zeros = live.where(coin("node", "slot") == 0)
+        removed.append(work.write(zeros.join(gone, ["node", "slot"], "left_semi").select("node", "slot", "next_node", "next_slot", "cnt", "total"), "removed"))
+        before_heads, heads = heads, work.write(taken.unionByName(others).unionByName(zeros.join(gone, ["node", "slot"], "left_anti")), "heads")
+        work.drop(before_heads)
         before, n = n, heads.count()
         if turn > 40 + 4 * int(np.log2(before + 2)):
             raise RuntimeError("list ranking doesn't shrink: the links are no tree")
-    ranked = heads.coalesce(1).mapInArrow(_rank_in_memory, "node long, slot int, tail long, tail_slot int, cnt long, total long")
+    ranked = heads.select("node", "slot", "next_node", "next_slot", "cnt", "total").coalesce(1).mapInArrow(_rank_in_memory, "node long, slot int, tail long, tail_slot int, cnt long, total long")
     if removed:
         ranked = work.write(ranked, "ranked")
     for part in reversed(removed):
         ranked = work.write(ranked.unionByName(_resolve(part, ranked).select("node", "slot", "tail", "tail_slot", "cnt", "total")), "ranked")
+    for part in done:  # nothing leads to a list's first element
+        ranked = ranked.unionByName(part)
     return ranked
 
 

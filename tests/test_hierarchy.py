@@ -69,6 +69,16 @@ def test_random_forest_with_rings(spark, kw):
     check(spark, links + links[:9], **kw)
 
 
+@pytest.mark.parametrize("shape", ["roots", "rings"])
+def test_more_trees_and_rings_than_one_task_holds(spark, shape):
+    """Lists and rings that are one element each never shrink below their number."""
+    if shape == "roots":
+        links = [(f"{x}{i}", f"{y}{i}") for i in range(20) for x, y in (("a", "r"), ("b", "a"), ("c", "a"), ("d", "c"))]
+    else:
+        links = [(f"a{i}", f"r{i}") for i in range(20)] + [(f"r{i}", f"{'a' if i % 4 else 'r'}{i}") for i in range(20)] + [(f"b{i}", f"a{i}") for i in range(9)] + [(f"c{i}", f"b{i}") for i in range(5)]
+    check(spark, links, finish=4)
+
+
 def test_dirty(spark):
     check(spark, [("a", "b"), ("a", "b"), (None, "x"), ("y", None), ("", "b"), ("ü", "a" * 5000)])
 
