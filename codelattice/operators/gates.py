@@ -95,16 +95,16 @@ def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
 def cycles_new(spark: SparkSession, d: str) -> DataFrame:
     """Members of call cycles now that were in none, or in no single one, before, where a member changed."""
     work = Workspace(spark, "cycles")
-    base, after = _states(spark, d)
-    e = current_edges(table(spark, d, "edges")).where("branch = 'main' AND kind = 'calls'")
-    inside = lambda n: e.join(n.where("branch = 'main'").select(F.col("node_id").alias("src_node_id")), "src_node_id", "left_semi").join(n.where("branch = 'main'").select(F.col("node_id").alias("dst_node_id")), "dst_node_id", "left_semi")
+    base, after = (work.write(x.where("branch = 'main'").select("node_id", "branch", "content_hash"), "state") for x in _states(spark, d))
+    e = work.write(current_edges(table(spark, d, "edges")).where("branch = 'main' AND kind = 'calls'").select("src_node_id", "dst_node_id", "last_promoted_at"), "calls")
+    inside = lambda n: e.join(n.select(F.col("node_id").alias("src_node_id")), "src_node_id", "left_semi").join(n.select(F.col("node_id").alias("dst_node_id")), "dst_node_id", "left_semi")
     pick = lambda x: x.select(F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst"))
     t = F.lit(BASE_TIME).cast("timestamp_ntz")
     old = work.write(strong_components(pick(inside(base).where(F.col("last_promoted_at") <= t))), "old")
     now = work.write(strong_components(pick(inside(after))), "now")
     j = now.join(old.withColumnRenamed("component", "old"), "node", "left")
     same = j.groupBy("component").agg(F.count_distinct("old").alias("olds"), F.count_if(F.col("old").isNull()).alias("without"))
-    touched = now.join(changed_nodes(base, after).where("branch = 'main'").select(F.col("node_id").alias("node")), "node", "left_semi").select("component").distinct()
+    touched = now.join(changed_nodes(base, after).select(F.col("node_id").alias("node")), "node", "left_semi").select("component").distinct()
     new = same.where("olds <> 1 OR without > 0").join(touched, "component", "left_semi")
     return now.join(new.select("component"), "component", "left_semi").select("node", "component")
 

@@ -5,18 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelattice.operators import predicates as P
 from codelattice.operators.current import SQL, current_edges, current_nodes
 from codelattice.operators.lookup import _open
+from codelattice.plans.identify import number_ids
 from codelattice.plans.materialize import Workspace
 from codelattice.plans.skew import split_join
 from codelattice.sources.tables import table
 
 DEPTH, MAX_DEPTH, NODE_CAP, HUB = 3, 10, 200, 50
 AS_OF, BASE_TIME = "2026-07-01", "2026-03-01"
+#: Edges that one task searches for strong components: as longs, and with their ids as they are.
+FINISH, DIRECT = 2_000_000, 100_000
 
 
 def steps(edges: DataFrame, direction: str = "callers") -> DataFrame:
@@ -72,85 +77,121 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, direction: str = "callers",
 
 
 def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strong components of a bounded edge set, depth first without recursion."""
-    out: dict[str, list[str]] = {}
-    for b in batches:
-        for s, t in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
-            out.setdefault(s, []).append(t)
-    number: dict[str, int] = {}
-    low: dict[str, int] = {}
-    stack, on, rows = [], set(), []
-    for start in out:
-        if start in number:
+    """Strong components of a bounded edge set (src, dst), ids of any one type, depth first without recursion."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    t = pa.Table.from_batches(rows)
+    n_edges = t.num_rows
+    coded = pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks]).combine_chunks().dictionary_encode()
+    order = pa.compute.sort_indices(coded.dictionary)
+    names, place = coded.dictionary.take(order), np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))  # in the order of the ids
+    ends = place[coded.indices.to_numpy()]
+    src, dst = ends[:n_edges], ends[n_edges:]
+    n = len(names)
+    to = dst[np.argsort(src, kind="stable")].tolist()
+    at = np.append(0, np.cumsum(np.bincount(src, minlength=n))).tolist()
+    stop = at[1:]
+    number, low, on = [-1] * n, [0] * n, bytearray(n)
+    stack, nodes, parts, seen = [], [], [], 0
+    for start in range(n):
+        if number[start] >= 0:
             continue
-        work = [(start, iter(out[start]))]
-        number[start] = low[start] = len(number)
+        number[start] = low[start] = seen
+        seen += 1
         stack.append(start)
-        on.add(start)
+        on[start] = 1
+        work = [start]
         while work:
-            v, todo = work[-1]
-            for w in todo:
-                if w not in number:
-                    number[w] = low[w] = len(number)
+            v = work[-1]
+            i = at[v]
+            if i < stop[v]:
+                at[v] = i + 1
+                w = to[i]
+                if number[w] < 0:
+                    number[w] = low[w] = seen
+                    seen += 1
                     stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(out.get(w, ()))))
-                    break
-                if w in on:
-                    low[v] = min(low[v], number[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == number[v]:
-                    part = []
-                    while True:
-                        w = stack.pop()
-                        on.discard(w)
-                        part.append(w)
-                        if w == v:
-                            break
-                    if len(part) > 1:
-                        rows += [(x, min(part)) for x in part]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["node", "component"])
-
-
-def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = 100_000) -> DataFrame:
+                    on[w] = 1
+                    work.append(w)
+                elif on[w] and number[w] < low[v]:
+                    low[v] = number[w]
+                continue
+            work.pop()
+            if work and low[v] < low[work[-1]]:
+                low[work[-1]] = low[v]
+            if low[v] == number[v]:
+                first = len(nodes)
+                while True:
+                    w = stack.pop()
+                    on[w] = 0
+                    nodes.append(w)
+                    if w == v:
+                        break
+                if len(nodes) - first > 1:
+                    parts += [min(nodes[first:])] * (len(nodes) - first)
+                else:
+                    nodes.pop()
+    if nodes:
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (nodes, parts)], ["node", "component"])
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = FINISH, direct: int = DIRECT) -> DataFrame:
     """Strongly connected components of two or more nodes: (node, component), component its least node.
 
-    Trimming takes off nodes without a way in or out.  What is left goes to one task once it
-    fits the fixed bound ``finish``; until then every node learns the least node that reaches
-    it and that it reaches; those that agree are a component and go, the rest goes on.
-    Ids are strings; self-loops and null ends don't count.
+    At most ``direct`` edges go to one task as they are.  Beyond, ids become longs, and trimming
+    takes off nodes without a way in or out as long as that removes much.  What is left goes to
+    one task once it fits the fixed bound ``finish``; until then every node learns the least node
+    that reaches it and that it reaches; those that agree are a component and go.  The others
+    fall into groups by what they learnt: groups that fit ``finish`` go to tasks side by side, the
+    rest goes on.  Ids are strings; self-loops and null ends don't count.
     """
-    work = Workspace(edges.sparkSession, "strong")
-    e = work.write(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
-    found = None
+    spark = edges.sparkSession
+    work = Workspace(spark, "strong")
+    named = work.write(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    n_named = n = named.count()
+    if n <= min(direct, finish):
+        return named.coalesce(1).mapInArrow(_tarjan, "node string, component string")
+    ids = number_ids(named.select(F.col("src").alias("id")).unionByName(named.select(F.col("dst").alias("id"))), "id", work, "ids")
+    half = work.write(split_join(named, ids.toDF("src", "s"), "src", n, work).select("s", "dst"), "half")
+    e = work.write(split_join(half, ids.toDF("dst", "d"), "dst", n, work).select(F.col("s").alias("src"), F.col("d").alias("dst")), "numbered")
+    work.drop(half)
+    work.drop(named)
+    parts, fields = [], "node long, component long"
     for _ in range(max_rounds):
-        n = e.count()
         while n > finish:  # trim
             t = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             t = work.write(t, "trimmed")
             work.drop(e)
             e, before, n = t, n, t.count()
-            if n == before:
+            if n > 0.9 * before:  # a long way in would lose a node a round
                 break
         if n <= finish:
-            last = e.coalesce(1).mapInArrow(_tarjan, "node string, component string")
-            found = last if found is None else found.unionByName(last)
+            parts.append(work.write(e.coalesce(1).mapInArrow(_tarjan, fields), "last"))
             break
         ahead, back = _least_reaching(e, "src", "dst", n, work), _least_reaching(e, "dst", "src", n, work)
         both = work.write(ahead.withColumnRenamed("least", "f").join(back.withColumnRenamed("least", "b"), "node"), "colours")
-        done = both.where("f = b").select("node", F.col("f").alias("component"))
-        found = done if found is None else found.unionByName(done)
-        c = both.select("node", "f", "b")
-        rest = e.join(c.toDF("src", "f1", "b1"), "src").join(c.toDF("dst", "f2", "b2"), "dst").where("f1 = f2 AND b1 = b2 AND f1 <> b1").select("src", "dst")
-        e = work.write(rest, "rest")
+        parts.append(both.where("f = b").select("node", F.col("f").alias("component")))
+        c = both.where("f <> b").select("node", "f", "b")
+        rest = e.join(c.toDF("src", "f", "b"), "src").join(c.toDF("dst", "f2", "b2"), "dst").where("f = f2 AND b = b2").select("src", "dst", "f", "b")
+        rest = work.write(rest, "rest")
+        work.drop(e)
+        wide = work.write(rest.groupBy("f", "b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > finish).select("f", "b"), "wide")  # at most n / finish
+        small = rest.join(F.broadcast(wide), ["f", "b"], "left_anti") if finish else rest.limit(0)
+        spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n // max(1, finish))
+        parts.append(work.write(small.repartition(spread, "f", "b").select("src", "dst").mapInArrow(_tarjan, fields), "groups"))
+        e = work.write((rest.join(F.broadcast(wide), ["f", "b"], "left_semi") if finish else rest).select("src", "dst"), "rest")
+        work.drop(rest)
+        n = e.count()
     else:
         raise RuntimeError("components did not settle")
-    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return found.join(size.select("component"), "component").select("node", "component")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = work.write(found.join(ids.toDF("name", "node"), "node").select(F.col("name").alias("node"), F.col("component").alias("c")), "found")
+    least = found.groupBy("c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("k")).where("k >= 2").select("c", "component")
+    return split_join(found, least, "c", n_named, work).select("node", "component")
 
 
 def _least_reaching(e: DataFrame, a: str, b: str, n: int, work: Workspace) -> DataFrame:

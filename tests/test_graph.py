@@ -1,6 +1,8 @@
 import random
 from datetime import datetime
 
+import pytest
+
 from codelattice.operators.clones import groups_by_hash, propagate_labels
 from codelattice.operators.gates import changed_nodes, scope_guard
 from codelattice.operators.graph import blast_radius, covering, file_reach, hot_zones, strong_components
@@ -41,6 +43,26 @@ def test_strong_components(spark):
     assert strong_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("finish", [9, 40])
+def test_strong_components_side_by_side(spark, finish):
+    """Groups that one task holds leave the rounds; ids are longs on the way."""
+    rnd = random.Random(8)
+    pairs = [(f"{g}{rnd.randrange(6)}", f"{g}{rnd.randrange(6)}") for g in "abcd" for _ in range(10)] + [("a0", "b0"), ("b0", "c0"), ("c0", "d0")]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    got = {r.node: r.component for r in strong_components(spark.createDataFrame(pairs, E), finish=finish, direct=0).collect()}
+    assert got == brute_scc(pairs)
+
+
+def test_one_large_ring_needs_no_rounds(spark, monkeypatch):
+    def no(*_):
+        raise AssertionError("rounds over a table that one task holds as longs")
+
+    monkeypatch.setattr("codelattice.operators.graph._least_reaching", no)
+    ring = spark.range(120_000).selectExpr("concat('n', id) AS src", "concat('n', (id + 1) % 120000) AS dst")
+    found = strong_components(ring)
+    assert {(r.component, r["count"]) for r in found.groupBy("component").count().collect()} == {("n0", 120_000)}
+
+
 def test_labels_and_groups(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), *[(f"l{i:02d}", f"l{i + 1:02d}") for i in range(20)]], "a string, b string")
     for finish in (1_000, 0):
